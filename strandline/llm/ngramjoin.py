@@ -184,10 +184,10 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
 def _verify(n: int, percent: int):
     def solve(key: tuple, ids: list, blocks: list, sets: list) -> list[tuple[int, int]]:
         forest, out = Forest(), []
-        if key[1] == key[2]:
+        if key[2] == key[3]:
             left, right, of_left, of_right = sets, None, ids, ids
         else:
-            side = [[i for i, b in enumerate(blocks) if b == k] for k in key[1:]]
+            side = [[i for i, b in enumerate(blocks) if b == k] for k in key[2:]]
             of_left, of_right = ([ids[i] for i in s] for s in side)
             left, right = ([sets[i] for i in s] for s in side)
         if left and (right is None or right):
@@ -199,10 +199,10 @@ def _verify(n: int, percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, blocks, sets, out = None, [], [], [], []
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
             at = 0
             for part in hashing.slices(batch):
-                mine = zip(keys[at : at + part.num_rows], part.column(3).to_pylist(), part.column(4).to_pylist(), shingle_sets(part, n), strict=True)
+                mine = zip(keys[at : at + part.num_rows], part.column(4).to_pylist(), part.column(5).to_pylist(), shingle_sets(part, n), strict=True)
                 at += part.num_rows
                 for key, block, doc, s in mine:
                     if key != now:
@@ -235,13 +235,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     base = work.keep(docs.mapInArrow(_prefixes(n, percent, sketch), "doc_id long, n long, s1 long, s2 long, pg long, rare array<long>, common array<long>"), "sets")
     some = base.where("n > 0 and doc_id is not null")
 
-    # Groups that share a prefix shingle, chained along each posting list; known shingles are salted, then their parts are chained.
-    fresh = some.select(F.explode("rare").alias("token"), F.lit(0).alias("salt"), "pg")
-    known = some.select(F.explode("common").alias("token"), F.pmod("pg", F.lit(SALTS)).cast("int").alias("salt"), "pg").distinct()
-    before = F.lag("pg").over(Window.partitionBy("token", "salt").orderBy("pg"))
-    heads = known.groupBy("token", "salt").agg(F.min("pg").alias("pg"))
-    steps = fresh.union(known).select(before.alias("a"), F.col("pg").alias("b"))
-    steps = steps.union(heads.select(F.lag("pg").over(Window.partitionBy("token").orderBy("salt")).alias("a"), F.col("pg").alias("b")))
+    # Groups that share a prefix shingle, chained along each posting list by size, and not across sizes too far apart to
+    # link.  Known shingles may be in very many groups: their lists are dealt by size class and salt, and the parts chained.
+    far = F.lit(100 * 1.0 / percent + 1e-4)
+    size_class = F.floor(F.log("n") / F.log(far))
+    fresh = some.select(F.explode("rare").alias("token"), "n", "pg")
+    known = some.select(F.explode("common").alias("token"), F.explode(F.array(size_class, size_class + 1)).alias("c"), F.pmod("pg", F.lit(SALTS)).cast("int").alias("salt"), "pg").distinct()
+    by_size, by_group = Window.partitionBy("token").orderBy("n", "pg"), Window.partitionBy("token", "c", "salt").orderBy("pg")
+    steps = fresh.select(F.lag("pg").over(by_size).alias("a"), F.col("pg").alias("b"), (F.lag("n").over(by_size) * far >= F.col("n")).alias("near")).where("near").drop("near")
+    steps = steps.union(known.select(F.lag("pg").over(by_group).alias("a"), F.col("pg").alias("b")))
+    heads = known.groupBy("token", "c", "salt").agg(F.min("pg").alias("pg"))
+    steps = steps.union(heads.select(F.lag("pg").over(Window.partitionBy("token", "c").orderBy("salt")).alias("a"), F.col("pg").alias("b")))
     steps = work.keep(steps.where("a is not null and a <> b").distinct(), "steps")
     met = components(steps, work, "groups")
 
@@ -250,14 +254,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     sets = sets.join(met.select(F.col("node").alias("pg"), "component"), "pg", "left").select("doc_id", "n", "s1", "s2", F.coalesce("component", "pg").alias("cluster"))
     sets = work.keep(sets, "reps")
     work.drop("steps")
-    size = sets.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
-    size = size.select(F.col("cluster"), F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("parts"))
-    chosen = sets.join(size, "cluster").select("doc_id", "cluster", "parts", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)").alias("block"))
+    # Clusters of more than one block are first taken apart by size: each document meets its own class and the next.
+    parts = lambda by: by.agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1").withColumn("parts", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("long")).drop("m", "total")
+    whole = parts(sets.groupBy("cluster"))
+    in_large = sets.join(whole, "cluster").withColumn("c", F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(size_class, size_class + 1)))
+    in_large = work.keep(in_large.select("doc_id", "n", "cluster", F.explode("c").alias("c")), "classes")
+    chosen = in_large.join(parts(in_large.groupBy("cluster", "c")), ["cluster", "c"]).select("doc_id", "cluster", "c", "parts", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)").alias("block"))
     chosen = work.keep(chosen, "chosen")
     texts = only_ids(docs, id_filter(spark, chosen)).join(chosen, "doc_id")
     pairs = texts.withColumn("x", F.explode(F.expr("sequence(0, cast(parts - 1 as int))")))
-    pairs = pairs.select("cluster", F.least("block", "x").alias("lo"), F.greatest("block", "x").alias("hi"), "block", "doc_id", "text")
-    dealt = pairs.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "doc_id")
+    pairs = pairs.select("cluster", "c", F.least("block", "x").alias("lo"), F.greatest("block", "x").alias("hi"), "block", "doc_id", "text")
+    dealt = pairs.repartition("cluster", "c", "lo", "hi").sortWithinPartitions("cluster", "c", "lo", "hi", "doc_id")
     links = work.keep(dealt.mapInArrow(_verify(n, percent), "a long, b long"), "links")
     joined = components(links, work, "docs")
 
