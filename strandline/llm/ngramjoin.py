@@ -27,8 +27,8 @@ from strandline.llm import hashing
 from strandline.llm.components import Forest, components
 from strandline.llm.storage import Workspace
 
-#: Slots of the sketch of repeated shingles: 2**22, so that a broadcast of it is 8 MB whatever the input.
-SKETCH_BITS = 22
+#: Slots of the sketch of repeated shingles: 2**21, so that a broadcast of it is 4 MB whatever the input.
+SKETCH_BITS = 21
 #: Bits of the filter over candidate ids: 2**24, so 2 MB.
 FILTER_BITS = 24
 #: A block of a candidate cluster holds about so many shingles and documents.
@@ -132,8 +132,8 @@ def id_slots(ids: np.ndarray) -> np.ndarray:
 def id_filter(spark: SparkSession, ids: DataFrame):
     """A broadcast filter of fixed size that passes at least the given ids (column doc_id)."""
     words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    found = ids.where("doc_id is not null").mapInPandas(_bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    found = ids.where("doc_id is not null").mapInPandas(_bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return spark.sparkContext.broadcast(words)
 
 
@@ -226,10 +226,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     work = Workspace(spark, "ngramjoin")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    seen = docs.mapInArrow(_repeats(n), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts[seen["slot"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
-    sketch = spark.sparkContext.broadcast(np.minimum(counts, 65_535).astype(np.uint16))
+    counts = np.zeros(1 << SKETCH_BITS, np.uint16)
+    seen = docs.mapInArrow(_repeats(n), "slot int, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(65_535)).cast("int").alias("n")).toArrow()
+    counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
+    sketch = spark.sparkContext.broadcast(counts)
+    del seen
     work.release()
 
     base = work.keep(docs.mapInArrow(_prefixes(n, percent, sketch), "doc_id long, n long, s1 long, s2 long, pg long, rare array<long>, common array<long>"), "sets")
