@@ -33,6 +33,8 @@ SKETCH_BITS = 21
 FILTER_BITS = 24
 #: A block of a candidate cluster holds about so many shingles and documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 200_000, 384
+#: Posting lists of at most so many groups give pairs, which a bound on the overlap thins out; longer ones are chained.
+SHORT = 16
 #: Posting lists of shingles that the sketch knows are dealt to so many tasks each.
 SALTS = 32
 
@@ -84,7 +86,7 @@ def _prefixes(n: int, percent: int, sketch):
         counts = sketch.value
         for batch in batches:
             for part in hashing.slices(batch):
-                sizes, one, two, groups, rare, common = [], [], [], [], [], []
+                sizes, one, two, groups, rare, common, last = [], [], [], [], [], [], []
                 for s in shingle_sets(part, n):
                     size = len(s)
                     least = -(-percent * size // 100)
@@ -100,14 +102,15 @@ def _prefixes(n: int, percent: int, sketch):
                     one.append(int(mixed.sum(dtype=np.uint64)))
                     two.append(int(np.bitwise_xor.reduce(hashing.mix(mixed + np.uint64(77)))) if size else 0)
                     head = np.concatenate([fresh, known])
+                    last.append((int(seen[s == known[-1]][0]) if len(known) else 0, int(head[-1]) - 2**63) if size else (0, 0))
                     groups.append(int(hashing.mix(np.array([int(hashing.mix(head + np.arange(len(head), dtype=np.uint64)).sum(dtype=np.uint64)) ^ size], np.uint64))[0]))
                     rare.append(fresh)
                     common.append(known)
                 as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 joined = lambda x: hashing.lists(hashing.signed(np.concatenate(x)), [len(y) for y in x])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(np.array(sizes, np.int64)), as_long(one), as_long(two), as_long(groups), joined(rare), joined(common)],
-                    ["doc_id", "n", "s1", "s2", "pg", "rare", "common"],
+                    [part.column(0).cast(pa.int64()), pa.array(np.array(sizes, np.int64)), as_long(one), as_long(two), as_long(groups), pa.array([x for x, _ in last], pa.int64()), pa.array([x for _, x in last], pa.int64()), joined(rare), joined(common)],
+                    ["doc_id", "n", "s1", "s2", "pg", "last_count", "last_hash", "rare", "common"],
                 )
 
     return task
@@ -233,17 +236,32 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     del seen
     work.release()
 
-    base = work.keep(docs.mapInArrow(_prefixes(n, percent, sketch), "doc_id long, n long, s1 long, s2 long, pg long, rare array<long>, common array<long>"), "sets")
+    base = work.keep(docs.mapInArrow(_prefixes(n, percent, sketch), "doc_id long, n long, s1 long, s2 long, pg long, last_count long, last_hash long, rare array<long>, common array<long>"), "sets")
     some = base.where("n > 0 and doc_id is not null")
 
-    # Groups that share a prefix shingle, chained along each posting list by size, and not across sizes too far apart to
-    # link.  Known shingles may be in very many groups: their lists are dealt by size class and salt, and the parts chained.
+    # Groups that share a prefix shingle: pairs from short posting lists, chains by size along long ones, and neither across
+    # sizes too far apart to link.  Known shingles may be in very many groups: their lists are dealt by size class and salt, and the parts chained.
     far = F.lit(100 * 1.0 / percent + 1e-4)
     size_class = F.floor(F.log("n") / F.log(far))
     fresh = some.select(F.explode("rare").alias("token"), "n", "pg")
     known = some.select(F.explode("common").alias("token"), F.explode(F.array(size_class, size_class + 1)).alias("c"), F.pmod("pg", F.lit(SALTS)).cast("int").alias("salt"), "pg").distinct()
-    by_size, by_group = Window.partitionBy("token").orderBy("n", "pg"), Window.partitionBy("token", "c", "salt").orderBy("pg")
-    steps = fresh.select(F.lag("pg").over(by_size).alias("a"), F.col("pg").alias("b"), (F.lag("n").over(by_size) * far >= F.col("n")).alias("near")).where("near").drop("near")
+    by_group = Window.partitionBy("token", "c", "salt").orderBy("pg")
+    by_size = Window.partitionBy("token").orderBy("n", "pg")
+    lists = fresh.withColumn("same", F.lag("pg").over(by_size)).where("same is null or same <> pg").drop("same")
+    lists = lists.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    lists = lists.withColumn("before", F.collect_list(F.struct("pg", "n")).over(by_size.rowsBetween(1 - SHORT, -1)))
+    short = lists.where(F.col("df") <= SHORT).select(F.explode("before").alias("x"), "pg", "n").where(F.col("x.n") * far >= F.col("n"))
+    # A pair that meets in short lists only has as many shingles in common up to the end of the prefix that ends first.
+    pairs = short.groupBy(F.col("x.pg").alias("a"), F.col("pg").alias("b"), F.col("x.n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("shared"))
+    needed = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent))
+    beyond = lambda n: F.ceil(F.col(n) * F.lit(percent) / 100) - 1
+    pairs = work.keep(pairs.where((F.col("a") != F.col("b")) & (F.col("shared") + F.greatest(beyond("na"), beyond("nb")) >= needed)), "pairs")
+    ends = some.groupBy("pg").agg(F.min(F.struct("last_count", "last_hash")).alias("end"))
+    pairs = pairs.join(ends.select(F.col("pg").alias("a"), F.col("end").alias("ea")), "a").join(ends.select(F.col("pg").alias("b"), F.col("end").alias("eb")), "b")
+    first, other = F.when(F.col("ea") <= F.col("eb"), beyond("na")).otherwise(beyond("nb")), F.when(F.col("ea") <= F.col("eb"), F.col("nb")).otherwise(F.col("na"))
+    steps = pairs.where(F.least(F.col("shared") + first, other) >= needed).select("a", "b")
+    long_lists = lists.where(F.col("df") > SHORT).withColumn("x", F.try_element_at("before", F.lit(-1))).where(F.col("x.n") * far >= F.col("n"))
+    steps = steps.union(long_lists.select(F.col("x.pg").alias("a"), F.col("pg").alias("b")))
     steps = steps.union(known.select(F.lag("pg").over(by_group).alias("a"), F.col("pg").alias("b")))
     heads = known.groupBy("token", "c", "salt").agg(F.min("pg").alias("pg"))
     steps = steps.union(heads.select(F.lag("pg").over(Window.partitionBy("token", "c").orderBy("salt")).alias("a"), F.col("pg").alias("b")))
