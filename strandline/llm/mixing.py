@@ -69,7 +69,7 @@ def pivot(ids: np.ndarray, sizes: np.ndarray, p: np.ndarray, seed: int) -> np.nd
     which share a probability until it is their turn, so that what stays open is small; otherwise two by two.
     """
     draw = draws(ids, seed)
-    order = np.lexsort((draw, -sizes))
+    order = np.lexsort((draws(ids, seed + 500), -sizes))  # other numbers than the draws, which the order would bias
     size, q, u = sizes.astype(float)[order].tolist(), p.astype(float)[order].tolist(), draw[order].tolist()
     if len(q) and min(q) == max(q):
         rest, common = sum(size), _settled(q[0])
