@@ -77,26 +77,41 @@ class Trie:
 
 
 class Screen:
-    """Which words may be near a stem, by hashes of the stems' halves; never misses one within an edit."""
+    """Which words may be near a stem: hashes of the stems' halves, then, where the word begins in ASCII, the bytes around the
+    first difference.  Never misses a word within an edit of a stem."""
 
     def __init__(self, stems: Iterable[str]):
-        self.checks: dict[tuple[int, int], np.ndarray] = {}
-        found: dict[tuple[int, int], set[int]] = {}
+        found: dict[tuple[int, int], dict[int, set[bytes]]] = {}
+        self.exact: set[bytes] = set()
         for stem in stems:
             raw = stem.encode()
             cut = len(raw) if len(stem) < 5 else len(raw) // 2
-            found.setdefault((0, cut), set()).add(self._one(raw[:cut]))
-            if cut < len(raw):
-                for shift in range(-2, 3):
-                    if cut + shift >= 0:
-                        found.setdefault((cut + shift, len(raw) - cut), set()).add(self._one(raw[cut:]))
-        self.checks = {k: np.array(sorted(v), np.uint64) for k, v in found.items()}
+            if cut == len(raw):
+                self.exact.add(raw)
+            for offset, piece in [(0, raw[:cut])] + [(cut + shift, raw[cut:]) for shift in range(-2, 3) if cut < len(raw) and cut + shift >= 0]:
+                found.setdefault((offset, len(piece)), {}).setdefault(self._one(piece), set()).add(raw)
+        self.checks = {k: (np.array(sorted(v), np.uint64), [sorted(v[h]) for h in sorted(v)]) for k, v in found.items()}
 
     @staticmethod
     def _one(raw: bytes) -> int:
         data = np.frombuffer(raw, np.uint8)
         return int((hashing._BYTE[data] * hashing._POW[: len(data)]).sum(dtype=np.uint64))
 
+    def _near(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, stem: bytes) -> np.ndarray:
+        """Of words known by start and size: begins within an edit of the stem, or has other than ASCII there."""
+        if stem in self.exact:
+            return np.ones(len(start), bool)
+        s, n = np.frombuffer(stem, np.uint8), len(stem)
+        place = np.arange(n + 1)
+        w = np.where(place < size[:, None], data[np.minimum(start[:, None] + place, len(data) - 1)], 0)
+        ends_well = lambda same: np.hstack([np.logical_and.accumulate(same[:, ::-1], axis=1)[:, ::-1], np.ones((len(same), 1), bool)])
+        same = w[:, :n] == s
+        first = np.where(same.all(1), n, same.argmin(1))
+        row = np.arange(len(w))
+        kept, more, less = ends_well(same), ends_well(w[:, 1:] == s), ends_well(w[:, : n - 1] == s[1:])
+        after = np.minimum(first + 1, n)
+        return (w >= 0x80).any(1) | (first >= n - 1) | kept[row, after] | more[row, np.minimum(first, n)] | less[row, np.minimum(first, n - 1)]
+
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers of the words that may match."""
         out = np.zeros(len(starts), bool)
@@ -108,12 +123,17 @@ class Screen:
             sums = np.zeros(hi - lo + 1, np.uint64)
             np.cumsum(hashing._BYTE[data[lo:hi]] * hashing._POW[: hi - lo], out=sums[1:])
             s, size = starts[at:to] - lo, np.minimum(ends[at:to], hi) - starts[at:to]
-            for (offset, length), wanted in self.checks.items():
+            for (offset, length), (wanted, stems) in self.checks.items():
                 on = np.flatnonzero(size >= offset + length)
                 a = s[on] + offset
                 h = (sums[a + length] - sums[a]) * hashing._INV[a]
                 where = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                out[at + on[wanted[where] == h]] = True
+                hit = wanted[where] == h
+                on, where = on[hit], where[hit]
+                for k in np.unique(where):
+                    mine = on[where == k]
+                    for stem in stems[k]:
+                        out[at + mine[self._near(data, starts[at + mine], size[mine], stem)]] = True
             at = to
         return np.flatnonzero(out)
 
@@ -125,13 +145,14 @@ def _words(part: pa.RecordBatch):
     return data, low, offsets, starts, ends, rows
 
 
-def hit_features(part: pa.RecordBatch, trie: Trie, screen: Screen, clean: frozenset[str], worths: dict[str, float]) -> tuple[np.ndarray, list[list]]:
+def hit_features(part: pa.RecordBatch, trie: Trie, screen: Screen, clean: frozenset[str], worths: dict[str, float], memo: dict) -> tuple[np.ndarray, list[list]]:
     """For each row: log hits outside and inside quotation, largest density of a window; and the hits themselves."""
     data, low, offsets, starts, ends, rows = _words(part)
     out, hits = np.zeros((part.num_rows, 3)), [[] for _ in range(part.num_rows)]
     if not len(starts) or not trie.root:
         return out, hits
-    memo: dict[bytes, tuple[str, int] | None] = {}
+    if len(memo) > 500_000:
+        memo.clear()
     for i in screen(low, starts, ends).tolist():
         raw = low[starts[i] : min(ends[i], starts[i] + 64)].tobytes()
         if raw not in memo:
@@ -179,20 +200,21 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([counts[0][k] for k in rest], pa.int64())], ["stem", "toxic", "clean"])
 
 
-def choose_stems(counts: pd.DataFrame, n_toxic: int, n_clean: int, ratio: float = 12.0) -> dict[str, float]:
-    """From the shortest telling beginnings down to the longest ones that keep nearly all of their documents, each with
-    its worth, the log of how much oftener toxic documents have it than clean ones can, in units of log 300."""
+def choose_stems(counts: pd.DataFrame, n_toxic: int, n_clean: int, least: float, ratio: float = 12.0) -> dict[str, float]:
+    """Telling beginnings: neither so short that a longer one tells more, nor so long that a shorter one keeps the documents.
+
+    Each has its worth, the log of how much oftener toxic documents have it than clean ones can, in units of log 300."""
     toxic, clean = (dict(zip(counts["stem"], counts[c], strict=True)) for c in ("toxic", "clean"))
     below: dict[str, list[str]] = {}
     for s in toxic:
         below.setdefault(s[:-1], []).append(s)
-    least = max(4, 0.015 * n_toxic)
     odds = lambda s: toxic[s] / max(1, n_toxic) * max(1, n_clean) / (clean[s] + 3)  # noqa: E731  3: what none seen leaves possible
     tells = lambda s: toxic[s] >= least and odds(s) >= ratio
+    value = lambda s: toxic[s] * np.log(max(1.0, odds(s)))
     out, stack = [], [s for s in toxic if len(s) == 3]
     while stack:
         s = stack.pop()
-        if tells(s):
+        if tells(s) and all(value(x) <= value(s) for x in below.get(s, ())):
             while longer := [x for x in below.get(s, ()) if toxic[x] >= 0.95 * toxic[s]]:
                 s = max(longer, key=lambda x: (toxic[x], x))
             out.append(s)
@@ -209,9 +231,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
     model = {"stems": {}, "clean": frozenset(), "weights": np.array([0.0, 0.0, 0.0, -40.0])}
     if not size.get(0) or not size.get(1):
         return model
-    counts = sample.mapInArrow(_beginnings, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.where(F.col("toxic") >= max(4, 0.015 * size[1]))  # at most 1/0.015 stems a word of a toxic document
-    stems = choose_stems(counts.toPandas(), size[1], size[0])
+    # Common stems first; then those of toxic documents without any, so that copies of covered ones lend no words.
+    stems: dict[str, float] = {}
+    for share in (0.05, 0.015):
+        rest, least = sample, max(4, share * size[1])
+        if stems:
+            rest = score_features(sample.withColumn("t", F.col("text")), model | {"stems": stems}).where("y = 0 or size(filter(hits, h -> h.edits = 0)) = 0").select(F.col("t").alias("text"), "y")
+        counts = rest.select("text", "y").mapInArrow(_beginnings, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        counts = counts.where(F.col("toxic") >= least)  # a bounded number for each word of a toxic document
+        stems |= choose_stems(counts.toPandas(), size[1], size[0], least)
     trie, screen = Trie(stems), Screen(stems)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +273,10 @@ def score_features(docs: DataFrame, model: dict) -> DataFrame:
     kind = pa.list_(pa.struct([("stem", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, screen = Trie(stems), Screen(stems)
+        trie, screen, memo = Trie(stems), Screen(stems), {}
         for batch in batches:
             for part in hashing.slices(batch):
-                f, hits = hit_features(part, trie, screen, clean, stems)
+                f, hits = hit_features(part, trie, screen, clean, stems, memo)
                 rest = [i for i, c in enumerate(part.schema.names) if c != "text"]
                 found = [[{"stem": s, "edits": e, "quoted": q} for _, s, e, q, _ in row] for row in hits]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in rest] + [pa.array(f.tolist(), pa.list_(pa.float64())), pa.array(found, kind)], [part.schema.names[i] for i in rest] + ["f", "hits"])
