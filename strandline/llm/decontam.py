@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import hashing
+from strandline.llm.storage import small_batches
 
 WIDTH, LEAST, SHARE, RUN = 8, 5, 0.5, 13
 #: Items of the benchmark that are broadcast at once.
@@ -176,7 +177,7 @@ def _scan(index, share: float, run: int):
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN, block: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, items (benchmark ids), coverage, longest_run, reparameterised, contaminated of every row of ``docs``."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     n = -(-items.count() // block)

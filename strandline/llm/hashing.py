@@ -7,6 +7,7 @@ that no Python loop runs over words; texts are worked through in pieces, which b
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 18
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.default_rng(20240607)
@@ -55,6 +56,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release_memory()
+
+
+def release_memory() -> None:
+    """Hands freed memory back, which workers that wait for their next task would keep."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +116,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return out
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 _ASCII_LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import hashing
 from strandline.llm.learning import crc_mod, sigmoid
+from strandline.llm.storage import small_batches
 
 #: Labelled documents that the classifiers are fitted on, at most; dimensions of the hashed n-grams.
 TRAIN_LIMIT, DIMS = 4_000, 2_048
@@ -119,6 +120,7 @@ def decode(margins: np.ndarray, code: np.ndarray, bits: np.ndarray) -> np.ndarra
 
 def predict_languages(docs: DataFrame, model: dict, close: float = 0.2) -> DataFrame:
     """The rows with lang_pred, score and ambiguous; all columns are kept (those of these names replaced)."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     langs = model["langs"]

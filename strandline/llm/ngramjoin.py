@@ -54,7 +54,7 @@ def shingle_sets(batch: pa.RecordBatch, n: int, column: str = "text") -> Iterato
             yield np.zeros(0, np.uint64)
 
 
-def _repeats(n: int, limit: int = 4_000_000):
+def _repeats(n: int, limit: int = 1_500_000):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, totals = [], 0, np.zeros(1 << SKETCH_BITS, np.int32)
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from strandline.llm import hashing
 from strandline.llm.langid import gram_features
 from strandline.llm.learning import crc_mod, fit_logistic, sigmoid
+from strandline.llm.storage import small_batches
 
 #: Labelled and unlabelled documents of the fit, at most; dimensions of the views; rounds, and pseudo-labels of a round.
 LABELLED, UNLABELLED, TEXT_DIMS, META_DIMS, ROUNDS, SHARE = 3_000, 3_000, 512, 56, 4, 0.05
@@ -112,6 +113,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
 
 def score_quality(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, text_score, meta_score of every row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", "n_chars")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

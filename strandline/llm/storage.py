@@ -19,11 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of an Arrow batch of texts: few, so that a batch of long texts is small on either side.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lowers the session's rows for each Arrow batch to BATCH_ROWS, where more are allowed."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    return spark
+
+
 class Workspace:
     """Writes tables below the shared folder, cutting lineage, and drops those no longer read."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.base = small_batches(spark), f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"

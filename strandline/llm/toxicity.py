@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import hashing
 from strandline.llm.learning import fit_logistic, labelled_sample
+from strandline.llm.storage import small_batches
 
 #: Labelled documents that the model is learned from, at most; and stems of the lexicon.
 TRAIN_LIMIT, LEXICON_LIMIT = 8_000, 2_000
@@ -269,6 +270,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
 
 def score_features(docs: DataFrame, model: dict) -> DataFrame:
     """The rows with f (features) and hits (stem, edits, quoted); all columns are kept."""
+    small_batches(docs.sparkSession)
     stems, clean = model["stems"], model["clean"]
     kind = pa.list_(pa.struct([("stem", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
 
