@@ -83,7 +83,7 @@ def fit_bits(x: np.ndarray, y: np.ndarray, code: np.ndarray, l2: float = 0.02, s
     v, t, rate = w.copy(), 1.0, 2.0
     for _ in range(steps):
         new = v - rate * (x.T @ (sigmoid(x @ v) - goal) / len(x) + l2 / len(x) * v)
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2  # a plain float, so that all stays in single precision
         v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
     right = (np.sign(x @ w) == code[y]).mean(0)
     return w.astype(float), np.maximum(0.05, right - 0.5) / 0.5
