@@ -198,3 +198,68 @@ def normal_blocks(linearised: DataFrame) -> DataFrame:
     a = linearised.select("factor", F.col("block").alias("i"), "row", F.col("col").alias("r"), F.col("value").alias("u"), "weight")
     b = linearised.select("factor", F.col("block").alias("j"), "row", F.col("col").alias("c"), F.col("value").alias("v"))
     return a.join(b, ["factor", "row"]).groupBy("i", "j", "r", "c").agg(F.sum(F.col("u") * F.col("v") * F.col("weight")).alias("value"))
+
+
+def project(pose: np.ndarray, points: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Pixels of points seen from a pose (rotation vector, offset)."""
+    x = points @ exp_so3(pose[:3]).T + pose[3:6]
+    return x[:, :2] / np.where(np.abs(x[:, 2:]) < 1e-9, 1e-9, x[:, 2:]) * np.array([k[0, 0], k[1, 1]]) + k[:2, 2]
+
+
+def bundle_adjust(poses: np.ndarray, points: np.ndarray, seen: np.ndarray, pixels: np.ndarray, k: np.ndarray, scale: float = 1.0, most: int = 30) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Poses (n, 6) and points (m, 3) that lower the Huber cost of observations seen (pose, point) at pixels; the first pose is
+    held.  Points are eliminated from each step, so its system is as large as the window of poses."""
+    poses, points, damping, eps = poses.astype(float).copy(), points.astype(float).copy(), 1e-3, 1e-6
+
+    def residuals(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(pixels, float)
+        for i in range(len(p)):
+            mine = seen[:, 0] == i
+            out[mine] = project(p[i], x[seen[mine, 1]], k) - pixels[mine]
+        return out
+
+    def cost(r: np.ndarray) -> float:
+        z = (r**2).sum(1) / scale**2
+        return float(np.where(z <= 1, z, 2 * np.sqrt(np.maximum(z, 1)) - 1).sum())
+
+    costs = [cost(residuals(poses, points))]
+    for _ in range(most):
+        r = residuals(poses, points)
+        w = 1 / np.maximum(1.0, np.sqrt((r**2).sum(1)) / scale)
+        jp, jx = np.empty((len(seen), 2, 6)), np.empty((len(seen), 2, 3))
+        for c in range(6):
+            d = np.zeros(6)
+            d[c] = eps
+            jp[:, :, c] = (residuals(poses + d, points) - residuals(poses - d, points)) / (2 * eps)
+        for c in range(3):
+            d = np.zeros(3)
+            d[c] = eps
+            jx[:, :, c] = (residuals(poses, points + d) - residuals(poses, points - d)) / (2 * eps)
+        n = len(poses) * 6
+        a, b = np.zeros((n, n)), np.zeros(n)
+        v, g = np.tile(damping * np.eye(3), (len(points), 1, 1)), np.zeros((len(points), 3))
+        mixed = np.zeros((len(points), n, 3))
+        for o, (i, j) in enumerate(seen):
+            s = slice(6 * i, 6 * i + 6)
+            a[s, s] += w[o] * jp[o].T @ jp[o]
+            b[s] -= w[o] * jp[o].T @ r[o]
+            v[j] += w[o] * jx[o].T @ jx[o]
+            g[j] -= w[o] * jx[o].T @ r[o]
+            mixed[j, s] += w[o] * jp[o].T @ jx[o]
+        inverse = np.linalg.inv(v)
+        a += damping * np.eye(n) - np.einsum("jac,jcd,jbd->ab", mixed, inverse, mixed)
+        b -= np.einsum("jac,jcd,jd->a", mixed, inverse, g)
+        step = np.zeros(n)
+        step[6:] = np.linalg.solve(a[6:, 6:], b[6:]) if n > 6 else 0
+        move = np.einsum("jcd,jd->jc", inverse, g - np.einsum("jac,a->jc", mixed, step))
+        new = cost(residuals(poses + step.reshape(-1, 6), points + move))
+        if new < costs[-1]:
+            poses, points, damping = poses + step.reshape(-1, 6), points + move, damping / 3
+            costs.append(new)
+            if costs[-2] - new < 1e-12 * max(1.0, new):
+                break
+        else:
+            damping *= 10
+            if damping > 1e8:
+                break
+    return poses, points, costs

@@ -249,3 +249,17 @@ def test_streams_equal_batches(spark, tmp_path):
     a, b = (spark.readStream.schema(spark.read.parquet(str(tmp_path / p)).schema).parquet(str(tmp_path / p)) for p in ("asked", "answers"))
     joined = ops.run_available(ops.ttl_join(a, b, "id", "5 seconds"), "ttl", str(tmp_path / "c4"))
     assert {r["id"] for r in joined.where("payload is not null").collect()} == {0, 1, 2}
+
+
+def test_bundle_adjustment_lowers_reprojection():
+    rng = np.random.default_rng(5)
+    k = np.array([[300.0, 0, 160], [0, 300, 120], [0, 0, 1]])
+    poses = np.array([[0.0, 0.05 * i, 0.01 * i, -0.3 * i, 0.05 * i, 0.02 * i] for i in range(4)])
+    points = rng.uniform(-1, 1, (25, 3)) + [0, 0, 5]
+    seen = np.array([(i, j) for i in range(4) for j in range(25)])
+    pixels = np.vstack([graphs.project(p, points, k) for p in poses])
+    start = poses + rng.normal(size=poses.shape) * 0.01
+    start[0] = poses[0]
+    p, x, costs = graphs.bundle_adjust(start, points + rng.normal(size=points.shape) * 0.05, seen, pixels, k)
+    assert costs[0] > 10 and costs[-1] < 1e-6 and (p[0] == poses[0]).all()
+    assert np.abs(np.vstack([graphs.project(q, x, k) for q in p]) - pixels).max() < 1e-2
