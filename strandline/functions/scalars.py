@@ -134,3 +134,101 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """0 where either vector is zero."""
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+
+
+def camera_name(key: Column) -> Column:
+    """image_N of a projection key (P_rect_0N, P_rect_N, P_N, PN); null for other keys."""
+    rect, short = F.regexp_extract(key, r"^P_rect_0?(\d+)$", 1), F.regexp_extract(key, r"^P_?(\d+)$", 1)
+    number = F.coalesce(F.nullif(rect, F.lit("")), F.nullif(short, F.lit("")))
+    return F.concat(F.lit("image_"), number.cast("int").cast("string"))
+
+
+def camera_id(name: Column) -> Column:
+    """0 to 3 of image_N and image_0N; null for other names."""
+    return F.nullif(F.regexp_extract(name, r"^image_0?([0-3])$", 1), F.lit("")).cast("int")
+
+
+def drive_id(text: Column) -> Column:
+    """Digits are filled with zeros to four places; longer ones and other names stay."""
+    return F.when(text.rlike(r"^\d+$") & (F.length(text) < 4), F.lpad(text, 4, "0")).otherwise(text)
+
+
+def fov_intrinsics(width: Column, height: Column, fov_deg: Column) -> Column:
+    """Row-major camera matrix of an image size and a horizontal field of view."""
+    f = width / (2 * F.tan(F.radians(fov_deg) / 2))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array(f, zero, width / 2, zero, f, height / 2, zero, zero, one)
+
+
+def projection_intrinsics(p: Column) -> Column:
+    """Row-major camera matrix of a row-major 3x4 projection, its last element made 1 unless it is 0."""
+    last = F.when(p[10] == 0, F.lit(1.0)).otherwise(p[10])
+    return F.array(*[p[4 * r + c] / last for r in range(3) for c in range(3)])
+
+
+def determinant(k: Column | list[Column]) -> Column:
+    return k[0] * (k[4] * k[8] - k[5] * k[7]) - k[1] * (k[3] * k[8] - k[5] * k[6]) + k[2] * (k[3] * k[7] - k[4] * k[6])
+
+
+def projection_offset(k: Column, p: Column) -> Column:
+    """Translation of a projection whose camera matrix is k and whose rotation is the identity; null where k is singular."""
+
+    def solved(both: Column) -> Column:
+        m, a = [both["k"][i] for i in range(9)], [both["p"][i] for i in (3, 7, 11)]
+        det = F.nullif(determinant(m), F.lit(0.0))
+        # Cramer's rule: each unknown is the determinant with its column replaced.
+        swapped = [[a[r] if c == i else m[3 * r + c] for r in range(3) for c in range(3)] for i in range(3)]
+        return F.when(det.isNotNull(), F.array(*[-determinant(w) / det for w in swapped]))
+
+    return F.transform(F.array(F.struct(k.alias("k"), p.alias("p"))), solved)[0]
+
+
+def adaptive_threshold(median: Column, base: float, least: float, most: float) -> Column:
+    """base, scaled by the median displacement over 25 pixels (half to double), within limits; no displacement: base."""
+    scale = F.least(F.greatest(median / 25.0, F.lit(0.5)), F.lit(2.0))
+    return F.least(F.greatest(base * F.coalesce(scale, F.lit(1.0)), F.lit(least)), F.lit(most))
+
+
+def loop_scale(estimated: Column, measured: Column, least: float) -> Column:
+    """Ratio of two translation lengths; 1 if either is below ``least``."""
+    return F.when((estimated < least) | (measured < least), F.lit(1.0)).otherwise(estimated / measured)
+
+
+def largest_of(values: Column, keys: tuple[str, ...]) -> Column:
+    """The largest of those keys that a map holds; null if it holds none."""
+    return F.array_max(F.array(*[values[k] for k in keys]))
+
+
+def total_of(values: Column, keys: tuple[str, ...]) -> Column:
+    return sum((F.coalesce(values[k], F.lit(0)) for k in keys), F.lit(0))
+
+
+def _rest(values: Column, seen: Column) -> Column:
+    return F.map_filter(values, lambda k, _: ~F.array_contains(seen, k))
+
+
+def first_wins(*maps: Column) -> Column:
+    """One map of all; a key's value is that of the first map that holds it.  Null maps are empty."""
+    out = F.coalesce(maps[0], F.create_map().cast("map<string,string>"))
+    for more in maps[1:]:
+        out = F.map_concat(out, F.coalesce(_rest(more, F.map_keys(out)), F.create_map().cast("map<string,string>")))
+    return out
+
+
+def correlation_id(stage: Column, seed: Column, config_hash: Column, run_id: Column, salt: Column) -> Column:
+    """sha256 of the canonical JSON of the five, keys in order."""
+    parts = F.struct(config_hash.alias("config_hash"), run_id.alias("run_id"), salt.alias("salt"), seed.alias("seed"), stage.alias("stage"))
+    return F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256)
+
+
+#: The fields of a key point, in the order they are stored in.
+KEYPOINT = ("x", "y", "size", "angle", "response", "octave", "class_id")
+
+
+def keypoint_numbers(point: Column) -> Column:
+    return F.array(*[point[n].cast("float") for n in KEYPOINT])
+
+
+def keypoint_fields(numbers: Column) -> Column:
+    """The struct of seven stored numbers; octave and class are whole."""
+    return F.struct(*[numbers[i].cast("int" if n in ("octave", "class_id") else "float").alias(n) for i, n in enumerate(KEYPOINT)])

@@ -141,6 +141,7 @@ def vanishing_focal(lines_a: np.ndarray, lines_b: np.ndarray, centre: tuple[floa
 
 
 def intrinsics(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Camera matrix (last element 1) and offset of a 3x4 projection whose rotation is the identity."""
+    """Camera matrix (last element 1) and offset of a 3x4 projection whose rotation is the identity; as in ``scalars``, the last
+    column is taken as it stands."""
     k = p[:, :3] / p[2, 2]
-    return k, -np.linalg.solve(k, p[:, 3] / p[2, 2])
+    return k, -np.linalg.solve(k, p[:, 3])

@@ -1 +1,3 @@
-"""See the modules."""
+"""The registered queries; importing the package registers them all."""
+
+from strandline.plans import catalogue, controls  # noqa: F401

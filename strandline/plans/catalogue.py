@@ -433,7 +433,7 @@ def dependency_propagation(spark, sf_dir):
     return joins.propagate(states, needs, 2)
 
 
-_COS = "with e as (select vec_id as id, embedding::double[] as v from embeddings), s as (select a.id as query_id, b.id as id, round(list_cosine_similarity(a.v, b.v), 9) as score from e a join e b on a.id <> b.id and a.id % 50 = 0)"
+_COS = "with e as (select vec_id as id, embedding::double[] as v from embeddings), s as (select a.id as query_id, b.id as id, round(list_cosine_similarity(a.v, b.v), 9) as score from e a join e b on a.id <> b.id and a.id % 20 = 0)"
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -443,13 +443,13 @@ def _vectors(spark, sf_dir) -> DataFrame:
 @query(f"{_COS} select query_id, id, round(score, 6) as score, r as rank from (select *, row_number() over (partition by query_id order by score desc, id) as r from s) where r <= 5")
 def similarity_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return r6(similarity.cosine_top_k(v.select("id", "v"), v.where("id % 50 = 0").select("id", "v"), 5), "score").select("query_id", "id", "score", "rank")
+    return r6(similarity.cosine_top_k(v.select("id", "v"), v.where("id % 20 = 0").select("id", "v"), 5), "score").select("query_id", "id", "score", "rank")
 
 
 @query(f"{_COS} select query_id, id, round(score, 6) as score from s where score > 0.35 qualify row_number() over (partition by query_id order by score desc, id) <= 20")
 def similarity_detect(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return r6(similarity.cosine_top_k(v.select("id", "v"), v.where("id % 50 = 0").select("id", "v"), 20, least=0.35).select("query_id", "id", "score"), "score")
+    return r6(similarity.cosine_top_k(v.select("id", "v"), v.where("id % 20 = 0").select("id", "v"), 20, least=0.35).select("query_id", "id", "score"), "score")
 
 
 @query("""with e as (select vec_id as id, label, embedding::double[] as v from embeddings), s as (select a.id as a, b.id as b, round(list_cosine_similarity(a.v, b.v), 9) as score from e a join e b on a.label = b.label and a.id % 2 = 0 and b.id % 2 = 1),

@@ -81,13 +81,13 @@ def documents_as_variant(spark: SparkSession, path: str) -> DataFrame:
 
 
 def calibration(spark: SparkSession, path: str) -> DataFrame:
-    """path, key, rows, cols, data of "key: v v v" lines; 9 numbers are 3x3, 12 are 3x4, others flat."""
+    """path, line_no, key, rows, cols, data of "key: v v v" lines; 9 numbers are 3x3, 12 are 3x4, others flat."""
     lines = numbered_lines(spark, path).where(~F.col("line").startswith("#") & F.col("line").contains(":"))
     pair = F.split("line", ":", 2)
     data = F.transform(F.split(F.trim(pair[1]), r"\s+"), lambda v: v.try_cast("double"))
-    out = lines.select("path", F.trim(pair[0]).alias("key"), data.alias("data")).where(F.forall("data", lambda v: v.isNotNull()))
+    out = lines.select("path", "line_no", F.trim(pair[0]).alias("key"), data.alias("data")).where(F.forall("data", lambda v: v.isNotNull()))
     n = F.size("data")
-    return out.select("path", "key", F.when(n.isin(9, 12), 3).otherwise(1).alias("rows"), F.when(n == 9, 3).when(n == 12, 4).otherwise(n).alias("cols"), "data")
+    return out.select("path", "line_no", "key", F.when(n.isin(9, 12), 3).otherwise(1).alias("rows"), F.when(n == 9, 3).when(n == 12, 4).otherwise(n).alias("cols"), "data")
 
 
 def stamps(spark: SparkSession, path: str, relative: bool) -> DataFrame:

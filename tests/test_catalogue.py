@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +25,7 @@ def engine():
 def text(v) -> str:
     if hasattr(v, "__len__") and not isinstance(v, str):
         return repr([text(x) for x in v])
-    if v is None or v != v:
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return "null"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
