@@ -186,7 +186,8 @@ def projection_offset(k: Column, p: Column) -> Column:
 def adaptive_threshold(median: Column, base: float, least: float, most: float) -> Column:
     """base, scaled by the median displacement over 25 pixels (half to double), within limits; no displacement: base."""
     scale = F.least(F.greatest(median / 25.0, F.lit(0.5)), F.lit(2.0))
-    return F.least(F.greatest(base * F.coalesce(scale, F.lit(1.0)), F.lit(least)), F.lit(most))
+    scale = F.when(median.isNull(), F.lit(1.0)).otherwise(scale)  # least and greatest pass over nulls
+    return F.least(F.greatest(base * scale, F.lit(least)), F.lit(most))
 
 
 def loop_scale(estimated: Column, measured: Column, least: float) -> Column:

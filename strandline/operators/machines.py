@@ -23,7 +23,7 @@ def fold_rows(df: DataFrame, key: str, order: str, fields: list[str], start: Cal
         for pdf in batches:
             out = []
             for k, *values in zip(pdf[key], *(pdf[f"_{i}"] for i in range(len(fields))), strict=True):
-                if k != now:
+                if not _same(k, now):
                     now, state = k, start()
                 out.append(step(state, *values))
             pdf = pdf[[key, order]].assign(**{name: out})
@@ -32,6 +32,36 @@ def fold_rows(df: DataFrame, key: str, order: str, fields: list[str], start: Cal
     return rows.mapInPandas(task, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{name}` {kind}")
 
 
+def fold_groups(df: DataFrame, key: str, order: list[str], fields: list[str], start: Callable, step: Callable, finish: Callable, schema: str) -> DataFrame:
+    """The rows that ``step(state, *fields)`` and, after a key's last row, ``finish(state)`` list, each behind its key.
+
+    Rows stream like those of ``fold_rows``: only the state and one batch are in memory."""
+    kind, names = {f.name: f.dataType.simpleString() for f in df.schema}[key], [part.split()[0] for part in schema.split(", ")]
+    rows = df.select(key, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)])
+    rows = rows.repartition(key).sortWithinPartitions(key, *[f"_o{i}" for i in range(len(order))])
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for pdf in batches:
+            out = []
+            for k, *values in zip(pdf[key], *(pdf[f"_{i}"] for i in range(len(fields))), strict=True):
+                if state is None or not _same(k, now):
+                    if state is not None:
+                        out += [(now, *row) for row in finish(state)]
+                    now, state = k, start()
+                out += [(now, *row) for row in step(state, *values)]
+            yield pd.DataFrame(out, columns=[key, *names])
+        if state is not None:
+            yield pd.DataFrame([(now, *row) for row in finish(state)], columns=[key, *names])
+
+    return rows.mapInPandas(task, f"`{key}` {kind}, {schema}")
+
+
+def _same(a, b) -> bool:
+    """Equal keys; null, which pandas may hold as NaN, is one key."""
+    return a is b or a == b or a != a and b != b
+
+
 @dataclass
 class Breaker:
     """closed opens at ``failures`` failures (in all, or in a row), half-opens after ``cooldown`` s, closes after ``successes``."""
@@ -146,28 +176,36 @@ def breaker_states(df: DataFrame, key: str, order: str, ts: str, ok: str, **sett
 
 
 def marker_quantiles(df: DataFrame, key: str, order: str, value: str, at: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        markers = [QuantileMarkers(q) for q in at]
-        for x in pdf.sort_values(order)[value]:
-            for m in markers:
-                m.add(float(x))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(pdf)]} | {f"p{round(m.q * 100)}": [m.value()] for m in markers})
+    """n and the estimates of each key's values in order; values stream, so a large key costs no memory."""
 
-    kind = {f.name: f.dataType.simpleString() for f in df.schema}[key]
-    return df.select(*dict.fromkeys([key, order, value])).groupBy(key).applyInPandas(one, f"`{key}` {kind}, n long, " + ", ".join(f"p{round(q * 100)} double" for q in at))
+    def add(markers: list[QuantileMarkers], x: float) -> tuple:
+        for m in markers:
+            m.add(float(x))
+        return ()
+
+    names = ", ".join(f"p{round(q * 100)} double" for q in at)
+    return fold_groups(df, key, [order], [value], lambda: [QuantileMarkers(q) for q in at], add, lambda markers: [(markers[0].seen, *(m.value() for m in markers))], f"n long, {names}")
 
 
 def supervise(df: DataFrame, run: str, upstream: dict[str, tuple[str, ...]], **settings) -> DataFrame:
-    """Transitions of asked(run, tick, stage, asked): all stages of a run share state, so a run is a group."""
+    """Transitions of asked(run, tick, stage, asked): all stages of a run share state, so a run's ticks stream in order and
+    only one tick's stages are held."""
+
+    class Run:
+        def __init__(self) -> None:
+            self.machine, self.tick, self.asked = Supervisor(upstream, **settings), None, {}
+
+        def close(self) -> list[tuple[float, str, str, str]]:
+            return self.machine.update(self.tick, self.asked) if self.asked else []
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        machine, out = Supervisor(upstream, **settings), []
-        for tick, rows in pdf.sort_values(["tick", "stage"]).groupby("tick"):
-            out += machine.update(float(tick), dict(zip(rows["stage"], rows["asked"], strict=True)))
-        return pd.DataFrame(out, columns=["tick", "stage", "old", "new"]).assign(**{run: pdf[run].iloc[0]})[[run, "tick", "stage", "old", "new"]]
+        def step(self, tick: float, stage: str, asked: str) -> list[tuple[float, str, str, str]]:
+            moves = []
+            if tick != self.tick:
+                moves, self.tick, self.asked = self.close(), float(tick), {}
+            self.asked[stage] = asked
+            return moves
 
-    kind = {f.name: f.dataType.simpleString() for f in df.schema}[run]
-    return df.groupBy(run).applyInPandas(one, f"`{run}` {kind}, tick double, stage string, old string, new string")
+    return fold_groups(df, run, ["tick", "stage"], ["tick", "stage", "asked"], Run, Run.step, Run.close, "tick double, stage string, old string, new string")
 
 
 def failure_plan(spark, stages: list[str], steps: int, kinds: dict[str, float], seed: int) -> DataFrame:

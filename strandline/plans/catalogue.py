@@ -321,7 +321,7 @@ _PTS = "(select l_orderkey as seq, row_number() over (partition by l_orderkey or
 
 def _points(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seq"), F.row_number().over(w).alias("idx"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seq"), F.row_number().over(w).cast("long").alias("idx"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
 
 
 @query(f"select seq, idx, round(sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)), 6) as step from {_PTS} window w as (partition by seq order by idx)")

@@ -52,11 +52,11 @@ def dataset_verdict(spark, sf_dir):
 
 
 @query("""with k as (select s_suppkey, case s_suppkey % 4 when 0 then 'P_rect_0' when 1 then 'P' when 2 then 'P_' else 'R_' end || (s_suppkey % 13) as key from supplier)
-select s_suppkey, case when key like 'R%' then null else 'image_' || cast(regexp_extract(key, '(\\d+)$', 1) as int) end as camera, case when s_suppkey % 6 < 4 then (s_suppkey % 6)::int end as camera_id, case when length(s_suppkey::varchar) < 4 then lpad(s_suppkey::varchar, 4, '0') else s_suppkey::varchar end as drive from k""")
+select s_suppkey, case when key like 'R%' then null else 'image_' || cast(regexp_extract(key, '(\\d+)$', 1) as int) end as camera, case when s_suppkey % 6 < 4 then (s_suppkey % 6)::int else -1 end as camera_id, case when length(s_suppkey::varchar) < 4 then lpad(s_suppkey::varchar, 4, '0') else s_suppkey::varchar end as drive from k""")
 def camera_keys(spark, sf_dir):
     n = c("s_suppkey")
     prefix = F.when(n % 4 == 0, "P_rect_0").when(n % 4 == 1, "P").when(n % 4 == 2, "P_").otherwise("R_")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", scalars.camera_name(F.concat(prefix, n % 13)).alias("camera"), scalars.camera_id(F.concat(F.lit("image_0"), n % 6)).alias("camera_id"), scalars.drive_id(n.cast("string")).alias("drive"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", scalars.camera_name(F.concat(prefix, n % 13)).alias("camera"), F.coalesce(scalars.camera_id(F.concat(F.lit("image_0"), n % 6)), F.lit(-1)).alias("camera_id"), scalars.drive_id(n.cast("string")).alias("drive"))
 
 
 @query("""select s_suppkey, round(s_acctbal / (2 * tan(radians(60 + s_nationkey) / 2)), 6) as focal, round(-(a - 300.0 * d) / 700, 6) as tx, round(-(b - 200.0 * d) / 710, 6) as ty, round(-d, 6) as tz from (select *, s_acctbal as a, s_nationkey * 2.0 as b, s_suppkey * 0.001 as d from supplier)""")

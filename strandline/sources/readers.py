@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
+from strandline.functions.canonical import canonical, stable_hash
 from strandline.functions.scalars import parsed_time
+from strandline.sources.sinks import MAP_VERSION
 
 #: The columns of positions in twelve-number poses, and the radius of GPS projection in metres.
 POSE_COLUMNS, EARTH_RADIUS = (3, 7, 11), 6_378_137.0
@@ -58,6 +62,11 @@ def frame_diagnostics(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns(filled | {"method": F.coalesce("method", F.lit("")), "status": F.coalesce("status", F.lit("unknown"))})
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def metrics(spark: SparkSession, path: str) -> DataFrame:
     """name, recorded_at, metric, value of metric files or folders."""
     rows = spark.read.schema("name string, recorded_at string, metrics map<string,double>").json(path, multiLine=True)
@@ -67,9 +76,7 @@ def metrics(spark: SparkSession, path: str) -> DataFrame:
 def baselines(spark: SparkSession, path: str) -> DataFrame:
     """key, metric, value, config_hash, updated_at; an absent store is empty."""
     schema = "key string, metric string, value double, config_hash string, updated_at string"
-    jvm, p = spark.sparkContext._jvm, None
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema("version int, baselines map<string,struct<metrics:map<string,double>,config_hash:string,updated_at:string>>").json(path, multiLine=True)
     rows = rows.select(F.explode("baselines").alias("key", "b"))
@@ -133,6 +140,66 @@ def npz_trajectories(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(task, "name string, idx long, frame_id long, timestamp double, pose array<double>")
 
 
+def map_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, list[list[float]]]:
+    """Key frames and vocabulary of a stored map; another version or another number of frames is an error."""
+    meta = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+    if meta.get("schema_version") != MAP_VERSION:
+        raise ValueError("unknown version of stored map")
+    frames = spark.read.parquet(f"{path}/keyframes")
+    if meta.get("num_keyframes", 0) < 1 or frames.count() != meta["num_keyframes"]:
+        raise ValueError("a stored map needs as many key frames as its metadata says")
+    return frames, [list(r["centre"]) for r in spark.read.parquet(f"{path}/vocabulary").orderBy("word").collect()]
+
+
+#: The folders of a run's artifacts with their kinds, and the keys that differ between equal runs.
+ARTIFACTS = {"trajectories": ("trajectory", "npz"), "metrics": ("metrics", "json"), "diagnostics": ("diagnostics", "json"), "telemetry": ("telemetry", "json")}
+VOLATILE, VOLATILE_EVENT = ("recorded_at", "created_at"), ("timestamp", "memory_delta_bytes", "memory_current_bytes", "memory_peak_bytes")
+
+
+def _artifact_digest(kind: str, content: bytes) -> str:
+    if kind == "trajectory":
+        with np.load(io.BytesIO(content), allow_pickle=False) as z:
+            ids = z["frame_ids"] if "frame_ids" in z.files and len(z["frame_ids"]) else None
+            return stable_hash({"poses": z["poses"], "timestamps": z["timestamps"], "frame_ids": ids})
+    report = json.loads(content)
+    if kind == "telemetry" and "events" in report:
+        report["events"] = [{k: v for k, v in e.items() if k not in VOLATILE_EVENT} for e in report["events"] if isinstance(e, dict)]
+    return stable_hash(report, VOLATILE)
+
+
+def run_artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    """artifact_type, name, digest of a run's files and of its maps (folders below ``maps``); absent folders hold nothing."""
+    out = spark.createDataFrame([], "artifact_type string, name string, digest string")
+    for below, (kind, ending) in ARTIFACTS.items():
+        if not _exists(spark, f"{folder}/{below}"):
+            continue
+
+        def task(batches, kind=kind, ending=ending):
+            for pdf in batches:
+                names = [p.rpartition("/")[2].removesuffix(f".{ending}") for p in pdf["path"]]
+                yield pd.DataFrame({"artifact_type": kind, "name": names, "digest": [_artifact_digest(kind, bytes(b)) for b in pdf["content"]]})
+
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ending}").load(f"{folder}/{below}").select("path", "content")
+        out = out.unionByName(files.mapInPandas(task, "artifact_type string, name string, digest string"))
+    if not _exists(spark, f"{folder}/maps"):
+        return out
+
+    @F.pandas_udf("string")
+    def entry(path: pd.Series, content: pd.Series) -> pd.Series:
+        def one(p: str, b: bytes) -> str:
+            if p.rpartition("/")[2] == "map_bundle.json":
+                return canonical({"path": p, "payload": {k: v for k, v in json.loads(b).items() if k not in VOLATILE}})
+            return canonical({"path": p, "sha256": hashlib.sha256(b).hexdigest()})
+
+        return pd.Series([one(p, bytes(b)) for p, b in zip(path, content, strict=True)])
+
+    place = F.regexp_extract("path", "/maps/([^/]+)/", 1), F.regexp_extract("path", "/maps/[^/]+/(.*)$", 1)
+    maps = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/maps").select(place[0].alias("name"), place[1].alias("file"), "content").where("name <> ''")
+    maps = maps.select("name", F.struct(F.split("file", "/").alias("at"), entry("file", "content").alias("e")).alias("r"))
+    whole = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["e"]), ","), F.lit("]"))
+    return out.unionByName(maps.groupBy("name").agg(F.sha2(whole, 256).alias("digest")).select(F.lit("map").alias("artifact_type"), "name", "digest"))
+
+
 class SyntheticFrames(DataSource):
     """Data source ``frames``: option n rows (frame_id, timestamp at option fps), one partition for each option chunk."""
 

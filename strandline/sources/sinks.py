@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +40,23 @@ def write_report_csv(df: DataFrame, sequence: str, path: str) -> None:
 def upsert(store: DataFrame, new: DataFrame, path: str, key: str = "key") -> None:
     """Writes the store with the new rows' keys replaced to another folder, so that the store is never read while written."""
     replace_key(store, new, key).write.mode("overwrite").parquet(path)
+
+
+#: Fixed value: the version of stored maps.
+MAP_VERSION = 1
+
+
+def write_map(frames: DataFrame, vocab: list[list[float]], path: str) -> None:
+    """A map of key frames (frame_id, pose of 16, keypoints of 2 each, descriptors, hist) with its vocabulary and metadata.
+
+    Malformed frames fail the write.  The digest sums two hashes over frames, so no task gathers them and order is no matter."""
+    _not_empty(frames)
+    sound = (F.size("pose") == 16) & F.forall("keypoints", lambda k: F.size(k) == 2) & (F.size("keypoints") == F.size("descriptors")) & (F.size("hist") == len(vocab))
+    whole = F.when(F.coalesce(sound, F.lit(False)), F.col("frame_id")).otherwise(F.raise_error(F.lit("pose, keypoints, descriptors and hist must align")))
+    frames.withColumn("frame_id", whole).write.mode("overwrite").parquet(f"{path}/keyframes")
+    spark = frames.sparkSession
+    spark.createDataFrame(list(enumerate(vocab)), "word int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    sums = [F.sum(F.xxhash64(F.lit(seed), *sorted(frames.columns)).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
+    n, a, b = spark.read.parquet(f"{path}/keyframes").agg(F.count("*"), *sums).first()
+    meta = {"schema_version": MAP_VERSION, "num_keyframes": n, "snapshot_digest": f"{a}:{b}"}
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
