@@ -2,15 +2,15 @@
 
 Words become typed placeholders where they are numbers, names (capitals inside a sentence) or units (after a number);
 others are stripped of outer punctuation and lower-cased.  Windows of ``width`` template words of each benchmark item are
-hashed; whole documents are scanned for them.  Hits of one item on one diagonal (document place minus item place) form a
-match; its slots must fill consistently, one document value for one item value and the other way round, so re-parameterised
+hashed, and beside them windows of the plain words, without placeholders; whole documents are scanned for both.  Hits of
+one item on one diagonal (document place minus item place) form a match; its slots must fill consistently, one document value for one item value and the other way round, so re-parameterised
 questions count and chance meetings of placeholders do not.  A document is contaminated when a match covers at least
 ``share`` of an item's words, or ``run`` words without a break.
 
 The benchmark is taken in blocks of bounded size, each broadcast in turn, so no table's size matters.
 
 Defined results: null and empty texts are clean; items without words match nothing; items shorter than a window are one
-window, from ``least`` words on.  Windows with fewer than half of literal words are not used.  Repeated items with other
+window, from ``least`` words on.  Template windows with fewer than half of literal words are not used; plain ones all are.  Repeated items with other
 ids are items of their own; rows with a null id, here or there, take part in nothing and documents of that kind are clean.
 """
 
@@ -54,11 +54,11 @@ _UNIT_HASHES = np.array(sorted(_hash_of(u) for u in UNITS), np.uint64)
 
 
 def templates(data: np.ndarray, offsets: np.ndarray):
-    """starts, ends (outer punctuation left out), row offsets, template hash and literal flag of every word."""
+    """starts, ends (outer punctuation left out), row offsets, plain hash, template hash and literal flag of every word."""
     starts, ends, rows = hashing.bounds(data, offsets)
     n = len(starts)
     if not n:
-        return starts, ends, rows, np.zeros(0, np.uint64), np.zeros(0, bool)
+        return starts, ends, rows, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
     inner = np.flatnonzero(~_OUTER[data])
     a = np.searchsorted(inner, starts)
     b = np.searchsorted(inner, ends) - 1
@@ -68,7 +68,8 @@ def templates(data: np.ndarray, offsets: np.ndarray):
         last = np.where(kept, inner[np.maximum(b, 0)] + 1, ends)
     else:
         first, last = starts, ends
-    h = hashing.word_hashes(data, first, last, lower=True)
+    plain = hashing.word_hashes(data, first, last, lower=True)
+    h = plain.copy()
     digits, numeric = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_DIGIT, _NUMERIC))
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     number = (digits[last] > digits[first]) & (numeric[last] - numeric[first] == last - first)
@@ -82,15 +83,18 @@ def templates(data: np.ndarray, offsets: np.ndarray):
     unit[1:] = number[:-1] & np.isin(h[1:], _UNIT_HASHES)
     for mark, value in ((name, NAME), (number, NUM), (unit, UNIT)):
         h[mark] = value
-    return first, last, rows, h, ~(name | number | unit)
+    return first, last, rows, plain, h, ~(name | number | unit)
 
 
-def windows(rows: np.ndarray, h: np.ndarray, literal: np.ndarray, width: int):
-    """Starts and hashes of the windows inside rows that have enough literal words."""
+def windows(rows: np.ndarray, h: np.ndarray, literal: np.ndarray | None, width: int):
+    """Starts and hashes of the windows inside rows that have enough literal words; of all windows where literal is None."""
     if len(h) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     g = hashing.grams(h, width)
     inside = np.arange(len(g)) + width <= np.repeat(rows[1:], np.diff(rows))[: len(g)]
+    if literal is None:
+        on = np.flatnonzero(inside)
+        return on, g[on]
     sums = np.concatenate([[0], np.cumsum(literal)])
     on = np.flatnonzero(inside & (2 * (sums[width:] - sums[:-width]) >= width))
     return on, g[on]
@@ -106,34 +110,43 @@ class Index:
         for number, (_, text) in enumerate(items):
             raw = (text or "").encode()
             data = np.frombuffer(raw, np.uint8)
-            first, last, rows, h, literal = templates(data, np.array([0, len(data)]))
+            first, last, rows, plain, h, literal = templates(data, np.array([0, len(data)]))
             self.words.append([raw[a:b].lower() for a, b in zip(first.tolist(), last.tolist(), strict=True)])
             self.hashes.append(h)
             self.literal.append(literal)
             size = width if len(h) >= width else len(h)
             if size >= least:
-                at, g = windows(rows, h, literal, size)
-                for p, x in zip(at.tolist(), g.tolist(), strict=True):
-                    places[size][x].append((number, p))
+                for exact, (at, g) in ((False, windows(rows, h, literal, size)), (True, windows(rows, plain, None, size))):
+                    for p, x in zip(at.tolist(), g.tolist(), strict=True):
+                        places[size, exact][x].append((number, p))
         self.places = {k: dict(v) for k, v in places.items()}
         self.sorted = {k: np.array(sorted(v), np.uint64) for k, v in self.places.items()}
 
-    def hits(self, rows: np.ndarray, h: np.ndarray, literal: np.ndarray) -> dict[int, dict[tuple[int, int], list[tuple[int, int]]]]:
-        """row: (item number, diagonal): (document place, window size)"""
+    def hits(self, rows: np.ndarray, plain: np.ndarray, h: np.ndarray, literal: np.ndarray) -> dict[int, dict[tuple[int, int], list[tuple[int, int, bool]]]]:
+        """row: (item number, diagonal): (document place, window size, whether of plain words)"""
         out: dict = defaultdict(lambda: defaultdict(list))
-        for size, wanted in self.sorted.items():
-            at, g = windows(rows, h, literal, size)
+        for (size, exact), wanted in self.sorted.items():
+            at, g = windows(rows, plain, None, size) if exact else windows(rows, h, literal, size)
             where = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
             on = np.flatnonzero(wanted[where] == g)
             owner = np.searchsorted(rows, at[on], "right") - 1
             for p, x, k in zip(at[on].tolist(), g[on].tolist(), owner.tolist(), strict=True):
-                for number, place in self.places[size][x]:
-                    out[k][number, p - place].append((p, size))
+                for number, place in self.places[size, exact][x]:
+                    out[k][number, p - place].append((p, size, exact))
         return out
 
-    def match(self, number: int, diagonal: int, found: list[tuple[int, int]], word) -> tuple[float, int, int, bool] | None:
+    def match(self, number: int, diagonal: int, found: list[tuple[int, int, bool]], word) -> tuple[float, int, int, bool] | None:
+        """The match of template windows, with plain ones where they fill the slots alike; None if the template ones are
+        inconsistent."""
+        template = [x for x in found if not x[2]]
+        alone = self._judge(number, diagonal, template, word) if template else None
+        if template and (alone is None or len(template) == len(found)):
+            return alone
+        return self._judge(number, diagonal, found, word) or alone
+
+    def _judge(self, number: int, diagonal: int, found: list[tuple[int, int, bool]], word) -> tuple[float, int, int, bool] | None:
         """Share of the item's words covered, longest run, words covered, and whether slots differ; None if inconsistent."""
-        covered = sorted({i for p, size in found for i in range(p, p + size)})
+        covered = sorted({i for p, size, _ in found for i in range(p, p + size)})
         there, back, differs = {}, {}, False
         for i in covered:
             if self.literal[number][i - diagonal]:
@@ -156,8 +169,8 @@ def _scan(index, share: float, run: int):
         for batch in batches:
             for part in hashing.slices(batch):
                 data, offsets = hashing.raw(part.column(1))
-                first, last, rows, h, literal = templates(data, offsets)
-                found = held.hits(rows, h, literal)
+                first, last, rows, plain, h, literal = templates(data, offsets)
+                found = held.hits(rows, plain, h, literal)
                 out: list[list] = [[], [], [], [], [], []]
                 for k in range(part.num_rows):
                     rest: dict[int, tuple[float, int, bool]] = {}

@@ -310,6 +310,18 @@ def test_decontamination(spark):
     assert decontam.find_contamination(make_docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_finds_exact_copies(spark):
+    """Items of placeholders mostly, and short ones behind a word that ends no sentence."""
+    items = {1: "The Quick Brown Fox Jumps Over The Lazy Dog Near River Banks", 2: "FIND THE AREA OF THE LARGE SQUARE BELOW", 3: "Paris 12 km Rome 30 km Berlin 7 kg Madrid 5 kg", 4: "What is the capital of France", 5: "Why do cats always land on feet"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    filler = " ".join(f"filler{i}" for i in range(30))
+    rows = [(1, f"{filler} {items[1]} {filler}"), (2, f"{filler}\n{items[2]}\n{filler}"), (3, f"{filler} {items[3]}. {filler}"), (4, f"{filler} Q1) {items[4]}? {filler}"), (5, f"{filler} so, {items[5]}? {filler}"), (6, f"{filler} Rome 12 km Oslo 30 km Bonn 7 kg Wien 5 kg {filler}"), (7, f"{filler} Q1) What is the capital of Spain {filler}")]
+    for block in (decontam.BLOCK_ITEMS, 2):
+        got = {r["doc_id"]: r for r in decontam.find_contamination(make_docs(spark, rows), bench, block=block).collect()}
+        assert all(got[k]["items"] == [k] and got[k]["coverage"] == 1 and not got[k]["reparameterised"] for k in items)
+        assert not got[6]["contaminated"]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 3), (20, 21), (5, 5), (None, 4), (20, 21)] + [(100 + i, 101 + i) for i in range(300)]
     df = spark.createDataFrame(links, "a long, b long").repartition(4)
