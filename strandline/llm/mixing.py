@@ -3,8 +3,8 @@
 A source's documents all have the fractional copy number target / size.  Its whole part is taken by each; the rest is a
 probability.  Pairs, of two documents or of one and the pool of smaller ones, exchange mass, measured in words, at random
 but fairly, until one of the two is integral, so the expected copies of each document and the words of the whole source stay as they were.  Buckets of a
-source are rounded apart and hand at most one fractional document each to the next level of a reduction tree; the last
-one is drawn.  Random numbers come from ids, so reruns and other layouts agree.
+source are rounded apart and hand at most one fractional document each to the next level of a reduction tree; in the
+level where a source is one bucket its last one is drawn.  Random numbers come from ids, so reruns and other layouts agree.
 
 Defined results: null text has size 0; sources of size 0 have target 0; size 0 takes 0.  A null source is a source, and
 comes last.  Rows that repeat an id are rounded as documents of their own, yet with equal random numbers; rows with a
@@ -105,11 +105,11 @@ def settle(sizes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarr
     return out
 
 
-def _level(seed: int, last: bool):
+def _level(seed: int):
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, sizes, before = pdf["doc_id"].fillna(0).to_numpy(np.int64), pdf["size"].to_numpy(np.int64), pdf["p"].to_numpy(float)
         p = pivot(ids, sizes, before, seed)
-        if last:
+        if pdf["buckets"].iloc[0] <= 1:  # all of the source that is still open
             p = settle(sizes, before, np.where((p > 0) & (p < 1), draws(ids, seed + 1000) < p, p).astype(float))
         return pdf.assign(p=p)
 
@@ -128,14 +128,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: fl
     now = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")).cast("int"))
     most_buckets, level, done = per.agg(F.max("buckets")).first()[0] or 1, 0, []
     fixed = rows.where("size = 0 or p = 0").select("doc_id", "source", "size", "source_size", "target", "whole", F.lit(0.0).alias("p"))
-    now = now.where("size > 0 and p > 0").select("doc_id", "source", "size", "source_size", "target", "whole", "p", "bucket")
+    now = now.where("size > 0 and p > 0").select("doc_id", "source", "size", "source_size", "target", "whole", "p", "buckets", "bucket")
     while True:
-        last = most_buckets <= 1
-        now = work.keep(now.groupBy("source", "bucket").applyInPandas(_level(seed + level, last), now.schema), f"level-{level}")
-        done.append(now.where("p = 0 or p = 1").drop("bucket"))
-        if last:
+        now = work.keep(now.groupBy("source", "bucket").applyInPandas(_level(seed + level), now.schema), f"level-{level}")
+        done.append(now.where("p = 0 or p = 1").drop("buckets", "bucket"))
+        if most_buckets <= 1:
             break
-        now = now.where("p > 0 and p < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int"))
+        now = now.where("p > 0 and p < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int")).withColumn("buckets", F.ceil(F.col("buckets") / FAN_IN).cast("int"))
         most_buckets, level = -(-most_buckets // FAN_IN), level + 1
     out = fixed
     for part in done:
