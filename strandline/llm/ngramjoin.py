@@ -1,15 +1,23 @@
 """Similarity join of documents on word shingles by a grouped prefix join.
 
 Documents are sets of distinct five-word shingles, kept as 64-bit hashes.  Two sets can only reach the threshold if
-their prefixes share a shingle, when all are sorted by one global order: shingles that a fixed-size sketch has seen in
-several documents come last, by rising count, then by hash.  Documents with identical prefix and size form one group;
-posting lists are over groups.  Groups that share a prefix shingle meet in a candidate cluster, which is expanded to its
-members, cut into blocks of bounded size, and verified exactly block against block; only links that join two still
-separate parts are returned, never all pairs of a cluster.
+their prefixes share a shingle, when all are sorted by one global order: by the count of a fixed-size sketch, then by
+hash, so that heavy shingles come last.  Any order gives the same result; a sketch that fills up keeps heavy shingles apart
+from the rest and leaves rare ones in the order of their hashes.
+
+Documents with identical prefix and size form one group; posting lists are over groups.  Pairs of groups are filtered
+before any set is looked at: those of short lists by a positional bound on the overlap, those of long ones by a bound on the
+symmetric difference, the differing bits of two parity bitmaps.  Groups that a chain of passing pairs connects are a
+cluster.  Clusters are expanded to their members, one for each set, and verified exactly.
+
+Long lists and large clusters are worked through in blocks (``connect``): each block is connected by itself, then members
+of one part of each connected component meet, and at last only what still lies outside a cell's largest component visits all
+its blocks.  Only links that join separate parts are written, never all pairs, and no group lands in one task.
 
 Defined results: null text, or text without words: size 0, no links, own component.  Repeated rows and equal sets: same
-component.  A row whose id is null keeps its size and gets a null component.  Columns other than the id and the text are
-not read, so clashing names do no harm.
+component; rows that share an id and differ in text are documents of their own.  A row whose id is null keeps its size and
+gets a null component.  Very long texts are hashed whole, slice by slice.  An empty table gives an empty result.  Columns
+other than the id and the text are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -19,24 +27,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.llm import hashing
-from strandline.llm.components import Forest, components
+from strandline.llm.components import components
 from strandline.llm.storage import Workspace
 
 #: Slots of the sketch of repeated shingles: 2**21, so that a broadcast of it is 4 MB whatever the input.
 SKETCH_BITS = 21
 #: Bits of the filter over candidate ids: 2**24, so 2 MB.
 FILTER_BITS = 24
-#: A block of a candidate cluster holds about so many shingles and documents.
-BLOCK_SHINGLES, BLOCK_DOCS = 200_000, 384
-#: Posting lists of at most so many groups give pairs, which a bound on the overlap thins out; longer ones are chained.
+#: A block of a candidate cluster holds about so many shingles and documents; one of a long posting list, so many groups.
+BLOCK_SHINGLES, BLOCK_DOCS, BLOCK_GROUPS = 200_000, 384, 4_096
+#: Posting lists of at most so many groups give pairs, bound by position; longer ones are compared by bitmaps.
 SHORT = 16
-#: Posting lists of shingles that the sketch knows are dealt to so many tasks each.
-SALTS = 32
+#: Bits of a set's parity bitmap.
+PARITY = 512
+#: A shingle is heavy from this many repeats on, and from this many times the mean of a slot; its list goes without counting.
+HEAVY, ABOVE_MEAN = 16, 4
+#: Cells of more than one block are broadcast up to this many; beyond, they are joined by shuffling.
+FEW = 100_000
 
 
 def shingle_sets(batch: pa.RecordBatch, n: int, column: str = "text") -> Iterator[np.ndarray]:
@@ -81,36 +93,43 @@ def _repeats(n: int, limit: int = 1_500_000):
     return task
 
 
-def _prefixes(n: int, percent: int, sketch):
+def _prefixes(n: int, percent: int, sketch, heavy: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        counts, seen_groups = sketch.value, set()
         for batch in batches:
             for part in hashing.slices(batch):
-                sizes, one, two, groups, rare, common, last = [], [], [], [], [], [], []
-                for s in shingle_sets(part, n):
+                sizes, one, two, groups, rare, common, last, low = [], [], [], [], [], [], [], []
+                valid = part.column(0).is_valid().to_pylist()
+                for ok, s in zip(valid, shingle_sets(part, n), strict=True):
                     size = len(s)
-                    least = -(-percent * size // 100)
-                    p = size - least + 1 if size else 0
+                    p = size + percent * -size // 100 + 1 if size else 0
                     seen = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    fresh = s[seen == 0][:p]
-                    known = np.zeros(0, np.uint64)
-                    if len(fresh) < p:
+                    head, c = s[seen == 0][:p], np.zeros(0, np.uint16)
+                    if len(head) < p:
                         rest, c = s[seen > 0], seen[seen > 0]
-                        known = rest[np.argsort(c, kind="stable")][: p - len(fresh)]
+                        order = np.argsort(c, kind="stable")[: p - len(head)]
+                        head, c = np.concatenate([head, rest[order]]), c[order]
                     sizes.append(size)
                     mixed = hashing.mix(s + np.uint64(size))
                     one.append(int(mixed.sum(dtype=np.uint64)))
                     two.append(int(np.bitwise_xor.reduce(hashing.mix(mixed + np.uint64(77)))) if size else 0)
-                    head = np.concatenate([fresh, known])
-                    last.append((int(seen[s == known[-1]][0]) if len(known) else 0, int(head[-1]) - 2**63) if size else (0, 0))
+                    last.append((int(c[-1]) if len(c) else 0, int(head[-1]) - 2**63) if size else (0, 0))
                     groups.append(int(hashing.mix(np.array([int(hashing.mix(head + np.arange(len(head), dtype=np.uint64)).sum(dtype=np.uint64)) ^ size], np.uint64))[0]))
-                    rare.append(fresh)
-                    common.append(known)
+                    low.append((s & np.uint64(PARITY - 1)).astype(np.int64))
+                    if not ok or (groups[-1], one[-1], two[-1]) in seen_groups:  # a set's tokens once for each task
+                        head, c = head[:0], c[:0]
+                    elif size:
+                        seen_groups.add((groups[-1], one[-1], two[-1]))
+                    cut = len(head) - int((c >= heavy).sum())
+                    rare.append(head[:cut])
+                    common.append(head[cut:])
                 as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 joined = lambda x: hashing.lists(hashing.signed(np.concatenate(x)), [len(y) for y in x])
+                bits = np.bincount(np.repeat(np.arange(len(low)) * PARITY, sizes) + np.concatenate(low), minlength=len(low) * PARITY) & 1
+                parity = np.packbits(bits.astype(np.uint8).reshape(len(low), PARITY), axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(np.array(sizes, np.int64)), as_long(one), as_long(two), as_long(groups), pa.array([x for x, _ in last], pa.int64()), pa.array([x for _, x in last], pa.int64()), joined(rare), joined(common)],
-                    ["doc_id", "n", "s1", "s2", "pg", "last_count", "last_hash", "rare", "common"],
+                    [part.column(0).cast(pa.int64()), pa.array(np.array(sizes, np.int64)), as_long(one), as_long(two), as_long(groups), pa.array([x for x, _ in last], pa.int64()), pa.array([x for _, x in last], pa.int64()), joined(rare), joined(common), pa.array([x.tobytes() for x in parity], pa.binary())],
+                    ["doc_id", "n", "s1", "s2", "pg", "last_count", "last_hash", "rare", "common", "parity"],
                 )
 
     return task
@@ -157,73 +176,154 @@ def only_ids(docs: DataFrame, keep, inverse: bool = False) -> DataFrame:
     return docs.mapInArrow(task, docs.schema)
 
 
-def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, int]]:
-    """Index pairs that reach the threshold; right None: pairs within left."""
-    both = left + (right or [])
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets reach the threshold, by multiplying rows of a shingle table, slice by slice of its columns."""
+    both = left if right is left else left + right
+    start = 0 if right is left else len(left)
     sizes = np.array([len(s) for s in both], np.int64)
-    inverse, kept = np.unique(np.concatenate(both), return_inverse=True)[1], None
+    inverse = np.unique(np.concatenate(both), return_inverse=True)[1]
     kept = np.bincount(inverse)
     column = np.cumsum(kept > 1) - 1
-    row = np.repeat(np.arange(len(both)), sizes)
     use = kept[inverse] > 1
-    row, inverse = row[use], column[inverse[use]]
+    row, inverse = np.repeat(np.arange(len(both)), sizes)[use], column[inverse[use]]
     order = np.argsort(inverse, kind="stable")
     row, inverse = row[order], inverse[order]
-    shared = np.zeros((len(left), len(right) if right is not None else len(left)), np.float32)
+    shared = np.zeros((len(left), len(right)), np.float32)
     width = 8192
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    for lo in range(0, int(inverse[-1]) + 1 if len(inverse) else 0, width):
         a, b = np.searchsorted(inverse, [lo, lo + width])
         hit = np.zeros((len(both), width), np.float32)
         hit[row[a:b], inverse[a:b] - lo] = 1
-        shared += hit[: len(left)] @ hit[len(left) :].T if right is not None else hit @ hit.T
-    other = sizes[len(left) :] if right is not None else sizes
-    union = sizes[: len(left), None] + other[None, :] - shared
-    on = (100 * shared.astype(np.int64) >= percent * union.astype(np.int64)) & (shared > 0)
-    if right is None:
-        on = np.triu(on, 1)
-    yield from zip(*(x.tolist() for x in np.nonzero(on)), strict=True)
-
-
-def _verify(n: int, percent: int):
-    def solve(key: tuple, ids: list, blocks: list, sets: list) -> list[tuple[int, int]]:
-        forest, out = Forest(), []
-        if key[2] == key[3]:
-            left, right, of_left, of_right = sets, None, ids, ids
-        else:
-            side = [[i for i, b in enumerate(blocks) if b == k] for k in key[2:]]
-            of_left, of_right = ([ids[i] for i in s] for s in side)
-            left, right = ([sets[i] for i in s] for s in side)
-        if left and (right is None or right):
-            for i, j in _linked(left, right, percent):
-                if forest.join(of_left[i], of_right[j]):
-                    out.append((of_left[i], of_right[j]))
-        return out
+        shared += hit[: len(left)] @ hit[start:].T
+    union = sizes[: len(left), None] + sizes[start:][None, :] - shared
+    return (100 * shared.astype(np.int64) >= percent * union.astype(np.int64)) & (shared > 0)
+
+
+def near(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of bitmaps (the last word is the set's size) can reach the threshold: no more bits differ than shingles."""
+    a, b = np.array(left, np.uint64), np.array(right, np.uint64)
+    total = a[:, -1].astype(np.int64)[:, None] + b[:, -1].astype(np.int64)[None, :]
+    room = total + 2 * (-total * percent // (100 + percent))
+    return np.bitwise_count(a[:, None, :-1] ^ b[None, :, :-1]).sum(2, dtype=np.int64) <= room
+
+
+def spanned(items: list[np.ndarray], passes, percent: int, tile: int = 512) -> np.ndarray:
+    """The part of each item (its smallest number) when pairs that pass are connected; pairs of one part aren't compared."""
+    part = np.arange(len(items))
+
+    def merge(rows: np.ndarray, columns: np.ndarray, hits: np.ndarray) -> None:
+        for i in np.flatnonzero(hits.any(1)).tolist():
+            found = np.unique(np.append(part[columns[hits[i]]], part[rows[i]]))
+            if len(found) > 1:
+                part[np.isin(part, found)] = found[0]
+
+    for _ in range(8 if len(items) > tile else 0):  # a few stars connect most of a large group
+        lone = np.flatnonzero(np.bincount(part, minlength=len(part))[part] == 1)
+        if len(lone) < 2:
+            break
+        merge(lone[:1], lone[1:], np.hstack([passes(items[lone[0] : lone[0] + 1], [items[i] for i in lone[k : k + 8 * tile]], percent) for k in range(1, len(lone), 8 * tile)]))
+        if part[lone[0]] == lone[0] and (part == lone[0]).sum() == 1:
+            break
+    order = np.argsort(part, kind="stable")
+    cuts = [order[k : k + tile] for k in range(0, len(order), tile)]
+    for x, rows in enumerate(cuts):
+        for columns in cuts[x:]:
+            if part[rows].min() == part[rows].max() == part[columns].min() == part[columns].max():
+                continue
+            left = [items[i] for i in rows]
+            merge(rows, columns, passes(left, left if columns is rows else [items[i] for i in columns], percent))
+    return part
+
+
+def _blocks(visits: bool, passes, percent: int, load, most: int):
+    """Rows by cell and block, those at home first: connects each block, or its visitors to what is at home there."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, blocks, sets, out = None, [], [], [], []
+        now, home, guests, out = None, ([], [], []), ([], [], []), ([], [])
+
+        def settle() -> None:
+            if not visits and len(home[0]) > 1:
+                part = spanned(home[2], passes, percent)
+                on = np.flatnonzero(part != np.arange(len(part)))
+                out[0].extend(home[0][i] for i in part[on])
+                out[1].extend(home[0][i] for i in on)
+            if guests[0] and home[0]:
+                other = np.array(guests[1])[:, None] != np.array(home[1])[None, :]
+                hits = passes(guests[2], home[2], percent) & other if other.any() else other
+                for i in np.flatnonzero(hits.any(1)).tolist():
+                    at = np.flatnonzero(hits[i])
+                    parts = dict(zip((home[1][j] for j in at), at.tolist(), strict=True))
+                    out[0].extend(home[0][j] for j in parts.values())
+                    out[1].extend([guests[0][i]] * len(parts))
+            for x in guests:
+                x.clear()
+
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            at = 0
-            for part in hashing.slices(batch):
-                mine = zip(keys[at : at + part.num_rows], part.column(4).to_pylist(), part.column(5).to_pylist(), shingle_sets(part, n), strict=True)
-                at += part.num_rows
-                for key, block, doc, s in mine:
-                    if key != now:
-                        if len(ids) > 1:
-                            out += solve(now, ids, blocks, sets)
-                        now, ids, blocks, sets = key, [], [], []
-                    ids.append(doc)
-                    blocks.append(block)
-                    sets.append(s)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-                out = []
-        if len(ids) > 1 and (out := solve(now, ids, blocks, sets)):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            kinds, nodes, comps = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for k, item in enumerate(load(batch)):
+                if keys[k] != now:
+                    settle()
+                    now = keys[k]
+                    for x in home:
+                        x.clear()
+                for x, v in zip(guests if kinds[k] else home, (nodes[k], comps[k], item), strict=True):
+                    x.append(v)
+                if len(guests[0]) >= most:
+                    settle()
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+                out = ([], [])
+        settle()
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
     return task
 
 
+def connect(index: DataFrame, attach, passes, percent: int, load, work: Workspace, label: str, most: int, most_n: int | None = None) -> DataFrame:
+    """Links (a, b) that connect, in every cell (k1, k2) of index(k1, k2, node, n), what passing pairs connect.
+
+    A cell is dealt to blocks of about ``most`` nodes (and ``most_n`` of n), and each block is connected by itself.  Of a cell
+    of several blocks, one node of each component then is compared with those of the other blocks; after that, nodes outside
+    the cell's largest component visit all its blocks.  So every pair of different components has been compared, and a cell
+    that is one component has been read once.  ``attach`` adds the column payload, from which ``load`` makes items.
+    """
+    kind = "a long, b long"
+    deal = lambda rows: attach(rows).select("k1", "k2", "block", "kind", "node", "comp", "payload").repartition("k1", "k2", "block").sortWithinPartitions("k1", "k2", "block", "kind", "node")
+    run = lambda rows, visits: deal(rows).mapInArrow(_blocks(visits, passes, percent, load, most), kind)
+    small = lambda df, n: F.broadcast(df) if n <= FEW else df
+    size = F.ceil(F.count("*") / most)
+    if most_n:
+        size = F.greatest(size, F.ceil(F.sum("n") / most_n))
+    hot = work.keep(index.groupBy("k1", "k2").agg(size.cast("int").alias("parts")).where("parts > 1"), f"{label}-hot")
+    n_hot = hot.count()
+    block = F.expr("cast(pmod(xxhash64(node, k1, k2), parts) as int)")
+    dealt = index.join(small(hot, n_hot), ["k1", "k2"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", block)
+    first = work.keep(run(dealt.withColumn("kind", F.lit(0)).withColumn("comp", F.col("node")), False), f"{label}-1")
+    if not n_hot:
+        return first
+
+    inside = work.keep(index.join(small(hot, n_hot), ["k1", "k2"]).withColumn("block", block), f"{label}-inside")
+
+    def placed(links: DataFrame, name: str) -> DataFrame:
+        found = components(links, work, f"{label}-{name}")
+        return work.keep(inside.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"), f"{label}-{name}-placed")
+
+    heads = placed(first, "a").groupBy("k1", "k2", "comp").agg(F.min_by(F.struct(*[c for c in index.columns if c not in ("k1", "k2")]), "node").alias("x"))
+    heads = heads.select("k1", "k2", "comp", "x.*")
+    again = heads.groupBy("k1", "k2").agg(size.cast("int").alias("parts"))
+    heads = heads.join(small(again, n_hot), ["k1", "k2"]).withColumn("block", block).withColumn("kind", F.lit(0))
+    links = first.union(work.keep(run(heads, False), f"{label}-2"))
+
+    at = placed(links, "b")
+    largest = at.groupBy("k1", "k2", "comp").agg(F.count("*").alias("m")).groupBy("k1", "k2").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    open_ = at.join(small(largest, n_hot), ["k1", "k2"])
+    home = open_.withColumn("kind", F.lit(0))
+    guests = open_.where("comp <> main").withColumn("block", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("kind", F.lit(1))
+    return links.union(work.keep(run(home.unionByName(guests), True), f"{label}-3"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``; see the module's text for method and defined results."""
     spark = docs.sparkSession
@@ -233,60 +333,90 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     seen = docs.mapInArrow(_repeats(n), "slot int, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(65_535)).cast("int").alias("n")).toArrow()
     counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
     sketch = spark.sparkContext.broadcast(counts)
+    heavy = max(HEAVY, math.ceil(ABOVE_MEAN * float(counts.mean())))
     del seen
     work.release()
 
-    base = work.keep(docs.mapInArrow(_prefixes(n, percent, sketch), "doc_id long, n long, s1 long, s2 long, pg long, last_count long, last_hash long, rare array<long>, common array<long>"), "sets")
+    base = work.keep(docs.mapInArrow(_prefixes(n, percent, sketch, heavy), "doc_id long, n long, s1 long, s2 long, pg long, last_count long, last_hash long, rare array<long>, common array<long>, parity binary"), "sets")
     some = base.where("n > 0 and doc_id is not null")
+    met = components(_filtered_pairs(some, percent, work), work, "groups")
+
+    # One representative of each set; clusters of one representative need no check.
+    sets = some.groupBy("s1", "s2", "n", "pg").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    sets = sets.join(met.select(F.col("node").alias("pg"), "component"), "pg", "left").select("doc_id", "n", "s1", "s2", "copies", F.coalesce("component", "pg").alias("cluster"))
+    sets = work.keep(sets, "reps")
+    links = _verified(docs, sets, n, percent, work)
+    joined = components(links, work, "docs").withColumnRenamed("node", "doc_id")
+    found = work.keep(sets.join(joined, "doc_id", "left").select("s1", "s2", "n", "copies", F.coalesce("component", "doc_id").alias("component_id")), "found")
+    return _spread(base, found)
+
+
+def _classes(percent: int) -> Column:
+    """The size classes in which a set of n shingles can meet all it can link to: its own and the next."""
+    own = F.floor(F.log("n") / F.log(F.lit(100.0 / percent + 1e-4)))
+    return F.array(own, own + 1)
 
-    # Groups that share a prefix shingle: pairs from short posting lists, chains by size along long ones, and neither across
-    # sizes too far apart to link.  Known shingles may be in very many groups: their lists are dealt by size class and salt, and the parts chained.
-    far = F.lit(100 * 1.0 / percent + 1e-4)
-    size_class = F.floor(F.log("n") / F.log(far))
-    fresh = some.select(F.explode("rare").alias("token"), "n", "pg")
-    known = some.select(F.explode("common").alias("token"), F.explode(F.array(size_class, size_class + 1)).alias("c"), F.pmod("pg", F.lit(SALTS)).cast("int").alias("salt"), "pg").distinct()
-    by_group = Window.partitionBy("token", "c", "salt").orderBy("pg")
+
+def _filtered_pairs(some: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """Pairs of groups (a, b) whose connection holds that of all groups that can hold linked sets."""
+    far = F.lit(100.0 / percent + 1e-4)
     by_size = Window.partitionBy("token").orderBy("n", "pg")
-    lists = fresh.withColumn("same", F.lag("pg").over(by_size)).where("same is null or same <> pg").drop("same")
+    lists = some.select(F.explode("rare").alias("token"), "n", "pg").withColumn("same", F.lag("pg").over(by_size)).where("same is null or same <> pg").drop("same")
     lists = lists.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
     lists = lists.withColumn("before", F.collect_list(F.struct("pg", "n")).over(by_size.rowsBetween(1 - SHORT, -1)))
-    short = lists.where(F.col("df") <= SHORT).select(F.explode("before").alias("x"), "pg", "n").where(F.col("x.n") * far >= F.col("n"))
+    pair = F.struct(F.col("pg").alias("a"), F.col("n").alias("na"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("nb"))
+    pairs_of = F.transform(F.filter("before", lambda x: x["n"] * far >= F.col("n")), lambda x: F.struct(x["pg"].alias("a"), x["n"].alias("na"), F.col("pg").alias("b"), F.col("n").alias("nb")))
+    lists = work.keep(lists.select("token", F.explode(F.when(F.col("df") <= SHORT, pairs_of).otherwise(F.array(pair))).alias("x")).select("token", "x.*"), "lists")
+
     # A pair that meets in short lists only has as many shingles in common up to the end of the prefix that ends first.
-    pairs = short.groupBy(F.col("x.pg").alias("a"), F.col("pg").alias("b"), F.col("x.n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("shared"))
+    pairs = lists.where("b is not null and a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     needed = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent))
     beyond = lambda n: F.ceil(F.col(n) * F.lit(percent) / 100) - 1
-    pairs = work.keep(pairs.where((F.col("a") != F.col("b")) & (F.col("shared") + F.greatest(beyond("na"), beyond("nb")) >= needed)), "pairs")
+    pairs = work.keep(pairs.where(F.col("shared") + F.greatest(beyond("na"), beyond("nb")) >= needed), "pairs")
     ends = some.groupBy("pg").agg(F.min(F.struct("last_count", "last_hash")).alias("end"))
     pairs = pairs.join(ends.select(F.col("pg").alias("a"), F.col("end").alias("ea")), "a").join(ends.select(F.col("pg").alias("b"), F.col("end").alias("eb")), "b")
     first, other = F.when(F.col("ea") <= F.col("eb"), beyond("na")).otherwise(beyond("nb")), F.when(F.col("ea") <= F.col("eb"), F.col("nb")).otherwise(F.col("na"))
-    steps = pairs.where(F.least(F.col("shared") + first, other) >= needed).select("a", "b")
-    long_lists = lists.where(F.col("df") > SHORT).withColumn("x", F.try_element_at("before", F.lit(-1))).where(F.col("x.n") * far >= F.col("n"))
-    steps = steps.union(long_lists.select(F.col("x.pg").alias("a"), F.col("pg").alias("b")))
-    steps = steps.union(known.select(F.lag("pg").over(by_group).alias("a"), F.col("pg").alias("b")))
-    heads = known.groupBy("token", "c", "salt").agg(F.min("pg").alias("pg"))
-    steps = steps.union(heads.select(F.lag("pg").over(Window.partitionBy("token", "c").orderBy("salt")).alias("a"), F.col("pg").alias("b")))
-    steps = work.keep(steps.where("a is not null and a <> b").distinct(), "steps")
-    met = components(steps, work, "groups")
-
-    # One representative of each set; clusters of one representative need no check.
-    sets = some.groupBy("s1", "s2", "n", "pg").agg(F.min("doc_id").alias("doc_id"))
-    sets = sets.join(met.select(F.col("node").alias("pg"), "component"), "pg", "left").select("doc_id", "n", "s1", "s2", F.coalesce("component", "pg").alias("cluster"))
-    sets = work.keep(sets, "reps")
-    work.drop("steps")
-    # Clusters of more than one block are first taken apart by size: each document meets its own class and the next.
-    parts = lambda by: by.agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1").withColumn("parts", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("long")).drop("m", "total")
-    whole = parts(sets.groupBy("cluster"))
-    in_large = sets.join(whole, "cluster").withColumn("c", F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(size_class, size_class + 1)))
-    in_large = work.keep(in_large.select("doc_id", "n", "cluster", F.explode("c").alias("c")), "classes")
-    chosen = in_large.join(parts(in_large.groupBy("cluster", "c")), ["cluster", "c"]).select("doc_id", "cluster", "c", "parts", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)").alias("block"))
-    chosen = work.keep(chosen, "chosen")
-    texts = only_ids(docs, id_filter(spark, chosen)).join(chosen, "doc_id")
-    pairs = texts.withColumn("x", F.explode(F.expr("sequence(0, cast(parts - 1 as int))")))
-    pairs = pairs.select("cluster", "c", F.least("block", "x").alias("lo"), F.greatest("block", "x").alias("hi"), "block", "doc_id", "text")
-    dealt = pairs.repartition("cluster", "c", "lo", "hi").sortWithinPartitions("cluster", "c", "lo", "hi", "doc_id")
-    links = work.keep(dealt.mapInArrow(_verify(n, percent), "a long, b long"), "links")
-    joined = components(links, work, "docs")
-
-    result = sets.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("s1", "s2", "n", F.coalesce("component", "doc_id").alias("component_id"))
-    known = base.select("doc_id", "n", "s1", "s2").join(result, ["s1", "s2", "n"], "left")
-    return known.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"))
+    short = pairs.where(F.least(F.col("shared") + first, other) >= needed).select("a", "b")
+
+    heavy = some.select(F.explode("common").alias("token"), "pg", "n", F.col("parity").alias("payload"))
+    maps = some.where("size(rare) > 0").select("pg", F.col("parity").alias("payload")).distinct()
+    long = heavy.unionByName(lists.where("b is null").select("token", F.col("a").alias("pg"), F.col("na").alias("n")).join(maps, "pg"))
+    long = work.keep(long.select(F.col("token").alias("k1"), F.explode(_classes(percent)).alias("k2"), F.col("pg").alias("node"), "n", F.concat("payload", F.unhex(F.lpad(F.hex("n"), 16, "0"))).alias("payload")), "long")
+
+    def load(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield from (np.frombuffer(x, ">u8").astype(np.uint64) for x in batch.column(6).to_pylist())
+
+    return short.union(connect(long, lambda rows: rows, near, percent, load, work, "near", BLOCK_GROUPS))
+
+
+def _verified(docs: DataFrame, sets: DataFrame, n: int, percent: int, work: Workspace) -> DataFrame:
+    """Links (a, b) that connect what linked sets connect inside clusters; large clusters are first taken apart by size."""
+    crowd = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    whole = sets.groupBy("cluster").agg(F.count("*").alias("m"), crowd.alias("parts")).where("m > 1")
+    index = sets.join(whole, "cluster").withColumn("k2", F.explode(F.when(F.col("parts") <= 1, F.array(F.lit(-1).cast("long"))).otherwise(_classes(percent))))
+    index = work.keep(index.select(F.col("cluster").alias("k1"), "k2", F.col("doc_id").alias("node"), "n"), "members")
+
+    def attach(rows: DataFrame) -> DataFrame:
+        texts = only_ids(docs, id_filter(docs.sparkSession, rows.select(F.col("node").alias("doc_id"))))
+        return rows.join(texts.select(F.col("doc_id").alias("node"), F.col("text").alias("payload")), "node")
+
+    def load(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in hashing.slices(batch, "payload"):
+            yield from shingle_sets(part, n, "payload")
+
+    return connect(index, attach, overlaps, percent, load, work, "links", BLOCK_DOCS, BLOCK_SHINGLES)
+
+
+def _spread(base: DataFrame, found: DataFrame) -> DataFrame:
+    """Each row's component: of sets with very many copies by a broadcast of at most 10,000 of them, of the rest by a join."""
+    key = ["s1", "s2", "n"]
+    rows = base.select("doc_id", *key)
+    many = max(5_000, rows.count() // 10_000)
+    often = found.where(F.col("copies") >= many).select(*key, F.col("component_id").alias("often"))
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rows = rows.where("n > 0").join(F.broadcast(often), key, "left")
+    copied = rows.where("often is not null").withColumnRenamed("often", "component_id")
+    rest = rows.where("often is null").drop("often").join(found.where(F.col("copies") < many).drop("copies"), key, "left")
+    for part in (copied, rest):
+        empty = empty.union(part.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
+    return empty

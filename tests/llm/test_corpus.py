@@ -64,9 +64,10 @@ def test_ngram_join_equals_brute_force(spark, rows):
     assert got == brute_components(rows)
 
 
-def test_ngram_join_blocks_and_long_lists(spark, rows, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "BLOCK_DOCS", 5)
-    monkeypatch.setattr(ngramjoin, "SHORT", 3)
+@pytest.mark.parametrize("bits", [21, 6])
+def test_ngram_join_blocks_and_long_lists(spark, rows, monkeypatch, bits):
+    for name, value in (("BLOCK_DOCS", 5), ("SHORT", 3), ("BLOCK_GROUPS", 4), ("HEAVY", 2), ("SKETCH_BITS", bits)):
+        monkeypatch.setattr(ngramjoin, name, value)
     got = {r[0]: (r[1], r[2]) for r in ngramjoin.jaccard_components(make_docs(spark, rows, False)).collect()}
     assert got == brute_components(rows)
 
@@ -77,6 +78,22 @@ def test_ngram_join_null_ids_and_repeats(spark):
     assert ngramjoin.jaccard_components(make_docs(spark, [])).count() == 0
 
 
+def test_parity_bound_never_loses_a_link():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 90).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(40, 90)], rng.integers(0, 2**63, rng.integers(1, 25)).astype(np.uint64)])) for _ in range(60)]
+    low = [np.bincount((s & np.uint64(ngramjoin.PARITY - 1)).astype(int), minlength=ngramjoin.PARITY) & 1 for s in sets]
+    maps = [np.append(np.packbits(x.astype(np.uint8)).view(">u8").astype(np.uint64), np.uint64(len(s))) for x, s in zip(low, sets)]
+    linked, passed = ngramjoin.overlaps(sets, sets, 60), ngramjoin.near(maps, maps, 60)
+    assert linked.any() and not passed.all() and (passed | ~linked).all()
+    part = ngramjoin.spanned(sets, ngramjoin.overlaps, 60, tile=7)
+    up = list(range(60))
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = sorted((up[i], up[j]))
+        up = [a if x == b else x for x in up]
+    assert part.tolist() == up
+
+
 def brute_cut(rows, width=20):
     seen, out = set(), {}
     for i, t in sorted(rows):
