@@ -226,6 +226,27 @@ def test_vantage_tree_exact_at_factor_one(spark):
     assert vptree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vantage_search_keeps_ties_and_doubles(spark):
+    """64 unit vectors and more tie for each query; a column of doubles, of which some are beyond single precision."""
+    rng = np.random.default_rng(4)
+    x = np.zeros((420, 72))
+    x[:, 0] = 1.0
+    for i in range(420):
+        x[i, 1 + i % 64] = 1.0
+    x[0] = x[20] = 0.0
+    x[0, 0] = x[20, 0] = 1.0
+    x[300:] = rng.normal(size=(120, 72)) * 1e-9
+    x[400:] *= 1e200
+    df = spark.createDataFrame([(int(i), v.tolist(), 7, "s") for i, v in enumerate(x)], "vec_id long, embedding array<double>, id long, shard string")
+    got = {}
+    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, k=20, factor=1.0, shard=130).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in range(0, 420, 20):
+        s = (x * x[q]).sum(1)
+        order = [i for i in np.lexsort((np.arange(420), -s)) if i != q][:20]
+        assert [i for i, _ in got[q]] == order and [v for _, v in got[q]] == s[order].tolist(), q
+
+
 def test_vantage_search_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     p = df.toPandas().sort_values("vec_id")
