@@ -3,15 +3,20 @@
 Words become typed placeholders where they are numbers, names (capitals inside a sentence) or units (after a number);
 others are stripped of outer punctuation and lower-cased.  Windows of ``width`` template words of each benchmark item are
 hashed, and beside them windows of the plain words, without placeholders; whole documents are scanned for both.  Hits of
-one item on one diagonal (document place minus item place) form a match; its slots must fill consistently, one document value for one item value and the other way round, so re-parameterised
-questions count and chance meetings of placeholders do not.  A document is contaminated when a match covers at least
-``share`` of an item's words, or ``run`` words without a break.
-
-The benchmark is taken in blocks of bounded size, each broadcast in turn, so no table's size matters.
-
-Defined results: null and empty texts are clean; items without words match nothing; items shorter than a window are one
-window, from ``least`` words on.  Template windows with fewer than half of literal words are not used; plain ones all are.  Repeated items with other
-ids are items of their own; rows with a null id, here or there, take part in nothing and documents of that kind are clean.
+one item on one diagonal (document place minus item place) form a match; its slots must fill consistently, one document
+value for one item value and the other way round, so re-parameterised questions count and chance meetings of placeholders
+do not.  A document is contaminated when a match covers at least ``share`` of an item's words, or ``run`` words without a
+break.  Where slots are inconsistent, ``run`` equal words in a row still count.
+
+The hash join's build side is the benchmark, in blocks of a bounded number of items, each broadcast to a step of its own;
+rows of documents pass all steps in one scan, so the number of blocks changes neither rows nor results.
+
+Defined results: null and empty texts are clean, and very long ones are scanned whole; items without words match nothing;
+items shorter than a window are one window, from ``least`` words on, and shorter ones match nothing.  Template windows with
+fewer than half of literal words are not used; plain ones all are.  Repeated items with other ids are items of their own,
+items with a null id are left out.  Every row of documents, also of null or repeated id, is judged by its own text.  Items
+that tie are all listed, by id; coverage and run are the largest.  An empty benchmark leaves all clean, an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -136,13 +141,20 @@ class Index:
         return out
 
     def match(self, number: int, diagonal: int, found: list[tuple[int, int, bool]], word) -> tuple[float, int, int, bool] | None:
-        """The match of template windows, with plain ones where they fill the slots alike; None if the template ones are
-        inconsistent."""
+        """The match of template windows, with plain ones where they fill the slots alike; where the template ones are
+        inconsistent, what agrees word for word."""
         template = [x for x in found if not x[2]]
         alone = self._judge(number, diagonal, template, word) if template else None
-        if template and (alone is None or len(template) == len(found)):
+        if template and alone is None:
+            return self._verbatim(number, diagonal, found, word)
+        if template and len(template) == len(found):
             return alone
-        return self._judge(number, diagonal, found, word) or alone
+        return self._judge(number, diagonal, found, word) or alone or self._verbatim(number, diagonal, found, word)
+
+    def _verbatim(self, number: int, diagonal: int, found: list[tuple[int, int, bool]], word) -> tuple[float, int, int, bool]:
+        """The longest run of equal words; nothing is said of a share, as the item isn't there as a whole."""
+        same = [i for i in sorted({i for p, size, _ in found for i in range(p, p + size)}) if word(i) == self.words[number][i - diagonal]]
+        return 0.0, _longest(same), len(same), False
 
     def _judge(self, number: int, diagonal: int, found: list[tuple[int, int, bool]], word) -> tuple[float, int, int, bool] | None:
         """Share of the item's words covered, longest run, words covered, and whether slots differ; None if inconsistent."""
@@ -156,22 +168,35 @@ class Index:
             if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
                 return None
             differs |= a != b
-        run = best = 1
-        for x, y in zip(covered, covered[1:], strict=False):
-            run = run + 1 if y == x + 1 else 1
-            best = max(best, run)
-        return len(covered) / len(self.words[number]), max(best, run), len(covered), differs
+        return len(covered) / len(self.words[number]), _longest(covered), len(covered), differs
+
+
+def _longest(places: list[int]) -> int:
+    """Length of the longest run of consecutive numbers."""
+    best = run = min(1, len(places))
+    for x, y in zip(places, places[1:], strict=False):
+        run = run + 1 if y == x + 1 else 1
+        best = max(best, run)
+    return best
+
+
+#: What a scan says of a row, as columns.
+FOUND = "items array<long>, coverage double, longest_run long, reparameterised boolean, contaminated boolean"
 
 
-def _scan(index, share: float, run: int):
+def _scan(index, share: float, run: int, text_at: int):
+    """Adds what the block's items say of each row to the last five columns."""
+    kinds = [pa.list_(pa.int64()), pa.float64(), pa.int64(), pa.bool_(), pa.bool_()]
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Index = index.value
         for batch in batches:
-            for part in hashing.slices(batch):
-                data, offsets = hashing.raw(part.column(1))
+            for part in hashing.slices(batch, batch.schema.names[text_at]):
+                data, offsets = hashing.raw(part.column(text_at))
                 first, last, rows, plain, h, literal = templates(data, offsets)
                 found = held.hits(rows, plain, h, literal)
-                out: list[list] = [[], [], [], [], [], []]
+                before = [part.column(part.num_columns - 5 + i).to_pylist() for i in range(5)]
+                out: list[list] = [[], [], [], [], []]
                 for k in range(part.num_rows):
                     rest: dict[int, tuple[float, int, bool]] = {}
                     for (number, diagonal), places in found.get(k, {}).items():
@@ -179,27 +204,33 @@ def _scan(index, share: float, run: int):
                         if got and (got[0] >= share or got[1] >= run):
                             old = rest.get(number)
                             rest[number] = max(old, (got[0], got[1], got[3])) if old else (got[0], got[1], got[3])
-                    best = max(rest.values(), default=(0.0, 0, False))
-                    for x, v in zip(out, (part.column(0)[k].as_py(), sorted(held.ids[n] for n in rest), best[0], max((v[1] for v in rest.values()), default=0), any(v[2] for v in rest.values()), part.column(0)[k].is_valid and bool(rest)), strict=True):
+                    mine = (sorted({*before[0][k], *(held.ids[n] for n in rest)}), max([before[1][k], *(v[0] for v in rest.values())]), max([before[2][k], *(v[1] for v in rest.values())]), before[3][k] or any(v[2] for v in rest.values()), before[4][k] or bool(rest))
+                    for x, v in zip(out, mine, strict=True):
                         x.append(v)
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int64(), pa.bool_(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "items", "coverage", "longest_run", "reparameterised", "contaminated"])
+                kept = [part.column(i) for i in range(part.num_columns - 5)]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(x, t) for x, t in zip(out, kinds, strict=True)], part.schema.names)
 
     return task
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN, block: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, items (benchmark ids), coverage, longest_run, reparameterised, contaminated of every row of ``docs``."""
+def flag_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN, block: int = BLOCK_ITEMS, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with items (benchmark ids), coverage, longest_run, reparameterised, contaminated
+    (replacing columns of these names).  One scan of ``docs``, through one step for each block of the benchmark."""
     spark = small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = [c for c in docs.columns if c not in {x.split()[0] for x in FOUND.split(", ")}]
+    none = [F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("longest_run"), F.lit(False).alias("reparameterised"), F.lit(False).alias("contaminated")]
+    out = docs.select(*[F.col(f"`{c}`") for c in names], *none)
+    kind = ", ".join(f"`{c}` {t}" for c, t in out.dtypes[:-5]) + ", " + FOUND
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    n = -(-items.count() // block)
-    out = None
-    for k in range(max(1, n)):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, n))) == k).orderBy("item_id", "text")
+    n = max(1, -(-items.count() // block))
+    for k in range(n):
+        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text")
         index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine.collect()], width))  # a block of about ``block`` items
-        found = docs.mapInArrow(_scan(index, share, run), "doc_id long, items array<long>, coverage double, longest_run long, reparameterised boolean, contaminated boolean")
-        out = found if out is None else out.union(found)
-    if n > 1:
-        out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("coverage").alias("coverage"), F.max("longest_run").alias("longest_run"), F.max("reparameterised").alias("reparameterised"), F.max("contaminated").alias("contaminated"))
+        out = out.mapInArrow(_scan(index, share, run, names.index(text_col)), kind)
     return out
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN, block: int = BLOCK_ITEMS) -> DataFrame:
+    """doc_id, items, coverage, longest_run, reparameterised, contaminated of every row of ``docs``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return flag_contamination(docs, benchmark, width, share, run, block).drop("text")

@@ -338,16 +338,57 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, "too short")], "item_id long, text string")
     filler = " ".join(f"filler{i}" for i in range(50))
     rows = [(1, f"{filler} {item} {filler}"), (2, f"{filler}\n{changed}\n{filler}"), (3, filler), (4, None), (5, ""), (6, wrong), (None, item), (7, " ".join(item.split()[:9]))]
-    got = {r["doc_id"]: r for r in decontam.find_contamination(make_docs(spark, rows), bench).collect()}
-    assert got[1]["contaminated"] and got[1]["items"] == [1] and not got[1]["reparameterised"]
-    assert got[2]["contaminated"] and got[2]["reparameterised"]
-    assert not any(got[k]["contaminated"] for k in (3, 4, 5, 6, 7, None))
-    many = decontam.find_contamination(make_docs(spark, rows), bench, block=1).collect()
-    assert {r["doc_id"] for r in many if r["contaminated"]} == {1, 2}
+    rows += [(1, filler), (1, item), (None, filler), (8, f"{filler} {item} " + "long " * 60_000 + changed)]
+    plain = lambda df: sorted((r["doc_id"] if r["doc_id"] is not None else -1, tuple(r["items"]), r["coverage"], r["longest_run"], r["reparameterised"], r["contaminated"]) for r in df.collect())
+    got = plain(decontam.find_contamination(make_docs(spark, rows), bench))
+    assert len(got) == len(rows) and {r[0] for r in got if r[5]} == {-1, 1, 2, 8}
+    assert [r[5] for r in got if r[0] == 1] == [False, True, True] and [r[5] for r in got if r[0] == -1] == [False, True]
+    assert all(r[1] == ((1,) if r[5] else ()) for r in got) and [r[4] for r in got if r[0] in (2, 8)] == [True, False]
+    two = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, "too short"), (9, " ".join(f"filler{i}" for i in range(60, 90)))], "item_id long, text string")
+    assert plain(decontam.find_contamination(make_docs(spark, rows), two, block=1)) == got
+    odd = make_docs(spark, rows).withColumn("items", F.lit("x")).withColumn("contaminated", F.lit(3))
+    kept = decontam.flag_contamination(odd, bench)
+    assert set(kept.columns) == set(odd.columns) | {"coverage", "longest_run", "reparameterised"} and kept.where("contaminated and pg = 'p'").count() == 5
     assert decontam.find_contamination(make_docs(spark, []), bench).count() == 0
     assert decontam.find_contamination(make_docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+def brute_contaminated(text, items, width=8, least=5, share=0.5, run=13):
+    """Items whose words stand in the text, aligned, for the share or the run that counts: every alignment is tried."""
+    strip = lambda w: w.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%$")).lower()
+    words, out = [strip(w) for w in text.split()], []
+    for key, item in items.items():
+        mine = [strip(w) for w in item.split()]
+        size = min(width, len(mine))
+        for d in range(-len(mine), len(words)) if size >= least else ():
+            same = [0 <= d + k < len(words) and words[d + k] == mine[k] for k in range(len(mine))]
+            on = sorted({k + j for k in range(len(mine) - size + 1) if all(same[k : k + size]) for j in range(size)})
+            if len(on) / len(mine) >= share or decontam._longest(on) >= run:
+                out.append(key)
+                break
+    return out
+
+
+def test_decontamination_equals_brute_force_on_plain_passages(spark):
+    """Lower-case words without numbers have no slots, so the operator comes down to alignments of equal words."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice("abcdefghijklm") + rng.choice("nopqrstuvwxyz") for _ in range(n))
+    items = {k: say(n) for k, n in enumerate([3, 4, 5, 6, 8, 9, 12, 20, 30, 45, 60])}
+    rows = []
+    for k in range(120):
+        words, item = say(rng.randrange(0, 60)).split(), items[rng.randrange(11)].split()
+        a = rng.randrange(len(item))
+        piece = item[a : a + rng.randrange(1, len(item) + 1)]
+        if rng.random() < 0.3 and piece:
+            piece[rng.randrange(len(piece))] = "zz"
+        at = rng.randrange(len(words) + 1)
+        rows.append((k, " ".join(words[:at] + piece + words[at:])))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for block in (decontam.BLOCK_ITEMS, 4):
+        got = {r["doc_id"]: r["items"] for r in decontam.find_contamination(make_docs(spark, rows), bench, block=block).collect()}
+        assert got == {k: brute_contaminated(t, items) for k, t in rows}
+
+
 def test_decontamination_finds_exact_copies(spark):
     """Items of placeholders mostly, and short ones behind a word that ends no sentence."""
     items = {1: "The Quick Brown Fox Jumps Over The Lazy Dog Near River Banks", 2: "FIND THE AREA OF THE LARGE SQUARE BELOW", 3: "Paris 12 km Rome 30 km Berlin 7 kg Madrid 5 kg", 4: "What is the capital of France", 5: "Why do cats always land on feet"}
@@ -358,6 +399,11 @@ def test_decontamination_finds_exact_copies(spark):
         got = {r["doc_id"]: r for r in decontam.find_contamination(make_docs(spark, rows), bench, block=block).collect()}
         assert all(got[k]["items"] == [k] and got[k]["coverage"] == 1 and not got[k]["reparameterised"] for k in items)
         assert not got[6]["contaminated"]
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    bench = spark.createDataFrame([(1, f"at 12 {long} and 12 again")], "item_id long, text string")
+    rows = [(1, f"{filler} at 12 {long} and 13 again {filler}"), (2, f"{filler} at 12 {' '.join(long.split()[:10])} {filler}")]
+    got = {r["doc_id"]: r["contaminated"] for r in decontam.find_contamination(make_docs(spark, rows), bench).collect()}
+    assert got == {1: True, 2: False}
 
 
 def test_components(spark):
