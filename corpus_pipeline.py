@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, line dedup, near-duplicate removal, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and all rows its predecessor kept; all but the last return the columns of
-documents.  Rows whose id is null pass the stages that decide by id.
+documents; other columns, whatever their names, are left out.  Null texts and texts without a letter go in the first stage;
+very long texts are worked through whole; rows that repeat an id and tie in similarity leave one row; rows whose id is null
+pass the near-duplicate stage, which decides by id, and are judged by their text elsewhere.  Empty tables pass all stages.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from strandline.llm import decontam, langid, linededup, mixing, ngramjoin
 from strandline.llm.storage import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A prediction below this is rejected: less sure than a guess among a few languages.
+#: A prediction below this, or below twice a guess among the languages learned, is rejected.
 LEAST_SCORE = 0.4
 
 
@@ -26,9 +28,13 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those no language fits; the language found becomes lang."""
+    """Drops documents without a letter and those no language fits; the language found becomes lang.  Where no document has a
+    known language nothing can be learned, and all stay as they are."""
     model = langid.fit_languages(docs)
-    found = langid.predict_languages(docs.select(COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    if not model["langs"]:
+        return docs.select(COLUMNS)
+    least = min(LEAST_SCORE, 2 / len(model["langs"]))
+    found = langid.predict_languages(docs.select(COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return found.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
@@ -53,10 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark items."""
-    docs = docs.select(COLUMNS)
-    found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = Workspace(spark, "leaks").keep(found.where("contaminated").select("doc_id").distinct(), "gone")
-    return _without(docs, gone)
+    return decontam.flag_contamination(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
