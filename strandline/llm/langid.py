@@ -4,9 +4,11 @@ Each language gets a codeword; one binary classifier per bit, linear in hashed b
 language whose codeword has the least weighted logistic loss against the predicted margins wins (bits weigh by how well
 they do on the sample), and a text is ambiguous where the runner-up comes close.
 
-Defined results: null texts, and texts without a letter, are ``und`` with score 0 and ambiguous.  Without labelled rows
-everything is ``und``.  With one known language every text with a letter is that one.  Rows with null or repeated ids
-are predicted like all others.
+Defined results: null and empty texts, and texts without a letter, are ``und`` with score 0 and ambiguous.  Without labelled
+rows everything is ``und``.  With one known language every text with a letter is that one.  Rows with null or repeated ids
+are predicted like all others, and learned from by row: rows with a null id or lang teach nothing, equal rows count once.
+Ties go to the language that sorts first and are ambiguous.  Very long texts are counted whole, slice by slice.  All columns
+pass through; those named lang_pred, score or ambiguous are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,9 +92,12 @@ def fit_bits(x: np.ndarray, y: np.ndarray, code: np.ndarray, l2: float = 0.02, s
 
 
 def fit_languages(docs: DataFrame, folds: int = 4, held: int = 2, limit: int = TRAIN_LIMIT) -> dict:
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != held)).select("doc_id", "lang")
-    ids = rows.orderBy(F.xxhash64("doc_id", "lang"), "doc_id").limit(limit)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most ``limit`` rows
+    """Classifiers from at most ``limit`` rows, chosen by hash; a text is learned under the language of its own row only."""
+    key = ["doc_id", "lang", "h"]
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != held))
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("h"))
+    chosen = rows.select(key).distinct().orderBy(F.xxhash64(*key), *key).limit(limit)
+    sample = rows.join(F.broadcast(chosen), key).groupBy(key).agg(F.first("text").alias("text"))  # at most ``limit`` rows of three numbers
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,12 +12,24 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % n, F.lit(0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, limit: int) -> DataFrame:
-    """doc_id, text, y of at most ``limit`` labelled documents outside the held-out fold, chosen by hash of id."""
+def labelled_ids(labels: DataFrame, label: str, folds: int, held: int, limit: int) -> DataFrame:
+    """doc_id, y of at most ``limit`` labelled ids outside the held-out fold, chosen by hash of id."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != held))
     ids = ids.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most ``limit`` rows of two numbers
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def one_row_each(docs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of one document for each id (rows ``ids``, few enough for a broadcast): of rows that repeat an id, the one
+    of least hash.  So the result has no more rows than ``ids``."""
+    some = docs.select("doc_id", F.struct(*columns).alias("x")).join(F.broadcast(ids), "doc_id")
+    keys = [c for c in ids.columns]
+    return some.groupBy(*keys).agg(F.min_by("x", F.xxhash64("x")).alias("x")).select(*keys, "x.*")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, limit: int) -> DataFrame:
+    """doc_id, text, y of at most ``limit`` labelled documents outside the held-out fold, one row for each id."""
+    return one_row_each(docs, labelled_ids(labels, label, folds, held, limit), ["text"])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -2,12 +2,16 @@
 
 The text view is hashed byte n-grams.  The metadata view is what is known about a page without its words: source, language
 tag, length, line count, mean and longest line, share of characters that are neither letters nor spaces, repeated lines.
-Each round both classifiers are fitted; each then labels the unlabelled sample documents it is surest of for the other.
+Each round both classifiers are fitted; each then labels, for the other, the unlabelled sample documents it is surest of,
+a share of the pool at most and none below odds of 9 to 1.
 The two are calibrated on labelled documents set aside, and their calibrated log odds are added by the weights of a last
 small model.  All documents are scored; only the fit uses samples, whose bounds are parameters.
 
-Defined results: null text counts as empty; null source, language or length are values of their own.  Without labels of
-both kinds every score is the share of label 1, or 0.5.  Rows with null or repeated ids are scored like all others.
+Defined results: null text counts as empty; null source, language or length are values of their own.  Very long texts are
+counted whole, slice by slice.  Without labels of both kinds every score is the share of label 1, or 0.5.  Rows with null or
+repeated ids are scored like all others; of rows that repeat an id, one is learned from; of repeated labels, the largest
+counts.  Ties need no order, as each row is scored by itself.  Columns other than the five are not read, so clashing names do
+no harm.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ from pyspark.sql import functions as F
 
 from strandline.llm import hashing
 from strandline.llm.langid import gram_features
-from strandline.llm.learning import crc_mod, fit_logistic, sigmoid
+from strandline.llm.learning import crc_mod, fit_logistic, labelled_ids, one_row_each, sigmoid
 from strandline.llm.storage import small_batches
 
+#: Log odds from which on a pseudo-label counts as confident (odds of 9 to 1).
+SURE = 2.2
 #: Labelled and unlabelled documents of the fit, at most; dimensions of the views; rounds, and pseudo-labels of a round.
 LABELLED, UNLABELLED, TEXT_DIMS, META_DIMS, ROUNDS, SHARE = 3_000, 3_000, 512, 56, 4, 0.05
 _WORDY = np.zeros(256, bool)
@@ -85,6 +91,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, text_u: np.ndarr
             order = order[np.argsort(z[order])]
             rate, n = y.mean(), max(1, int(len(z) * share))
             low, high = order[: max(1, int(n * (1 - rate)))], order[len(order) - max(1, int(n * rate)) :]
+            low, high = low[z[low] <= -SURE], high[z[high] >= SURE]
             if len(order) > 2 * n:
                 given[1 - v] = (np.concatenate([told[0], low, high]), np.concatenate([told[1], np.zeros(len(low), int), np.ones(len(high), int)]))
     on = aside if aside.any() else np.ones(len(y), bool)
@@ -100,11 +107,12 @@ def combine(model: dict, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> dict:
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    ids = known.where(crc_mod("doc_id", folds) != held).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    free = docs.select("doc_id").where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti").where(crc_mod("doc_id", folds) != held).orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
-    both = ids.union(free.distinct().withColumn("y", F.lit(-1)))
-    text, meta, y = _views(docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(both), "doc_id"))  # at most LABELLED + UNLABELLED rows
+    """Both views' models from at most LABELLED + UNLABELLED documents, one row for each id."""
+    known = labels.where("doc_id is not null and quality is not null").select("doc_id")
+    free = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").where(crc_mod("doc_id", folds) != held)
+    free = free.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
+    both = labelled_ids(labels, "quality", folds, held, LABELLED).union(free.withColumn("y", F.lit(-1)))
+    text, meta, y = _views(one_row_each(docs, both, ["text", "source", "lang", "n_chars"]))
     on = y >= 0
     if len(set(y[on])) < 2:
         return {"constant": float(y[on].mean()) if on.any() else 0.5}

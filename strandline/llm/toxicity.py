@@ -4,11 +4,15 @@ The lexicon is learned: stems (word beginnings) that labelled toxic documents ha
 bytes could be within one edit of a stem (one half of the stem stands unchanged, at most two bytes displaced) is run as a
 Levenshtein automaton against the trie of stems; a stem is found when some beginning of the word is within the distance.
 Stems shorter than five characters must match exactly, and words that clean labelled documents contain are no
-misspellings.  A window of words around each hit tells quotation (open quote marks, reporting words) from abuse and
-measures density.  A logistic model over these hits, fitted on the same bounded sample, gives the score.
-
-Defined results: null and empty texts have no hits and get the score of a text without hits.  Rows with a null or
-repeated id are scored like all others.  Without labels of both kinds the lexicon is empty and every score 0.
+misspellings.  A window of words around each hit and the quote marks open on its line tell quotation from abuse; the window
+also measures density.  A logistic model over these hits, fitted on the same bounded sample, gives the score: what quoted
+and unquoted hits weigh is learned.
+
+Defined results: null and empty texts have no hits and get the score of a text without hits; very long ones are read whole,
+slice by slice.  Rows with a null or repeated id are scored like all others; of rows that repeat an id one is learned from,
+and of repeated labels the largest counts.  Of stems that tie the longest is named.  Without labels of both kinds the lexicon
+is empty and every score 0.  Columns other than id and text are not read, so clashing names do no harm.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from pyspark.sql import functions as F
 
 from strandline.llm import hashing
 from strandline.llm.learning import fit_logistic, labelled_sample
-from strandline.llm.storage import small_batches
+from strandline.llm.storage import Workspace, small_batches
 
-#: Labelled documents that the model is learned from, at most; and stems of the lexicon.
-TRAIN_LIMIT, LEXICON_LIMIT = 8_000, 2_000
+#: Labelled documents that the model is learned from, at most.  Lexicon and clean words are whatever these yield.
+TRAIN_LIMIT = 8_000
 AROUND = 5
 REPORTING = frozenset("said says wrote writes quoted quote quoting called replied reported sagte schrieb dit écrit dijo escribió".split())
 _PARTS = np.zeros(256, bool)
@@ -146,12 +150,36 @@ def _words(part: pa.RecordBatch):
     return data, low, offsets, starts, ends, rows
 
 
+class Quotes:
+    """Whether a place lies in quotation: an odd number of straight marks, or more opening than closing ones, since the line began."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets, self.counts = data, offsets, None
+
+    def _marks(self, mark: bytes) -> np.ndarray:
+        """How many marks end before each place."""
+        hit = np.ones(max(0, len(self.data) - len(mark) + 1), bool)
+        for i, b in enumerate(mark):
+            hit &= self.data[i : len(hit) + i] == b
+        return np.concatenate([np.zeros(len(mark), np.int32), np.cumsum(hit, dtype=np.int32)])
+
+    def __call__(self, row: int, at: int) -> bool:
+        if self.counts is None:  # only where a slice has hits
+            self.counts = [self._marks(m.encode()) for m in ('"', "“", "”", "«", "»")]
+            self.lines = np.flatnonzero(self.data == 10)
+        k = int(np.searchsorted(self.lines, at))
+        begin = max(int(self.offsets[row]), int(self.lines[k - 1]) + 1 if k else 0)
+        plain, a, b, c, d = (int(x[at] - x[begin]) for x in self.counts)
+        return plain % 2 == 1 or a > b or c > d
+
+
 def hit_features(part: pa.RecordBatch, trie: Trie, screen: Screen, clean: frozenset[str], worths: dict[str, float], memo: dict) -> tuple[np.ndarray, list[list]]:
     """For each row: log hits outside and inside quotation, largest density of a window; and the hits themselves."""
     data, low, offsets, starts, ends, rows = _words(part)
     out, hits = np.zeros((part.num_rows, 3)), [[] for _ in range(part.num_rows)]
     if not len(starts) or not trie.root:
         return out, hits
+    quotes = Quotes(data, offsets)
     if len(memo) > 500_000:
         memo.clear()
     for i in screen(low, starts, ends).tolist():
@@ -165,9 +193,7 @@ def hit_features(part: pa.RecordBatch, trie: Trie, screen: Screen, clean: frozen
         row = int(np.searchsorted(rows, i, "right")) - 1
         a, b = max(rows[row], i - AROUND), min(rows[row + 1], i + AROUND + 1)
         text = data[max(starts[a], int(offsets[row])) : ends[b - 1]].tobytes()
-        before = data[int(offsets[row]) : starts[i]][-400:].tobytes().rpartition(b"\n")[2]
-        quoted = before.count(b'"') % 2 == 1 or before.count("“".encode()) > before.count("”".encode()) or before.count("«".encode()) > before.count("»".encode())
-        quoted = quoted or bool(REPORTING & {low[starts[j] : ends[j]].tobytes().decode(errors="ignore") for j in range(a, b)})
+        quoted = quotes(row, int(starts[i])) or bool(REPORTING & {low[starts[j] : ends[j]].tobytes().decode(errors="ignore") for j in range(a, b)})
         hits[row].append((i, found[0], found[1], quoted, len(text)))
     for row, mine in enumerate(hits):
         if mine:
@@ -221,13 +247,12 @@ def choose_stems(counts: pd.DataFrame, n_toxic: int, n_clean: int, least: float,
             out.append(s)
         else:
             stack += below.get(s, ())
-    chosen = sorted(set(out), key=lambda s: (-toxic[s], s))[:LEXICON_LIMIT]
-    return {s: float(np.log(odds(s)) / np.log(300)) for s in chosen}
+    return {s: float(np.log(odds(s)) / np.log(300)) for s in sorted(set(out))}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, limit: int = TRAIN_LIMIT) -> dict:
     """The lexicon, the clean words near it and the weights, from labelled documents outside the held-out fold."""
-    sample = labelled_sample(docs, labels, "toxic", folds, held, limit)
+    sample = Workspace(docs.sparkSession, "toxicity").keep(labelled_sample(docs, labels, "toxic", folds, held, limit), "sample")
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     model = {"stems": {}, "clean": frozenset(), "weights": np.array([0.0, 0.0, 0.0, -40.0])}
     if not size.get(0) or not size.get(1):
@@ -260,11 +285,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
 
     model |= {"stems": stems}
     if stems:
-        model["clean"] = frozenset(r[0] for r in sample.mapInArrow(near, "word string").distinct().orderBy("word").limit(200_000).collect())
+        model["clean"] = frozenset(r[0] for r in sample.mapInArrow(near, "word string").distinct().collect())  # of the sample
         rows = score_features(sample, model).select("f", "y").toPandas()
         x = np.array(rows["f"].tolist(), float).reshape(-1, 3)
         model["weights"] = fit_logistic(x, rows["y"].to_numpy(float), 0.05)
-        model["weights"][1] = min(model["weights"][1], model["weights"][0] / 4) or model["weights"][0] / 8
     return model
 
 
