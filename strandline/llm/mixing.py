@@ -4,11 +4,14 @@ A source's documents all have the fractional copy number target / size.  Its who
 probability.  Pairs, of two documents or of one and the pool of smaller ones, exchange mass, measured in words, at random
 but fairly, until one of the two is integral, so the expected copies of each document and the words of the whole source stay as they were.  Buckets of a
 source are rounded apart and hand at most one fractional document each to the next level of a reduction tree; in the
-level where a source is one bucket its last one is drawn.  Random numbers come from ids, so reruns and other layouts agree.
-
-Defined results: null text has size 0; sources of size 0 have target 0; size 0 takes 0.  A null source is a source, and
-comes last.  Rows that repeat an id are rounded as documents of their own, yet with equal random numbers; rows with a
-null id are rounded as id 0.  Columns other than id, text and source are not read.
+level where a source is one bucket its last one is drawn.  Random numbers and buckets come from a hash of id and text, so
+reruns and other layouts agree, and rows of one id, or without, are spread over all buckets by their texts.
+
+Defined results: null and empty texts have size 0; sources of size 0 have target 0; size 0 takes 0.  A null source is a
+source, and comes last.  Very long texts are counted whole; one longer than its source's target is taken or left as a whole.
+Rows that repeat an id are rounded as documents of their own; equal rows get equal random numbers, and ties of size are
+ordered by them.  Columns other than id, text and source are not read, so clashing names do no harm.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -107,7 +110,7 @@ def settle(sizes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarr
 
 def _level(seed: int):
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, before = pdf["doc_id"].fillna(0).to_numpy(np.int64), pdf["size"].to_numpy(np.int64), pdf["p"].to_numpy(float)
+        ids, sizes, before = pdf["key"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64), pdf["p"].to_numpy(float)
         p = pivot(ids, sizes, before, seed)
         if pdf["buckets"].iloc[0] <= 1:  # all of the source that is still open
             p = settle(sizes, before, np.where((p > 0) & (p < 1), draws(ids, seed + 1000) < p, p).astype(float))
@@ -119,19 +122,20 @@ def _level(seed: int):
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row of ``docs`` (doc_id, source, text)."""
     work = Workspace(docs.sparkSession, "mixing")
-    base = work.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size")), "sizes")
+    key = F.xxhash64("doc_id", F.xxhash64("text"))
+    base = work.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"), key.alias("key")), "sizes")
     per = targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, share, most)
     per = work.keep(per.withColumn("buckets", F.ceil(F.col("docs") / BUCKET).cast("int")), "targets")
-    rows = base.join(F.broadcast(per) if per.count() <= 10_000 else per, base["source"].eqNullSafe(per["source"])).select("doc_id", base["source"], "size", "source_size", "target", "buckets")
+    rows = base.join(F.broadcast(per) if per.count() <= 10_000 else per, base["source"].eqNullSafe(per["source"])).select("doc_id", "key", base["source"], "size", "source_size", "target", "buckets")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
-    now = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")).cast("int"))
+    now = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.col("buckets")).cast("int"))
     most_buckets, level, done = per.agg(F.max("buckets")).first()[0] or 1, 0, []
     fixed = rows.where("size = 0 or p = 0").select("doc_id", "source", "size", "source_size", "target", "whole", F.lit(0.0).alias("p"))
-    now = now.where("size > 0 and p > 0").select("doc_id", "source", "size", "source_size", "target", "whole", "p", "buckets", "bucket")
+    now = now.where("size > 0 and p > 0").select("doc_id", "key", "source", "size", "source_size", "target", "whole", "p", "buckets", "bucket")
     while True:
         now = work.keep(now.groupBy("source", "bucket").applyInPandas(_level(seed + level), now.schema), f"level-{level}")
-        done.append(now.where("p = 0 or p = 1").drop("buckets", "bucket"))
+        done.append(now.where("p = 0 or p = 1").drop("key", "buckets", "bucket"))
         if most_buckets <= 1:
             break
         now = now.where("p > 0 and p < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int")).withColumn("buckets", F.ceil(F.col("buckets") / FAN_IN).cast("int"))
