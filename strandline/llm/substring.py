@@ -13,8 +13,10 @@ word covered by a window whose sequence also starts earlier (smaller doc_id, or
 4. Windows with a repeated anchor that no reference explains (an anchor whose first context differs) are few; an
    exact count of their hashes settles them.
 
-Defined results: null or empty text has no words.  Rows with a null id are kept whole and remove nothing.  Repeated rows
-share id and positions, neither starts earlier, so they get equal results.  Other columns are not read.
+Defined results: null or empty text has no words; texts shorter than a window stay whole; very long ones are cut whole, and
+one that is the first home of very many repeated anchors makes an automaton as large as itself.  Rows with a null id are
+kept whole and remove nothing.  Repeated rows share id and positions, neither starts earlier, so they get equal results.
+Other columns are not read, so clashing names do no harm.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,17 +87,32 @@ def _anchors(width: int, gram: int, distinct: bool):
     return task
 
 
+def _runs(places: np.ndarray) -> bytes:
+    """Rising numbers as pairs (first, how many in a row)."""
+    step = np.flatnonzero(np.diff(places, prepend=places[0] - 2) > 1) if len(places) else np.zeros(0, np.int64)
+    return np.stack([places[step], np.diff(np.append(step, len(places)))], 1).astype(np.int32).tobytes()
+
+
+def _marked(runs: bytes, n: int) -> np.ndarray:
+    """The numbers of ``_runs`` as flags."""
+    out = np.zeros(n, bool)
+    for a, m in np.frombuffer(runs, np.int32).reshape(-1, 2).tolist():
+        out[a : a + m] = True
+    return out
+
+
 def _segments(width: int, gram: int):
-    """Runs of words that windows with a shard's anchors cover, for each document and shard, as reference and as stream."""
+    """Runs of words that windows with a shard's anchors cover, for each document and shard, as reference and as stream;
+    with the windows among them, and those whose anchor has this document as its home."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "kind", "doc_id", "pos", "words", "runs"]
+        names = ["shard", "kind", "doc_id", "pos", "words", "runs", "homes"]
         for batch in batches:
             for part in hashing.slices(batch):
                 data, starts, ends, rows, words = _tokens(part)
                 first, at, h = window_anchors(words, rows, width, gram)
                 cut = np.searchsorted(first, rows)
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], []]
                 column = {x: part.column(part.schema.get_field_index(x)) for x in ("doc_id", "found")}
                 for k in range(part.num_rows):
                     found = column["found"][k].values
@@ -116,11 +133,11 @@ def _segments(width: int, gram: int):
                             for a, b in zip(new, [*new[1:], len(use)], strict=True):
                                 run = use[a:b]
                                 lo, hi = int(run[0]), int(run[-1]) + width
-                                step = np.flatnonzero(np.diff(run, prepend=run[0] - 2) > 1)
-                                runs = np.stack([run[step] - lo, np.diff(np.append(step, len(run)))], 1).astype(np.int32)
-                                for x, v in zip(out, (int(s), kind, column["doc_id"][k].as_py(), lo - int(rows[k]), data[starts[lo] : ends[hi - 1]].tobytes(), runs.tobytes()), strict=True):
+                                at_home = start[(to == s) & is_ref]
+                                at_home = at_home[(at_home >= run[0]) & (at_home <= run[-1])]
+                                for x, v in zip(out, (int(s), kind, column["doc_id"][k].as_py(), lo - int(rows[k]), data[starts[lo] : ends[hi - 1]].tobytes(), _runs(run - lo), _runs(at_home - lo)), strict=True):
                                     x.append(v)
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
 
     return task
@@ -204,7 +221,7 @@ def _stream(width: int):
                 *_, rows, words = _tokens(part, "words")
                 symbols = words.tolist()
                 where = words_grams = None
-                shard, piece, kind, ids, pos, runs = (part.column(part.schema.get_field_index(x)).to_pylist() for x in ("shard", "part", "kind", "doc_id", "pos", "runs"))
+                shard, piece, kind, ids, pos, runs, homes = (part.column(part.schema.get_field_index(x)).to_pylist() for x in ("shard", "part", "kind", "doc_id", "pos", "runs", "homes"))
                 for k in range(part.num_rows):
                     if (shard[k], piece[k]) != now:
                         now, automaton = (shard[k], piece[k]), SuffixAutomaton()
@@ -232,10 +249,8 @@ def _stream(width: int):
                         docs += [doc] * len(new)
                         lo += (where[new] + at).tolist()
                         hi += (where[np.append(new[1:], len(where)) - 1] + at + width).tolist()
-                    mark = np.zeros(len(state), bool)
-                    for a, n in np.frombuffer(runs[k], np.int32).reshape(-1, 2).tolist():
-                        mark[a : a + n] = True
-                    left = np.flatnonzero(mark & ~gone & ~own)
+                    # Known first from here settles a window only where its anchor is at home: else others may lie open too.
+                    left = np.flatnonzero(_marked(runs[k], len(state)) & ~gone & ~(own & _marked(homes[k], len(state))))
                     if len(left):
                         open_docs += [doc] * len(left)
                         hashes.append(words_grams[rows[k] + left])
@@ -297,13 +312,13 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str
     seen = work.keep(seen, "found")
 
     texts = only_ids(some, id_filter(spark, seen)).join(seen, "doc_id")
-    pieces = work.keep(texts.mapInArrow(_segments(width, gram), "shard int, kind int, doc_id long, pos int, words binary, runs binary"), "pieces")
+    pieces = work.keep(texts.mapInArrow(_segments(width, gram), "shard int, kind int, doc_id long, pos int, words binary, runs binary, homes binary"), "pieces")
     work.drop("found")
     load = pieces.where("kind = 1").groupBy("shard").agg(F.greatest(F.ceil(F.sum(F.length("words")) / F.lit(PART_ANCHORS * 50)), F.lit(1)).cast("int").alias("parts"))
     pieces = pieces.join(F.broadcast(load) if shards <= 50_000 else load, "shard")
     streams = pieces.where("kind = 1").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)"))
     copies = pieces.where("kind = 0").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-    names = ["shard", "part", "kind", "doc_id", "pos", "words", "runs"]
+    names = ["shard", "part", "kind", "doc_id", "pos", "words", "runs", "homes"]
     dealt = streams.select(names).union(copies.select(names)).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "doc_id", "pos")
     found = work.keep(dealt.mapInArrow(_stream(width), "doc_id long, lo int, hi int, value long"), "matches")
     work.drop("pieces")
