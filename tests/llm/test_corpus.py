@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import chatformat, decontam, hashing, langid, linededup, mixing, ngramjoin, quality, substring, toxicity, vptree
+from strandline.llm import chatformat, decontam, hashing, langid, learning, linededup, mixing, ngramjoin, quality, substring, toxicity, vptree
 from strandline.llm.components import components
 from strandline.llm.storage import Workspace
 
@@ -155,6 +155,17 @@ def test_line_dedup_equals_brute_force(spark):
     assert linededup.dedup_lines(make_docs(spark, [])).count() == 0
 
 
+def test_line_dedup_shuffles_touched_texts_only(spark):
+    """Without rows to cut no text passes an exchange; long texts, ties and repeated windows inside one document."""
+    rows = [(k, f"a{k}\nb{k}\nc{k}") for k in range(20)] + [(None, "x\ny\nz")] * 5
+    got = linededup.dedup_lines(make_docs(spark, rows)).collect()
+    assert len(got) == 25 and all(r["n_removed"] == 0 and r["n_lines"] == 3 for r in got)
+    long = "\n".join(f"line {i % 1000}" for i in range(20_000))
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(make_docs(spark, [(1, long), (2, long), (3, "\n".join(f"line {i}" for i in range(1000)))])).collect()}
+    assert [(got[k]["n_lines"], got[k]["n_removed"]) for k in (1, 2, 3)] == [(20_000, 19_000), (20_000, 20_000), (1000, 1000)]
+    assert got[1]["text"] == "\n".join(f"line {i}" for i in range(1000)) and got[2]["text"] == got[3]["text"] == ""
+
+
 def test_chat_collapse(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", "<|im_end|>"), (4, 0, "user", "other"), (5, 0, "user", "other"), (None, 0, "user", "x"), (6, None, None, None), (3, 2, "user", "<|im_end|>")]
     df = spark.createDataFrame([r + (9,) for r in rows], "conv_id long, turn long, role string, text string, len long")
@@ -324,6 +335,20 @@ def test_language_id(spark):
     assert langid.predict_languages(make_docs(spark, [(1, "a")]), langid.fit_languages(make_docs(spark, []))).first()["lang_pred"] == "und"
 
 
+def test_language_learns_from_a_row_s_own_language(spark):
+    """Rows that share an id teach their own language each, those without one teach nothing, and the bound holds with repeats."""
+    de, en = "der hund und die katze schlafen im haus %d", "the dog and the cat sleep in a house %d"
+    rows = [(k % 7, (de if k % 2 else en) % (k // 2), "de" if k % 2 else "en") for k in range(300)] + [(k % 7, de % k, None) for k in range(300)]
+    rows += [(1, en % 0, "en")] * 200 + [(None, de % 3, "en")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").where("doc_id is null or crc32(cast(doc_id as string)) % 4 <> 2")
+    got = langid.predict_languages(df, langid.fit_languages(df)).where("text is not null").collect()
+    assert all(r["lang_pred"] == ("de" if r["text"].startswith("der") else "en") for r in got)
+    few = learning.one_row_each(df, df.where("doc_id is not null").select("doc_id").distinct(), ["text", "lang"])
+    assert few.count() == df.where("doc_id is not null").select("doc_id").distinct().count()
+    tie = langid.predict_languages(df.limit(3), {"langs": ["en"]}).collect()
+    assert {r["lang_pred"] for r in tie} == {"en"}
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 4, 5, 12):
         c = langid.codewords(k)
@@ -447,6 +472,48 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, SF).collect()} == {i: r["taken"] for i, r in mixed.items()}
 
 
+def test_quotation_is_read_from_the_whole_line():
+    import pyarrow as pa
+
+    far = 'they "' + "so " * 400 + "idiot "
+    texts = [far + '" end', "first \" line\nidiot", "a “b” idiot", "«" + "x " * 300 + "idiot", "idiot", None]
+    part = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    trie, screen = toxicity.Trie(["idiot"]), toxicity.Screen(["idiot"])
+    _, hits = toxicity.hit_features(part, trie, screen, frozenset(), {"idiot": 1.0}, {})
+    assert [[h[3] for h in row] for row in hits] == [[True], [False], [False], [True], [False], []]
+
+
+def test_substring_windows_known_only_here_are_counted(spark, monkeypatch):
+    """A passage shorter than a window at home, longer elsewhere: windows over its edge are settled by the exact count."""
+    rng = random.Random(12)
+    say = lambda n, a: [f"{a}{rng.randrange(10**6)}" for _ in range(n)]
+    for trial in range(3):
+        p = say(26, "p")
+        rows = [(1, " ".join(say(9, "h") + p + say(9, "h")))]
+        rows += [(2 + k, " ".join(say(7, "e") + ["x"] + p + say(7, "f"))) for k in range(4)]
+        rows += [(9, rows[2][1]), (10, " ".join(p[:21] + p[:21] + ["x"] + p))]
+        for shard in (6000, 1):
+            monkeypatch.setattr(substring, "SHARD_ANCHORS", shard)
+            got = substring.remove_repeats(make_docs(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()
+            assert {r[0]: tuple(r[1:]) for r in got} == brute_cut(rows)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty, unlabelled, very long and clashing input through all stages."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, long), (2, None), (3, ""), (4, "a b c d e f g"), (None, "one two three"), (5, "12 34"), (4, "a b c d e f g")]
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, df, ids in (("empty", make_docs(spark, []), []), ("unlabelled", make_docs(spark, rows).withColumn("lang", F.lit(None).cast("string")), [-1, 1, 2, 3, 4, 5]), ("labelled", make_docs(spark, rows), [-1, 1, 4])):
+        docs, work = df, Workspace(spark, name)
+        for stage, f in corpus_pipeline.STAGES:
+            docs = work.keep(f(spark, docs, str(tmp_path)), stage)
+            if stage != "source_mixing":
+                assert docs.columns == corpus_pipeline.COLUMNS
+        assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in docs.collect()) == ids, name
+
+
 def test_pipeline_near_duplicates_odd_rows(spark):
     import corpus_pipeline
 
