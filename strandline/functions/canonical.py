@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.machines import fold_groups
+
 
 def normalise(payload: Any) -> Any:
     """Arrays become lists, sets sorted lists, bytes hex, keys strings."""
@@ -56,6 +58,13 @@ def canonical_json(column: Column, drop: tuple[str, ...] = ()) -> Column:
 
 
 def ordered_digest(df: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
-    """sha256 over each group's texts in the given order; hash first, so that what is gathered is small."""
-    row = df.select(*keys, F.struct(*order, F.sha2(F.col(text), 256).alias("h")).alias("r"))
-    return row.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["h"]), ""), 256).alias("digest"), F.count("*").alias("n"))
+    """sha256 over the hashes of each group's texts in the given order, and n; rows stream, so no group is gathered."""
+    rows = df.select(F.to_json(F.struct(*keys)).alias("_key"), *order, F.sha2(F.col(text), 256).alias("_h"))
+
+    def step(state: list, h: str | None) -> tuple:
+        state[0].update((h or "").encode())
+        state[1] += 1
+        return ()
+
+    out = fold_groups(rows, "_key", [*order, "_h"], ["_h"], lambda: [hashlib.sha256(), 0], step, lambda s: [(s[0].hexdigest(), s[1])], "digest string, n long")
+    return out.select(F.from_json("_key", df.select(*keys).schema).alias("k"), "digest", "n").select("k.*", "digest", "n")

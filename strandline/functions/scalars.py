@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-12
+BOUNDS = ("max_delta", "min_delta", "max_ratio", "min_ratio")
 #: Words that mark an event as an error, and how severe states and statuses are.
 ERROR_WORDS = ("error", "failure", "timeout", "exception", "circuit", "tripped", "dropped")
 STATE_RANK = {"healthy": 0, "recovering": 1, "degraded": 2, "tripped": 3}
@@ -115,11 +116,42 @@ def metric_status(baseline: Column, delta: Column, rel: Column, max_delta: Colum
     return F.when(none, "pass").when(baseline.isNull() | F.isnan(baseline), "missing_baseline").when((max_ratio.isNotNull() | min_ratio.isNotNull()) & rel.isNull(), "regressed").when(over, "regressed").otherwise("pass")
 
 
-def severity(status: Column, delta: Column, max_delta: Column, min_delta: Column) -> Column:
-    """Root of summed squares of how far the present bounds are exceeded, in units of the bound; missing baselines: 1."""
-    up = F.coalesce(F.greatest(delta - max_delta, F.lit(0.0)) / F.greatest(F.abs(max_delta), F.lit(EPS)), F.lit(0.0))
-    down = F.coalesce(F.greatest(min_delta - delta, F.lit(0.0)) / F.greatest(F.abs(min_delta), F.lit(EPS)), F.lit(0.0))
-    return F.when(status == "missing_baseline", 1.0).otherwise(F.sqrt(up * up + down * down))
+def parse_threshold(spec: float | Mapping | None) -> dict[str, float] | None:
+    """The bounds max_delta, min_delta, max_ratio, min_ratio of a threshold's spec; None where it bounds nothing.
+
+    A number bounds the delta from above.  A mapping names bounds, or a direction with a tolerance, which wins."""
+    if spec is None:
+        return None
+    if isinstance(spec, (int, float)):
+        return {"max_delta": float(spec)}
+    if not isinstance(spec, Mapping):
+        raise TypeError("a threshold is a number or a mapping")
+    found = {k: float(spec[k]) for k in BOUNDS if spec.get(k) is not None}
+    if spec.get("direction") and spec.get("tolerance") is not None:
+        if spec["direction"] not in ("lower", "higher"):
+            raise ValueError(f"no direction of that name: {spec['direction']}")
+        found |= {"max_delta": float(spec["tolerance"])} if spec["direction"] == "lower" else {"min_delta": -float(spec["tolerance"])}
+    return found or None
+
+
+def threshold_rows(specs: Mapping[str, float | Mapping | None]) -> list[tuple]:
+    """(metric, max_delta, min_delta, max_ratio, min_ratio) of each spec that bounds something."""
+    parsed = {m: parse_threshold(s) for m, s in specs.items()}
+    return [(m, *(p.get(b) for b in BOUNDS)) for m, p in parsed.items() if p]
+
+
+def severity(status: Column, delta: Column, rel: Column, max_delta: Column, min_delta: Column, max_ratio: Column, min_ratio: Column) -> Column:
+    """Root of summed squares of how far the present bounds on delta and ratio are exceeded, in units of the bound.
+
+    A bound value that is null or not finite counts 1, and so does a missing baseline."""
+
+    def penalty(value: Column, bound: Column, sign: int) -> Column:
+        finite = F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(False))
+        beyond = F.greatest(sign * (value - bound) / F.greatest(F.abs(bound), F.lit(EPS)), F.lit(0.0))
+        return F.when(bound.isNull(), 0.0).when(~finite, 1.0).otherwise(beyond)
+
+    parts = [penalty(delta, max_delta, 1), penalty(delta, min_delta, -1), penalty(rel, max_ratio, 1), penalty(rel, min_ratio, -1)]
+    return F.when(status == "missing_baseline", 1.0).otherwise(F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0])))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import STATE_RANK, STATUS_RANK, known_status, metric_status, normal_state, ratio, severity, worst
+from strandline.functions.scalars import BOUNDS, STATE_RANK, STATUS_RANK, known_status, metric_status, normal_state, ratio, severity, worst
 
 
 def compare(current: DataFrame, baseline: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -15,8 +15,8 @@ def compare(current: DataFrame, baseline: DataFrame, thresholds: DataFrame) -> D
     b = baseline.select("key", "metric", F.col("value").alias("baseline"))
     rows = current.select("key", "metric", F.col("value").alias("current")).join(b, ["key", "metric"], "left").join(thresholds, "metric", "left")
     rows = rows.withColumn("delta", F.col("current") - F.col("baseline")).withColumn("ratio", ratio(F.col("delta"), F.col("baseline")))
-    status = metric_status(*(F.col(c) for c in ("baseline", "delta", "ratio", "max_delta", "min_delta", "max_ratio", "min_ratio")))
-    return rows.withColumn("status", status).select("key", "metric", "baseline", "current", "delta", "ratio", "max_delta", "min_delta", "status")
+    status = metric_status(*(F.col(c) for c in ("baseline", "delta", "ratio", *BOUNDS)))
+    return rows.withColumn("status", status).select("key", "metric", "baseline", "current", "delta", "ratio", *BOUNDS, "status")
 
 
 def gate(compared: DataFrame) -> DataFrame:
@@ -24,12 +24,22 @@ def gate(compared: DataFrame) -> DataFrame:
     return compared.groupBy("key").agg(F.when(F.bool_and(F.col("status") == "pass"), "pass").otherwise("regressed").alias("status"), F.count("*").alias("metrics"), F.count_if(F.col("status") != "pass").alias("failing"))
 
 
-def severity_scores(compared: DataFrame, weights: DataFrame, default: float = 1.0) -> DataFrame:
-    """Root of the weighted sum of squared severities per key; metrics without a weight take the default."""
-    rows = compared.join(weights.select("metric", "weight"), "metric", "left")
-    s = severity(F.col("status"), F.col("delta"), F.col("max_delta"), F.col("min_delta"))
-    rows = rows.withColumn("severity", F.when(F.col("status") == "pass", 0.0).otherwise(s))
-    return rows.groupBy("key").agg(F.sqrt(F.sum(F.coalesce("weight", F.lit(default)) * F.col("severity") * F.col("severity"))).alias("score"), F.max("severity").alias("worst"))
+def severity_scores(compared: DataFrame, weights: DataFrame, default: float = 1.0, telemetry: DataFrame | None = None, telemetry_weights: DataFrame | None = None) -> DataFrame:
+    """Per key: weighted sums of squared severities of metrics and of telemetry metrics, the root of both as score, all
+    weights, and the worst severity.  Metrics without a weight take the default."""
+
+    def rows(df: DataFrame, named: DataFrame | None, name: str) -> DataFrame:
+        df = df.withColumn("severity", severity(*(F.col(c) for c in ("status", "delta", "ratio", *BOUNDS))))
+        df = df.withColumn("weight", F.lit(None).cast("double")) if named is None else df.join(named.select("metric", "weight"), "metric", "left")
+        w = F.coalesce("weight", F.lit(default))
+        square = w * F.col("severity") * F.col("severity")
+        return df.select("key", "severity", w.alias("weight"), *[(square if name == n else F.lit(0.0)).alias(n) for n in ("metrics_penalty", "telemetry_penalty")])
+
+    both = rows(compared, weights, "metrics_penalty")
+    if telemetry is not None:
+        both = both.unionByName(rows(telemetry, telemetry_weights, "telemetry_penalty"))
+    found = both.groupBy("key").agg(F.sum("metrics_penalty").alias("metrics_penalty"), F.sum("telemetry_penalty").alias("telemetry_penalty"), F.sum("weight").alias("total_weight"), F.max("severity").alias("worst"))
+    return found.withColumn("score", F.sqrt(F.col("metrics_penalty") + F.col("telemetry_penalty")))
 
 
 def run_status(df: DataFrame) -> DataFrame:
@@ -64,5 +74,6 @@ def readiness(parts: DataFrame, keys: list[str], strict: bool = False) -> DataFr
 
 
 def status_of_state(df: DataFrame) -> DataFrame:
-    s = normal_state(F.col("state"))
-    return df.withColumn("status", F.when(s == "tripped", "fail").when(s.isin("degraded", "recovering"), "warn").when(s == "healthy", "pass").otherwise("unknown"))
+    """Readiness of a stage's state; any other state, idle among them, is unknown."""
+    s = F.lower("state")
+    return df.withColumn("status", F.when(s.isin("tripped", "error", "failed", "halted"), "fail").when(s.isin("degraded", "recovering"), "warn").when(s.isin("healthy", "ok"), "pass").otherwise("unknown"))

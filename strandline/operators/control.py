@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions.canonical import ordered_digest
 from strandline.operators.machines import fold_rows
 
 
@@ -175,8 +176,7 @@ def control_plane_report(snapshots: DataFrame, events: DataFrame, keys: list[str
     """snapshot_digest over stages in name order, event_digest over merged events, and digest of both."""
 
     def digest(df: DataFrame, order: list[str], text: Column, name: str) -> DataFrame:
-        rows = df.select(*keys, F.struct(*order, F.sha2(text, 256).alias("h")).alias("r"))
-        return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["h"]), ""), 256).alias(name))
+        return ordered_digest(df.withColumn("_text", text), keys, order, "_text").select(*keys, F.col("digest").alias(name))
 
     both = digest(snapshots, ["stage"], snapshot, "snapshot_digest").join(digest(events, ["timestamp_s", "stage", "seq_id"], event, "event_digest"), keys, "full_outer")
     return both.withColumn("digest", F.sha2(F.concat_ws(":", "snapshot_digest", "event_digest"), 256))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -10,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.scalars import STATE_RANK as RANK
+from strandline.functions.scalars import derived_seed
+
 
 def fold_rows(df: DataFrame, key: str, order: str, fields: list[str], start: Callable, step: Callable, name: str, kind: str) -> DataFrame:
     """(key, order, name): ``step(state, *fields)`` of each row in order, from ``start()`` for each key; None leaves a row out.
@@ -132,41 +136,126 @@ class QuantileMarkers:
         return self.height[2]
 
 
+@dataclass
+class Reading:
+    """What a stage reports: its state, errors among its last events, the largest pressure ratio, and two running counters."""
+
+    state: str
+    errors: int = 0
+    ratio: float | None = None
+    pressure: int = 0
+    opens: int = 0
+
+
+@dataclass
+class _Stage:
+    state: str
+    since: float
+    good: int = 0
+    pressure: int = 0
+    opens: int = 0
+
+
 @dataclass
 class Supervisor:
-    """Health of one run's stages: asked states, propagation, and recovery by cooldown and healthy streak."""
+    """Health of one run's stages: errors and escalations raise the states asked for, these spread to stages downstream, and
+    recovery takes a cooldown and healthy updates in a row.
+
+    A degraded stage counts healthy updates anew whenever it stays degraded, so it settles only where ``settle`` is 1; that
+    is what the machine being matched does.  Escalations queue actions, of which the newest ``capacity`` are kept."""
 
     upstream: dict[str, tuple[str, ...]]
-    cooldown: float = 5.0
+    cooldown: float = 0.5
     streak: int = 2
-    state: dict[str, str] = field(default_factory=dict)
-    since: dict[str, float] = field(default_factory=dict)
-    healthy: dict[str, int] = field(default_factory=dict)
-
-    def update(self, ts: float, asked: dict[str, str]) -> list[tuple[float, str, str, str]]:
-        want = {s: ("healthy" if a == "idle" else a) for s, a in asked.items()}
+    settle: int = 2
+    errors: tuple[int, int] = (2, 4)
+    ratios: tuple[float, float] = (0.8, 0.95)
+    growth: tuple[int, int] = (1, 3)
+    opens: int = 1
+    capacity: int = 128
+    stages: dict[str, _Stage] = field(default_factory=dict)
+    queue: deque = field(default_factory=deque)
+    queued: int = 0
+
+    @property
+    def state(self) -> dict[str, str]:
+        return {s: x.state for s, x in self.stages.items()}
+
+    @property
+    def recovery(self) -> list[tuple[str, str, str]]:
+        """(stage, type, severity) of the queued actions: tripped first, then by time, stage and number."""
+        return [(s, kind, level) for level, _, s, _, kind in sorted(self.queue, key=lambda x: (x[0] != "tripped", *x[1:4]))]
+
+    def _raised(self, asked: Reading, now: _Stage) -> list[tuple[str, str, str]]:
+        """(type, severity, reason) of a stage's escalations; its counters move on."""
+        grown, opened = max(asked.pressure - now.pressure, 0), max(asked.opens - now.opens, 0)
+        now.pressure, now.opens = asked.pressure, asked.opens
+        level, why, out = None, [], []
+        if asked.ratio is not None and asked.ratio >= self.ratios[0]:
+            level = "tripped" if asked.ratio >= self.ratios[1] else "degraded"
+            why.append(f"ratio={asked.ratio:.3f}")
+        if grown >= self.growth[1] > 0 or level is None and grown >= self.growth[0] > 0:
+            level = "tripped" if grown >= self.growth[1] > 0 else "degraded"
+            why.append(f"delta={grown}")
+        if level:
+            out.append(("backpressure", level, f"backpressure({','.join(why)})"))
+        if opened >= self.opens > 0:
+            out.append(("circuit_breaker", "tripped", f"circuit_breaker(delta={opened})"))
+        return out
+
+    def _spread(self, want: dict[str, str]) -> None:
         for _ in want:  # as many passes as there are stages
             for s in sorted(want):
-                ups = [want.get(u, "healthy") for u in self.upstream.get(s, ())]
-                if "tripped" in ups and want[s] != "tripped" or any(u in ("degraded", "recovering") for u in ups) and want[s] == "healthy":
+                ups = {want.get(u, "healthy") for u in self.upstream.get(s, ())}
+                if "tripped" in ups and want[s] != "tripped" or ups & {"degraded", "recovering"} and want[s] == "healthy":
                     want[s] = "degraded"
-        moves = []
+
+    def _next(self, now: _Stage, want: str, ts: float) -> tuple[str, str]:
+        """The state that follows, and why."""
+        why = "snapshot"
+        if now.state == "tripped" and want in ("healthy", "degraded") and ts - now.since >= self.cooldown:
+            want, why = "recovering", "cooldown_elapsed"
+        if now.state == "recovering":
+            now.good = now.good + 1 if want == "healthy" else 0
+            if want == "tripped":
+                why = "retrip"
+            elif want == "healthy":
+                want, why = ("healthy", "recovered") if now.good >= self.streak else ("recovering", "awaiting_stability")
+            else:
+                want, why = "recovering", "hold_recovering"
+        if now.state == "degraded" and want == "healthy":
+            now.good += 1
+            want, why = ("healthy", "stabilized") if now.good >= self.settle else ("degraded", "awaiting_stability")
+        if want in ("tripped", "degraded"):
+            now.good = 0
+        return want, why
+
+    def update(self, ts: float, asked: dict[str, Reading | str]) -> list[tuple[float, str, str, str, str]]:
+        """(time, stage, old, new, reason) of the stages that change."""
+        asked = {s: Reading(r) if isinstance(r, str) else r for s, r in asked.items()}
+        want, moves = {}, []
+        for s in sorted(asked):
+            r, now = asked[s], self.stages.setdefault(s, _Stage("healthy", ts))
+            state = r.state.lower().strip()
+            state = "healthy" if state == "idle" else state
+            if r.errors >= self.errors[1] > 0:
+                state = "tripped"
+            elif r.errors >= self.errors[0] > 0 and state not in ("tripped", "recovering"):
+                state = "degraded"
+            for kind, level, _ in self._raised(r, now):
+                state = state if RANK.get(state, 0) >= RANK[level] else level
+                self.queued += 1
+                self.queue.append((level, ts, s, self.queued, kind))
+                while len(self.queue) > self.capacity:
+                    self.queue.popleft()
+            want[s] = state
+        self._spread(want)
         for s in sorted(want):
-            old, new = self.state.get(s, "healthy"), want[s]
-            if new == "tripped":
-                self.healthy[s] = 0
-            elif old == "tripped":
-                new = "recovering" if ts - self.since.get(s, ts) >= self.cooldown else new
-                self.healthy[s] = 0
-            elif old == "recovering" and new == "healthy":
-                self.healthy[s] = self.healthy.get(s, 0) + 1
-                new = "healthy" if self.healthy[s] >= self.streak else "recovering"
-            elif new == "degraded":
-                self.healthy[s] = 0
+            now = self.stages[s]
+            old, (new, why) = now.state, self._next(now, want[s], ts)
             if new != old:
-                moves.append((ts, s, old, new))
-                self.since[s] = ts
-            self.state[s] = new
+                now.state, now.since = new, ts
+                moves.append((ts, s, old, new, why))
         return moves
 
 
@@ -188,31 +277,33 @@ def marker_quantiles(df: DataFrame, key: str, order: str, value: str, at: tuple[
 
 
 def supervise(df: DataFrame, run: str, upstream: dict[str, tuple[str, ...]], **settings) -> DataFrame:
-    """Transitions of asked(run, tick, stage, asked): all stages of a run share state, so a run's ticks stream in order and
-    only one tick's stages are held."""
+    """Transitions of asked(run, tick, stage, asked), and errors, ratio, pressure, opens where df has them: all stages of a
+    run share state, so a run's ticks stream in order and only one tick's stages are held."""
+    more = [c for c in ("errors", "ratio", "pressure", "opens") if c in df.columns]
 
     class Run:
         def __init__(self) -> None:
             self.machine, self.tick, self.asked = Supervisor(upstream, **settings), None, {}
 
-        def close(self) -> list[tuple[float, str, str, str]]:
+        def close(self) -> list[tuple[float, str, str, str, str]]:
             return self.machine.update(self.tick, self.asked) if self.asked else []
 
-        def step(self, tick: float, stage: str, asked: str) -> list[tuple[float, str, str, str]]:
+        def step(self, tick: float, stage: str, asked: str, *values) -> list[tuple[float, str, str, str, str]]:
             moves = []
             if tick != self.tick:
                 moves, self.tick, self.asked = self.close(), float(tick), {}
-            self.asked[stage] = asked
+            given = {n: (float if n == "ratio" else int)(v) for n, v in zip(more, values, strict=True) if v is not None and v == v}
+            self.asked[stage] = Reading(asked, **given)
             return moves
 
-    return fold_groups(df, run, ["tick", "stage"], ["tick", "stage", "asked"], Run, Run.step, Run.close, "tick double, stage string, old string, new string")
+    return fold_groups(df, run, ["tick", "stage"], ["tick", "stage", "asked", *more], Run, Run.step, Run.close, "tick double, stage string, old string, new string, reason string")
 
 
-def failure_plan(spark, stages: list[str], steps: int, kinds: dict[str, float], seed: int) -> DataFrame:
-    """At most one failure a stage and step: kinds in order, each with its probability, by hash of seed, stage, step, kind."""
-    grid = spark.range(steps).withColumnRenamed("id", "step").withColumn("stage", F.explode(F.array(*[F.lit(s) for s in stages])))
+def failure_plan(steps: DataFrame, kinds: dict[str, float], seed: int) -> DataFrame:
+    """At most one failure for each row of steps(stage, step): kinds in order, each with its probability, by the first eight
+    bytes of sha256("seed:stage:step:kind")."""
     hit = F.lit(None).cast("string")
     for kind, p in reversed(kinds.items()):
-        u = F.pmod(F.xxhash64(F.lit(seed), "stage", "step", F.lit(kind)), F.lit(1_000_003)) / 1_000_003.0
+        u = derived_seed(F.lit(seed), F.concat_ws(":", F.col("stage"), F.col("step").cast("string"), F.lit(kind))) / 2147483647.0
         hit = F.when(u < p, kind).otherwise(hit)
-    return grid.withColumn("failure_type", hit).where("failure_type is not null")
+    return steps.select("stage", "step", hit.alias("failure_type")).where("failure_type is not null")

@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.scalars import is_error_event
+from strandline.operators.machines import fold_groups
 
 
-def merge_events(*streams: DataFrame) -> DataFrame:
+def merge_events(*streams: DataFrame, span_s: float = 3600.0) -> DataFrame:
     """Union of (stage, event_type, message, metadata, timestamp_s) rows with seq_id per stage and the global order's columns.
 
-    seq_id counts each stage's events by time, type, message and metadata; (timestamp_s, stage, seq_id) is total."""
+    seq_id counts each stage's events by time, type, message and metadata; (timestamp_s, stage, seq_id) is total.  Events are
+    numbered inside spans of time, and each span starts where the counts of those before end, so no task sorts a stage."""
     rows = streams[0]
     for more in streams[1:]:
         rows = rows.unionByName(more)
-    w = Window.partitionBy("stage").orderBy("timestamp_s", "event_type", "message", "metadata")
-    return rows.withColumn("seq_id", (F.row_number().over(w) - 1).cast("long"))
+    rows = rows.withColumn("span", F.coalesce(F.floor(F.col("timestamp_s") / span_s), F.lit(-(2**62))))
+    before = Window.partitionBy("stage").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("stage", "span").agg(F.count("*").alias("n"))
+    counts = counts.select(F.col("stage").alias("_stage"), F.col("span").alias("_span"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    w = Window.partitionBy("stage", "span").orderBy("timestamp_s", "event_type", "message", "metadata")
+    rows = rows.withColumn("place", F.row_number().over(w) - 1)
+    rows = rows.join(counts, rows["stage"].eqNullSafe(counts["_stage"]) & (rows["span"] == counts["_span"]))
+    return rows.withColumn("seq_id", (F.col("start") + F.col("place")).cast("long")).drop("_stage", "_span", "span", "start", "place")
 
 
 def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -27,8 +35,9 @@ def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFram
 
 
 def error_counts(df: DataFrame, n: int = 64) -> DataFrame:
-    """Error events among each stage's last n, and what they ask for: degraded from 2, tripped from 4."""
-    recent = last_n(df, ["stage"], ["timestamp_s", "seq_id"], n)
+    """Error events among each stage's last n, in the order of ``merge_events``, and what they ask for: degraded from 2,
+    tripped from 4.  Only the last n of each task are shuffled."""
+    recent = last_n(df, ["stage"], ["timestamp_s", "event_type", "message", "metadata"], n)
     counted = recent.groupBy("stage").agg(F.count_if(is_error_event(F.col("event_type"), F.col("message"))).alias("errors"), F.count("*").alias("seen"))
     return counted.withColumn("asked", F.when(F.col("errors") >= 4, "tripped").when(F.col("errors") >= 2, "degraded").otherwise("healthy"))
 
@@ -46,9 +55,11 @@ def monotonic(df: DataFrame, keys: list[str], order: str, ts: str) -> DataFrame:
 
 
 def counter_delta(df: DataFrame, keys: list[str], order: str, counter: str, warn: float, trip: float) -> DataFrame:
-    """Growth of a counter since the row before (0 at first, never negative), and the state it asks for."""
+    """Growth of a counter since the row before, and the state it asks for.  Counters start from 0, absent ones are 0, and
+    growth is never negative."""
     w = Window.partitionBy(*keys).orderBy(order)
-    delta = F.greatest(F.col(counter) - F.coalesce(F.lag(counter).over(w), F.col(counter)), F.lit(0))
+    now = F.coalesce(counter, F.lit(0))
+    delta = F.greatest(now - F.coalesce(F.lag(now).over(w), F.lit(0)), F.lit(0))
     return df.withColumn("delta", delta).withColumn("asked", F.when(F.col("delta") >= trip, "tripped").when(F.col("delta") >= warn, "degraded").otherwise("healthy"))
 
 
@@ -74,9 +85,16 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, columns: list[str]
 
 
 def moving_average(df: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
-    """y = alpha x + (1 - alpha) y from y = x at first; null values leave y as it is.  One key's rows stream through a fold."""
-    fold = F.aggregate(F.expr(f"transform(array_sort(collect_list(struct(`{order}` as o, cast(`{value}` as double) as x))), r -> r.x)"), F.lit(None).cast("double"), lambda y, x: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(alpha * x + (1 - alpha) * y))
-    return df.groupBy(key).agg(fold.alias("ema"), F.count("*").alias("n"))
+    """y = alpha x + (1 - alpha) y from y = x at first; null and NaN values leave y as it is.  Rows stream through a fold."""
+
+    def step(state: list, x: float | None) -> tuple:
+        state[1] += 1
+        if x is not None and x == x:
+            state[0] = x if state[0] is None else alpha * x + (1 - alpha) * state[0]
+        return ()
+
+    rows = df.select(key, order, F.col(value).cast("double").alias(value))
+    return fold_groups(rows, key, [order], [value], lambda: [None, 0], step, lambda s: [tuple(s)], "ema double, n long")
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import metric_name
+from strandline.functions.scalars import artifact_name, metric_name
 
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 
@@ -27,9 +29,9 @@ def moments(column: str, sample: bool = True) -> list[Column]:
     return [F.count(c).alias("event_count"), F.sum(c).alias("total"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), F.coalesce(var(c), F.lit(0.0)).alias("variance"), F.coalesce(std(c), F.lit(0.0)).alias("stdev")]
 
 
-def digest(df: DataFrame, stage: str = "stage", value: str = "duration_s", exact: bool = True) -> DataFrame:
-    """Per stage, and over all (stage null): count, moments with sample variance (0 for one event), quantiles."""
-    return df.rollup(F.col(stage).alias("stage")).agg(*moments(value), *quantiles(value, exact))
+def digest(df: DataFrame, stage: str = "stage", value: str = "duration_s", exact: bool = True, overall: bool = True) -> DataFrame:
+    """Per stage, and over all (stage null) unless told not to: count, moments with sample variance (0 for one event), quantiles."""
+    return (df.rollup if overall else df.groupBy)(F.col(stage).alias("stage")).agg(*moments(value), *quantiles(value, exact))
 
 
 def memory_digest(df: DataFrame, stage: str = "stage", memory: str = "memory_delta") -> DataFrame:
@@ -48,19 +50,43 @@ def flatten_metrics(summary: DataFrame, prefix: str = "telemetry_stage", names:
     return long.select(F.concat_ws("_", F.lit(prefix), "s", "m").alias("metric"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def summary_metrics(df: DataFrame, stage: str = "stage", value: str = "duration_s", memory: str = "memory_delta", exact: bool = True) -> DataFrame:
+    """Long (metric, value) rows of a run's events: six over all, and sixteen of each stage, 0 where nothing was measured."""
+    of = {f"m_{n}": c for n, c in (("count", F.count(memory)), ("total", F.sum(memory)), ("mean", F.avg(memory)), ("max", F.max(memory)), ("stdev", F.stddev_samp(memory)))}
+    of |= {n: c for n, c in (("count", F.count(value)), ("total", F.sum(value)), ("mean", F.avg(value)), ("max", F.max(value)), ("stdev", F.stddev_samp(value)))}
+    aggs = [c.cast("double").alias(n) for n, c in of.items()]
+    aggs += [q.cast("double").alias(f"{p}p{round(at * 100)}") for p, column in (("", value), ("m_", memory)) for at, q in zip(QUANTILES, quantiles(column, exact), strict=True)]
+    rows = df.rollup(F.col(stage).alias("stage")).agg(*aggs, F.grouping_id().alias("level"))
+    over_all = {"event_count": "count", "total_duration_s": "total", "mean_duration_s": "mean", "memory_event_count": "m_count", "total_memory_delta_bytes": "m_total", "mean_memory_delta_bytes": "m_mean"}
+    names = ("mean", "p50", "p90", "p95", "p99", "max", "stdev")
+    of_stage = {"count": "count"} | {f"{n}_duration_s": n for n in names} | {"memory_delta_count": "m_count"} | {f"memory_delta_{n}_bytes": f"m_{n}" for n in names}
+    out = None
+    for level, columns, prefix in ((1, over_all, F.lit("telemetry_")), (0, of_stage, F.concat(F.lit("telemetry_stage_"), metric_name(F.col("stage")), F.lit("_")))):
+        some = rows.where(F.col("level") == level).select(prefix.alias("prefix"), *[F.col(c).alias(n) for n, c in columns.items()])
+        some = some.unpivot("prefix", list(columns), "m", "value").select(F.concat("prefix", "m").alias("metric"), F.coalesce("value", F.lit(0.0)).alias("value"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 def correlation_min(df: DataFrame, stage: str = "stage", cid: str = "correlation_id") -> DataFrame:
     """The least correlation id of each stage, and whether there are several; empty ids don't count."""
     c = F.nullif(F.col(cid), F.lit(""))
     return df.groupBy(stage).agg(F.min(c).alias("correlation_id"), (F.min(c) != F.max(c)).alias("conflict")).where("correlation_id is not null")
 
 
-def drift(baseline: DataFrame, current: DataFrame, metrics: tuple[str, ...], relative: float, absolute: float) -> DataFrame:
-    """Findings of two policies over stages present in both summaries: relative growth, and absolute growth."""
+#: Drift policies by name: status of (baseline, current, delta, limit).  Others can be added.
+DRIFT_POLICIES: dict[str, Callable[[Column, Column, Column, float], Column]] = {
+    "relative": lambda b, c, d, most: F.when(b <= 0, F.when(d > 0, "warn").otherwise("pass")).when(d / b > most, "fail").otherwise("pass"),
+    "absolute": lambda b, c, d, most: F.when(F.abs(d) > most, "fail").otherwise("pass"),
+}
+
+
+def drift(baseline: DataFrame, current: DataFrame, metrics: tuple[str, ...], policies: Mapping[str, float]) -> DataFrame:
+    """Findings of policies (name to limit) over stages present in both summaries."""
     b, c = (x.where("stage is not null").select("stage", *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics]).unpivot("stage", list(metrics), "metric", v) for x, v in ((baseline, "baseline"), (current, "current")))
     both = c.join(b, ["stage", "metric"]).withColumn("delta", F.col("current") - F.col("baseline"))
-    rel = F.when(F.col("baseline") <= 0, F.when(F.col("delta") > 0, "warn").otherwise("pass")).when(F.col("delta") / F.col("baseline") > relative, "fail").otherwise("pass")
-    absol = F.when(F.abs("delta") > absolute, "fail").otherwise("pass")
-    return both.select("stage", "metric", "baseline", "current", "delta", rel.alias("relative_status"), absol.alias("absolute_status"))
+    found = [DRIFT_POLICIES[n](F.col("baseline"), F.col("current"), F.col("delta"), most).alias(f"{n}_status") for n, most in policies.items()]
+    return both.select("stage", "metric", "baseline", "current", "delta", *found)
 
 
 def summarize_relocalization(df: DataFrame, keys: list[str], latency: str, success: Column) -> DataFrame:
@@ -89,3 +115,13 @@ def category_ratios(df: DataFrame, dims: list[str], failure_dims: tuple[str, ...
     counts = long.groupBy("dimension", "category").agg(F.sum("n").alias("n"))
     base = long.where(~F.col("dimension").isin(*failure_dims) | F.col("category").isNotNull() if failure_dims else F.lit(True)).groupBy("dimension").agg(F.sum("n").alias("of"))
     return counts.where("category is not null").join(F.broadcast(base), "dimension").select("dimension", "category", "n", (F.col("n") / F.col("of")).alias("ratio"))  # one row a dimension
+
+
+def diagnostics_metrics(df: DataFrame, matches: str, inliers: str, ratio: str, parallax: str, score: str, dims: dict[str, str], failure: str = "failure") -> DataFrame:
+    """Long (metric, value) rows of a run's frames: counts and means, the median parallax, and count and share of each category
+    of the dimensions (name to column); shares of ``failure`` are of the rows that have one."""
+    over_all = df.agg(*[c.cast("double").alias(n) for n, c in (("diag_frame_count", F.count("*")), ("diag_match_mean", F.avg(matches)), ("diag_inlier_mean", F.avg(inliers)), ("diag_inlier_ratio_mean", F.avg(ratio)), ("diag_parallax_median", F.median(parallax)), ("diag_score_mean", F.avg(score)))])
+    long = over_all.withColumn("k", F.lit(0)).unpivot("k", over_all.columns, "metric", "value").select("metric", "value")
+    shares = category_ratios(df.select(*[F.col(c).cast("string").alias(n) for n, c in dims.items()]), list(dims), (failure,) if failure in dims else ())
+    shares = shares.select("dimension", artifact_name(F.col("category")).alias("category"), F.col("n").cast("double").alias("count"), "ratio").unpivot(["dimension", "category"], ["count", "ratio"], "m", "value")
+    return long.unionByName(shares.select(F.concat_ws("_", F.lit("diag"), "dimension", "category", "m").alias("metric"), "value"))

@@ -122,16 +122,27 @@ def compose_matrices(df: DataFrame, key: str, order: str, motion: str = "pose")
 
 
 def keyframes(df: DataFrame, key: str, order: str, far: float = 0.1, turn_deg: float = 5.0, least_match: float = 0.25) -> DataFrame:
-    """Greedy choice against the last keyframe of rows (x, y, yaw, match_ratio): moved, turned, or matched too little."""
-
-    def step(last: list, x: float, y: float, yaw: float, match: float) -> bool:
-        turn = 0.0 if not last else abs((yaw - last[2] + np.pi) % (2 * np.pi) - np.pi)
-        take = not last or np.hypot(x - last[0], y - last[1]) >= far or np.degrees(turn) >= turn_deg or match <= least_match
+    """Greedy choice against the last keyframe of rows (pose, 16 row-major numbers; match_ratio): moved, turned, or matched too
+    little.  The motion between two is inverse(last) times pose; its turn follows from the trace."""
+
+    def step(last: list, pose: list[float], match: float) -> bool:
+        now = np.asarray(pose, float).reshape(4, 4)
+        take = not last
+        if last:
+            rel = last[0] @ now
+            turn = np.degrees(np.arccos(np.clip((np.trace(rel[:3, :3]) - 1) / 2, -1, 1)))
+            take = np.linalg.norm(rel[:3, 3]) >= far or turn >= turn_deg or match <= least_match
         if take:
-            last[:] = x, y, yaw
+            last[:] = [np.linalg.inv(now)]
         return bool(take)
 
-    return fold_rows(df, key, order, ["x", "y", "yaw", "match_ratio"], list, step, "keyframe", "boolean")
+    return fold_rows(df, key, order, ["pose", "match_ratio"], list, step, "keyframe", "boolean")
+
+
+def planar_pose(x: Column, y: Column, yaw: Column) -> Column:
+    """A pose of 16 numbers that turns about the third axis."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array(F.cos(yaw), -F.sin(yaw), zero, x, F.sin(yaw), F.cos(yaw), zero, y, zero, zero, one, zero, zero, zero, zero, one)
 
 
 def clamp_yaw(df: DataFrame, key: str, order: str, most_deg: float = 5.0) -> DataFrame:

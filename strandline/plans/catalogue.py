@@ -93,8 +93,8 @@ select stage, metric, round(baseline, 6) as baseline, round(current, 6) as curre
 def telemetry_drift(spark, sf_dir):
     e = events(spark, sf_dir)
     middle = e.agg(((F.min("ts") + F.max("ts")) / 2).alias("m")).first()["m"]
-    halves = [telemetry.digest(e.where(test)) for test in (F.col("ts") < middle, F.col("ts") >= middle)]
-    return r6(telemetry.drift(*halves, ("mean", "p95"), 0.02, 0.5), "baseline", "current", "delta")
+    halves = [telemetry.digest(e.where(test), overall=False) for test in (F.col("ts") < middle, F.col("ts") >= middle)]
+    return r6(telemetry.drift(*halves, ("mean", "p95"), {"relative": 0.02, "absolute": 0.5}), "baseline", "current", "delta")
 
 
 @query(f"select stage, min('u' || user_id) as correlation_id, count(distinct user_id) > 1 as conflict from {EV} group by stage")
@@ -132,9 +132,12 @@ def relocalization_frames(spark, sf_dir):
     return r6(telemetry.relocalized_frames(e, ["user_id"], "event_id", F.col("stage") == "purchase", F.col("stage") == "error", "duration_s"), "match_mean", "match_p50", "match_p95")
 
 
-_THRESHOLDS = [("mean", 0.5, None, None, None), ("p95", None, None, 0.05, None), ("max", 0.0, None, None, None), ("min", None, -0.01, None, None)]
-_COMPARE_SQL = f"""t(metric, max_delta, min_delta, max_ratio, min_ratio) as (values ('mean', 0.5::double, null::double, null::double, null::double), ('p95', null, null, 0.05, null), ('max', 0.0, null, null, null), ('min', null, -0.01, null, null)),
-s as (select 'run' || user_id as key, event_id % 2 as half, avg(duration_s) as mean, quantile_cont(duration_s, 0.95) as p95, max(duration_s) as max, min(duration_s) as min, count(*)::double as n from {EV} group by 1, 2),
+_THRESHOLDS = {"mean": 0.5, "p95": {"max_ratio": 0.05}, "max": {"direction": "lower", "tolerance": 0.0}, "min": {"direction": "higher", "tolerance": 0.01}, "n": {}}
+
+
+def _compare_sql(v: str = "duration_s") -> str:
+    return f"""t(metric, max_delta, min_delta, max_ratio, min_ratio) as (values ('mean', 0.5::double, null::double, null::double, null::double), ('p95', null, null, 0.05, null), ('max', 0.0, null, null, null), ('min', null, -0.01, null, null)),
+s as (select 'run' || user_id as key, event_id % 2 as half, avg({v}) as mean, quantile_cont({v}, 0.95) as p95, max({v}) as max, min({v}) as min, count(*)::double as n from {EV} group by 1, 2),
 l as (unpivot s on mean, p95, max, min, n into name metric value v),
 j as (select c.key, c.metric, b.v as baseline, c.v as current, c.v - b.v as delta, case when b.v <> 0 then (c.v - b.v) / abs(b.v) end as ratio, t.max_delta, t.min_delta, t.max_ratio, t.min_ratio
  from (select * from l where half = 1) c left join (select * from l where half = 0) b on b.key = c.key and b.metric = c.metric left join t on t.metric = c.metric),
@@ -142,16 +145,19 @@ k as (select *, case when max_delta is null and min_delta is null and max_ratio
  when coalesce(delta > max_delta, false) or coalesce(delta < min_delta, false) or coalesce(ratio > max_ratio, false) or coalesce(ratio < min_ratio, false) then 'regressed' else 'pass' end as status from j)"""
 
 
-def _compared(spark, sf_dir) -> DataFrame:
-    e = events(spark, sf_dir).select(F.concat(F.lit("run"), F.col("user_id")).alias("key"), (F.col("event_id") % 2).alias("half"), "duration_s")
-    d = F.col("duration_s")
+_COMPARE_SQL = _compare_sql()
+
+
+def _compared(spark, sf_dir, value: str = "duration_s") -> DataFrame:
+    d = F.col(value)
+    e = events(spark, sf_dir).select(F.concat(F.lit("run"), F.col("user_id")).alias("key"), (F.col("event_id") % 2).alias("half"), value)
     s = e.groupBy("key", "half").agg(F.avg(d).alias("mean"), F.percentile(d, F.lit(0.95)).alias("p95"), F.max(d).alias("max"), F.min(d).alias("min"), F.count("*").cast("double").alias("n"))
     long = s.unpivot(["key", "half"], ["mean", "p95", "max", "min", "n"], "metric", "value")
-    limits = spark.createDataFrame(_THRESHOLDS, "metric string, max_delta double, min_delta double, max_ratio double, min_ratio double")
+    limits = spark.createDataFrame(scalars.threshold_rows(_THRESHOLDS), "metric string, max_delta double, min_delta double, max_ratio double, min_ratio double")
     return baselines.compare(long.where("half = 1"), long.where("half = 0"), limits)
 
 
-@query(f"with {_COMPARE_SQL} select key, metric, round(baseline, 6) as baseline, round(current, 6) as current, round(delta, 6) as delta, round(ratio, 6) as ratio, max_delta, min_delta, status from k")
+@query(f"with {_COMPARE_SQL} select key, metric, round(baseline, 6) as baseline, round(current, 6) as current, round(delta, 6) as delta, round(ratio, 6) as ratio, max_delta, min_delta, max_ratio, min_ratio, status from k")
 def baseline_compare(spark, sf_dir):
     return r6(_compared(spark, sf_dir), "baseline", "current", "delta", "ratio")
 
@@ -161,13 +167,32 @@ def regression_gate_status(spark, sf_dir):
     return baselines.gate(_compared(spark, sf_dir))
 
 
-@query(f"""with {_COMPARE_SQL}, v as (select *, case when status = 'pass' then 0 when status = 'missing_baseline' then 1 else
- sqrt(pow(coalesce(greatest(delta - max_delta, 0) / greatest(abs(max_delta), 1e-12), 0), 2) + pow(coalesce(greatest(min_delta - delta, 0) / greatest(abs(min_delta), 1e-12), 0), 2)) end as sev from k)
-select key, round(sqrt(sum(case metric when 'mean' then 2.0 when 'min' then 0.5 else 1.0 end * sev * sev)) / 1e6, 6) as score, round(max(sev) / 1e6, 6) as worst from v group by key""")
+_SEVERITY_SQL = """case when status = 'missing_baseline' then 1 else sqrt(
+ pow(case when max_delta is null then 0 when delta is null then 1 else greatest((delta - max_delta) / greatest(abs(max_delta), 1e-12), 0) end, 2)
+ + pow(case when min_delta is null then 0 when delta is null then 1 else greatest((min_delta - delta) / greatest(abs(min_delta), 1e-12), 0) end, 2)
+ + pow(case when max_ratio is null then 0 when ratio is null then 1 else greatest((ratio - max_ratio) / greatest(abs(max_ratio), 1e-12), 0) end, 2)
+ + pow(case when min_ratio is null then 0 when ratio is null then 1 else greatest((min_ratio - ratio) / greatest(abs(min_ratio), 1e-12), 0) end, 2)) end"""
+
+
+@query(f"""with a as (with {_COMPARE_SQL} select key, {_SEVERITY_SQL} as sev, case metric when 'mean' then 2.0 when 'min' then 0.5 else 1.0 end as w, 0 as kind from k),
+b as (with {_compare_sql('memory_delta')} select key, {_SEVERITY_SQL} as sev, case metric when 'p95' then 3.0 else 1.0 end as w, 1 as kind from k),
+c as (select key, coalesce(sum(w * sev * sev) filter (kind = 0), 0) as m, coalesce(sum(w * sev * sev) filter (kind = 1), 0) as t, sum(w) as total_weight, max(sev) as worst from (select * from a union all select * from b) group by key)
+select key, round(sqrt(m + t) / 1e6, 6) as score, round(sqrt(m) / 1e6, 6) as metrics_score, round(sqrt(t) / 1e6, 6) as telemetry_score, total_weight, round(worst / 1e6, 6) as worst from c""")
 def severity_score(spark, sf_dir):
     weights = spark.createDataFrame([("mean", 2.0), ("min", 0.5)], "metric string, weight double")
-    s = baselines.severity_scores(_compared(spark, sf_dir), weights)
-    return r6(s.withColumns({"score": F.col("score") / 1e6, "worst": F.col("worst") / 1e6}), "score", "worst")  # a bound of 0 makes huge values
+    telemetry_weights = spark.createDataFrame([("p95", 3.0)], "metric string, weight double")
+    s = baselines.severity_scores(_compared(spark, sf_dir), weights, 1.0, _compared(spark, sf_dir, "memory_delta"), telemetry_weights)
+    c = F.col
+    s = s.select("key", (c("score") / 1e6).alias("score"), (F.sqrt("metrics_penalty") / 1e6).alias("metrics_score"), (F.sqrt("telemetry_penalty") / 1e6).alias("telemetry_score"), "total_weight", (c("worst") / 1e6).alias("worst"))
+    return r6(s, "score", "metrics_score", "telemetry_score", "worst")  # a bound of 0 makes huge values
+
+
+@query(f"""with r as (with {_COMPARE_SQL} select key, metric, case when status = 'missing_baseline' then 1 when max_ratio is null then 0 when ratio is null then 1 else greatest((ratio - max_ratio) / max_ratio, 0) end as penalty from k where metric = 'p95')
+select key, round(penalty, 6) as penalty from r""")
+def ratio_penalties(spark, sf_dir):
+    """How far runs exceed a bound on the ratio, in units of the bound."""
+    rows = _compared(spark, sf_dir).where("metric = 'p95'")
+    return r6(rows.select("key", scalars.severity(*(F.col(c) for c in ("status", "delta", "ratio", *scalars.BOUNDS))).alias("penalty")), "penalty")
 
 
 @query("""with o as (select o_orderkey as run, o_totalprice / 1000 as runtime_s, o_custkey as memory_bytes, case when o_orderpriority like '1%' then 1 else 0 end as return_code, case o_orderstatus when 'F' then 'regressed' when 'P' then 'missing_baseline' else 'pass' end as comparison from orders)
@@ -186,34 +211,35 @@ def run_statistics(spark, sf_dir):
 
 _LOOPS = """select l_orderkey * 10 + l_linenumber as sample_id, l_quantity as match_count, floor(l_quantity * (1 - l_discount * 5)) as inlier_count, l_tax * 40 as e1, l_discount * 150 as e2, l_tax * 15 as e3, l_linenumber * 2.0 as gap_s, l_returnflag <> 'N' as expected from lineitem"""
 _LOOPS_SQL = f"""a as ({_LOOPS}), b as (select *, coalesce(inlier_count / nullif(match_count, 0), 0) as ratio from a),
-c as (select *, (greatest(0, least(1, match_count / 20)) + greatest(0, least(1, ratio / 0.6)) + greatest(0, least(1, 1 - e1 / 2.0)) + greatest(0, least(1, 1 - e2 / 10.0)) + greatest(0, least(1, 1 - e3 / 1.0))) / 5 as geometric, greatest(0, least(1, gap_s / 5.0)) as temporal from b),
+c as (select *, (least(1, match_count / 20) + least(1, ratio / 0.6) + greatest(0, 1 - e1 / 2.0) + greatest(0, 1 - e2 / 10.0) + greatest(0, 1 - e3 / 1.0)) / 5 as geometric, case when gap_s < 5 then 0 when gap_s <= 12 then 1 else greatest(0, 1 - (gap_s - 12) / 12) end as temporal from b),
 d as (select *, 0.7 * geometric + 0.3 * temporal as combined from c),
-e as (select *, (match_count < 20)::int + (ratio < 0.6)::int + (e1 > 2)::int + (e3 > 1)::int + (e2 > 10)::int + (gap_s < 5)::int + (geometric < 0.7)::int + (temporal < 0.6)::int + (combined < 0.75)::int as n_reasons from d)"""
+e as (select *, concat_ws(',', case when match_count < 20 then 'match_count' end, case when ratio < 0.6 then 'inlier_ratio' end, case when e1 > 2 then 'reprojection_error' end, case when gap_s < 5 then 'temporal_separation' end, case when gap_s > 12 then 'temporal_out_of_range' end,
+ case when e2 > 10 then 'rotation_error' end, case when e3 > 1 then 'translation_error' end, case when geometric < 0.7 then 'geometric_score' end, case when temporal < 0.6 then 'temporal_score' end, case when combined < 0.75 then 'combined_score' end) as reasons, reasons = '' as accepted from d)"""
 
 
 def _loops(spark, sf_dir) -> DataFrame:
     c = F.col
     rows = table(spark, sf_dir, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("sample_id"), c("l_quantity").alias("match_count"), F.floor(c("l_quantity") * (1 - c("l_discount") * 5)).alias("inlier_count"), (c("l_tax") * 40).alias("mean_reprojection_error"), (c("l_discount") * 150).alias("rotation_error_deg"), (c("l_tax") * 15).alias("translation_error"), (c("l_linenumber") * 2.0).alias("query_timestamp_s"), F.lit(0.0).alias("candidate_timestamp_s"), (c("l_returnflag") != "N").alias("expected_match"))
-    return loops.score_loops(rows, weight=0.7)
+    return loops.score_loops(rows, min_matches=20, min_ratio=0.6, max_reprojection=2.0, min_gap_s=5.0, max_gap_s=12.0, max_translation=1.0)
 
 
-@query(f"with {_LOOPS_SQL} select sample_id, round(geometric, 6) as geometric, round(temporal, 6) as temporal, round(combined, 6) as combined, n_reasons, n_reasons = 0 as accepted from e")
+@query(f"with {_LOOPS_SQL} select sample_id, round(geometric, 6) as geometric, round(temporal, 6) as temporal, round(combined, 6) as combined, reasons, accepted from e")
 def loop_validation(spark, sf_dir):
-    return r6(_loops(spark, sf_dir).select("sample_id", "geometric", "temporal", "combined", F.size("reasons").alias("n_reasons"), "accepted"), "geometric", "temporal", "combined")
+    return r6(_loops(spark, sf_dir).select("sample_id", "geometric", "temporal", "combined", F.array_join("reasons", ",").alias("reasons"), "accepted"), "geometric", "temporal", "combined")
 
 
-@query(f"""with {_LOOPS_SQL}, f as (select count(*) filter (expected and n_reasons = 0) as tp, count(*) filter (not expected and n_reasons = 0) as fp, count(*) filter (not expected and n_reasons > 0) as tn, count(*) filter (expected and n_reasons > 0) as fn from e)
+@query(f"""with {_LOOPS_SQL}, f as (select count(*) filter (expected and accepted) as tp, count(*) filter (not expected and accepted) as fp, count(*) filter (not expected and not accepted) as tn, count(*) filter (expected and not accepted) as fn from e)
 select *, round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 6) as accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall from f""")
 def loop_confusion(spark, sf_dir):
     return r6(loops.confusion(_loops(spark, sf_dir), []), "accuracy", "precision", "recall")
 
 
-@query("""select l_orderkey, l_linenumber, case when l_quantity < 20 then 'insufficient_inliers' when l_discount < 0.03 then 'low_inlier_ratio' when l_tax < 0.02 then 'low_parallax' when l_returnflag = 'N' and l_discount * 10 < 0.5 then 'low_cheirality' end as failure_reason,
+@query("""select l_orderkey, l_linenumber, case when l_quantity < 20 then 'low_inlier_count' when l_discount < 0.03 then 'low_inlier_ratio' when l_tax < 0.02 then 'low_parallax' when l_returnflag = 'N' and l_linenumber * 4 < 8 then 'cheirality_inliers' when l_returnflag = 'N' and l_discount * 10 < 0.5 then 'cheirality_ratio' end as failure_reason,
  case when l_quantity < 40 then 'warning' when l_discount * 10 < 0.2 then 'error' when l_discount * 10 < 0.35 then 'warning' else 'ok' end as status from lineitem""")
 def stability_gates(spark, sf_dir):
     c = F.col
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", c("l_quantity").alias("inliers"), c("l_discount").alias("inlier_ratio"), c("l_tax").alias("parallax"), F.when(c("l_returnflag") == "N", "essential").otherwise("homography").alias("method"), (c("l_discount") * 10).alias("cheirality_ratio"))
-    out = loops.first_failing_gate(rows, 20, 0.03, 0.02, 0.5)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", c("l_quantity").alias("inliers"), c("l_discount").alias("inlier_ratio"), c("l_tax").alias("parallax"), F.when(c("l_returnflag") == "N", "essential").otherwise("homography").alias("method"), (c("l_linenumber") * 4).alias("cheirality_inliers"), (c("l_discount") * 10).alias("cheirality_ratio"))
+    out = loops.first_failing_gate(rows, 20, 0.03, 0.02, 8, 0.5)
     return out.select("l_orderkey", "l_linenumber", "failure_reason", loops.tracking_status(c("inliers"), c("cheirality_ratio")).alias("status"))
 
 
@@ -243,7 +269,7 @@ def event_merge_order(spark, sf_dir):
 c as (select stage, count(*) filter (regexp_matches(lower(event_type || ' ' || message), 'error|failure|timeout|exception|circuit|tripped|dropped')) as errors, count(*) as seen from m where r <= 64 group by stage)
 select *, case when errors >= 4 then 'tripped' when errors >= 2 then 'degraded' else 'healthy' end as asked from c""")
 def error_window_counts(spark, sf_dir):
-    return ordered.error_counts(ordered.merge_events(_stage_events(spark, sf_dir)))
+    return ordered.error_counts(_stage_events(spark, sf_dir))
 
 
 @query(f"select user_id, event_id, stage from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from {EV}) where r <= 16")
@@ -271,12 +297,14 @@ def global_state(spark, sf_dir):
     return baselines.global_state(_health(spark, sf_dir), ["user_id"])
 
 
-@query(f"""select user_id, case max(case state when 'tripped' then 3 when 'degraded' then 2 when 'recovering' then 2 else 0 end) when 3 then 'fail' when 2 then 'warn' else 'pass' end as status, count(*) as parts from {_HEALTH_STATE} group by 1""")
+@query(f"""with h as (select user_id, case when depth < 2 and state = 'healthy' then 'idle' else state end as state from {_HEALTH_STATE})
+select user_id, case max(case state when 'tripped' then 3 when 'degraded' then 2 when 'recovering' then 2 when 'idle' then 1 else 0 end) when 3 then 'fail' when 2 then 'warn' when 1 then 'unknown' else 'pass' end as status, count(*) as parts from h group by 1""")
 def readiness_rollup(spark, sf_dir):
-    return baselines.readiness(baselines.status_of_state(_health(spark, sf_dir)), ["user_id"])
+    idle = F.when((F.col("depth") < 2) & (F.col("state") == "healthy"), "idle").otherwise(F.col("state"))
+    return baselines.readiness(baselines.status_of_state(_health(spark, sf_dir).withColumn("state", idle)), ["user_id"])
 
 
-@query(f"""with w as (select *, greatest(memory_delta - coalesce(lag(memory_delta) over (partition by user_id, stage order by event_id), memory_delta), 0) as delta from {EV})
+@query(f"""with w as (select *, greatest(coalesce(memory_delta, 0) - coalesce(lag(coalesce(memory_delta, 0)) over (partition by user_id, stage order by event_id), 0), 0) as delta from {EV})
 select event_id, delta, case when delta >= 60 then 'tripped' when delta >= 30 then 'degraded' else 'healthy' end as asked from w""")
 def counter_delta_escalation(spark, sf_dir):
     return ordered.counter_delta(events(spark, sf_dir), ["user_id", "stage"], "event_id", "memory_delta", 30, 60).select("event_id", "delta", "asked")
@@ -542,13 +570,32 @@ def p2_quantile(spark, sf_dir):
     return machines.marker_quantiles(events(spark, sf_dir), "user_id", "event_id", "duration_s")
 
 
-@query()
+@query(f"""with recursive e as (select user_id, event_id, ts, coalesce(memory_delta >= 20, false) as ok, row_number() over (partition by user_id order by event_id) as n from {EV}),
+f(user_id, event_id, n, state, failed, good, opened) as (select distinct user_id, null::bigint, 0::bigint, 'closed', 0, 0, 0.0::double from e
+ union all select user_id, event_id, n, case when ok and s = 'half_open' and g >= 2 then 'closed' when not ok and (s = 'half_open' or s = 'closed' and f >= 5) then 'open' else s end,
+ case when ok and s = 'half_open' and g >= 2 then 0 else f end, g, case when not ok and (s = 'half_open' or s = 'closed' and f >= 5) then ts else opened end
+ from (select *, case when not ok and s <> 'open' then failed + 1 else failed end as f, case when s = 'half_open' then case when state = 'open' then 0 else good end + ok::int else good end as g
+  from (select e.user_id, e.event_id, e.n, e.ts, e.ok, f.state, f.failed, f.good, f.opened, case when f.state = 'open' and e.ts - f.opened >= 3600 then 'half_open' else f.state end as s from f join e on e.user_id = f.user_id and e.n = f.n + 1)))
+select user_id, event_id, state from f where n > 0""")
 def breaker_fsm(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("ok", F.col("memory_delta") >= 20)
+    e = events(spark, sf_dir).withColumn("ok", F.coalesce(F.col("memory_delta") >= 20, F.lit(False)))
     return machines.breaker_states(e, "user_id", "event_id", "ts", "ok", failures=5, cooldown=3600.0)
 
 
-@query()
+_ASKED = f"""a as (select user_id, floor(ts / 86400)::double as tick, stage, case when max(memory_delta) > 97 then 'tripped' when max(memory_delta) > 90 then 'degraded' else 'healthy' end as asked from {EV} group by 1, 2, 3),
+p as (select a.*, u.asked as view_asked from a left join a u on u.user_id = a.user_id and u.tick = a.tick and u.stage = 'view'),
+c as (select *, case when stage = 'click' and (view_asked = 'tripped' and asked <> 'tripped' or view_asked = 'degraded' and asked = 'healthy') then 'degraded' else asked end as d from p),
+q as (select c.user_id, c.tick, c.stage, case when c.stage = 'purchase' and (u.d = 'tripped' and c.asked <> 'tripped' or u.d = 'degraded' and c.asked = 'healthy') then 'degraded' else c.d end as want, row_number() over (partition by c.user_id, c.stage order by c.tick) as n from c left join c u on u.user_id = c.user_id and u.tick = c.tick and u.stage = 'click')"""
+
+
+@query(f"""with recursive {_ASKED},
+f(user_id, stage, n, tick, old, state, since, good, reason) as (select user_id, stage, 0::bigint, tick, 'healthy', 'healthy', tick, 0, '' from q where n = 1
+ union all select user_id, stage, n, tick, s, new, case when new <> s then tick else since end, case when new in ('tripped', 'degraded') then 0 else g end, why
+ from (select *, case when s = 'recovering' and d = 'tripped' then 'tripped' when s = 'recovering' and d = 'healthy' then case when g >= 2 then 'healthy' else 'recovering' end when s = 'recovering' then 'recovering' when s = 'degraded' and d = 'healthy' then case when g >= 2 then 'healthy' else 'degraded' end else d end as new,
+   case when s = 'recovering' and d = 'tripped' then 'retrip' when s = 'recovering' and d = 'healthy' then case when g >= 2 then 'recovered' else 'awaiting_stability' end when s = 'recovering' then 'hold_recovering' when s = 'degraded' and d = 'healthy' then case when g >= 2 then 'stabilized' else 'awaiting_stability' end when s = 'tripped' and d = 'recovering' then 'cooldown_elapsed' else 'snapshot' end as why
+  from (select *, case when s = 'recovering' then case when d = 'healthy' then good + 1 else 0 end when s = 'degraded' and d = 'healthy' then good + 1 else good end as g
+   from (select q.user_id, q.stage, q.n, q.tick, f.state as s, f.since, f.good, case when f.state = 'tripped' and q.want <> 'tripped' and q.tick - f.since >= 2 then 'recovering' else q.want end as d from f join q on q.user_id = f.user_id and q.stage = f.stage and q.n = f.n + 1))))
+select user_id, tick, stage, old, state as new, reason from f where n > 0 and old <> state""")
 def supervisor_fsm(spark, sf_dir):
     e = events(spark, sf_dir).select("user_id", (F.floor(F.col("ts") / 86_400)).cast("double").alias("tick"), "stage", "memory_delta")
     worst = F.max(F.col("memory_delta"))
@@ -556,15 +603,45 @@ def supervisor_fsm(spark, sf_dir):
     return machines.supervise(asked, "user_id", {"click": ("view",), "purchase": ("click",)}, cooldown=2.0)
 
 
-@query()
+@query(f"""with recursive p as (select seq, idx, x, y, y / 50 as yaw, x / 50 as match_ratio from {_PTS}),
+f(seq, idx, x, y, yaw, keyframe) as (select seq, idx, x, y, yaw, true from p where idx = 1
+ union all select seq, idx, case when k then nx else x end, case when k then ny else y end, case when k then nyaw else yaw end, k
+ from (select p.seq, p.idx, f.x, f.y, f.yaw, p.x as nx, p.y as ny, p.yaw as nyaw, sqrt(pow(p.x - f.x, 2) + pow(p.y - f.y, 2)) >= 10 or degrees(acos(greatest(-1, least(1, cos(p.yaw - f.yaw))))) >= 5 or p.match_ratio <= 0.25 as k from f join p on p.seq = f.seq and p.idx = f.idx + 1))
+select seq, idx, keyframe from f""")
 def keyframe_select(spark, sf_dir):
-    p = _points(spark, sf_dir).select("seq", "idx", "x", "y", (F.col("y") / 50).alias("yaw"), (F.col("x") / 50).alias("match_ratio"))
+    c = F.col
+    p = _points(spark, sf_dir).select("seq", "idx", trajectory.planar_pose(c("x"), c("y"), c("y") / 50).alias("pose"), (c("x") / 50).alias("match_ratio"))
     return trajectory.keyframes(p, "seq", "idx", far=10.0)
 
 
-@query()
+_DRAW = "(('0x' || substr(sha256('7:' || stage || ':' || step || ':{kind}'), 1, 16))::ubigint % 2147483647) / 2147483647.0"
+
+
+@query(f"""with s as (select event_type as stage, event_id as step from events), f as (select *, case when {_DRAW.format(kind='timeout')} < 0.02 then 'timeout' when {_DRAW.format(kind='error')} < 0.05 then 'error' end as failure_type from s)
+select * from f where failure_type is not null""")
 def failure_plan(spark, sf_dir):
-    return machines.failure_plan(spark, ["ingestion", "feature", "tracking", "optimization"], 1000, {"timeout": 0.02, "error": 0.05}, 7)
+    steps = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("step"))
+    return machines.failure_plan(steps, {"timeout": 0.02, "error": 0.05}, 7)
+
+
+_WIDE = ", ".join(f"{f} as {p}{n}" for p, v in (("", "duration_s"), ("m_", "memory_delta")) for n, f in (("count", f"count({v})::double"), ("total", f"sum({v})::double"), ("mean", f"avg({v})"), ("max", f"max({v})::double"), ("stdev", f"stddev_samp({v})"), ("p50", f"quantile_cont({v}, 0.5)"), ("p90", f"quantile_cont({v}, 0.9)"), ("p95", f"quantile_cont({v}, 0.95)"), ("p99", f"quantile_cont({v}, 0.99)")))
+_OF_ALL = {"event_count": "count", "total_duration_s": "total", "mean_duration_s": "mean", "memory_event_count": "m_count", "total_memory_delta_bytes": "m_total", "mean_memory_delta_bytes": "m_mean"}
+_OF_STAGE = {"count": "count", "memory_delta_count": "m_count"} | {f"{n}_duration_s": n for n in ("mean", "p50", "p90", "p95", "p99", "max", "stdev")} | {f"memory_delta_{n}_bytes": f"m_{n}" for n in ("mean", "p50", "p90", "p95", "p99", "max", "stdev")}
+
+
+@query(f"with a as (select {_WIDE} from {EV}), s as (select stage, {_WIDE} from {EV} group by stage) " + " union all ".join([f"select 'telemetry_{n}' as metric, round(coalesce({c}, 0), 6) as value from a" for n, c in _OF_ALL.items()] + [f"select 'telemetry_stage_' || trim(regexp_replace(lower(trim(stage)), '[^a-z0-9]', '_', 'g'), '_') || '_{n}', round(coalesce({c}, 0), 6) from s" for n, c in _OF_STAGE.items()]))
+def telemetry_metrics(spark, sf_dir):
+    return r6(telemetry.summary_metrics(events(spark, sf_dir)), "value")
+
+
+@query("""with d as (select l_returnflag as method, l_linestatus as status, case when l_tax > 0.06 then 'tax ' || l_linenumber end as failure, * from lineitem),
+l as (select 'method' as dimension, method as category from d union all select 'status', status from d union all select 'failure', failure from d),
+n as (select 'diag_' || dimension || '_' || regexp_replace(category, '[^A-Za-z0-9_-]', '_', 'g') as name, count(*)::double as count, count(*) / sum(count(*)) over (partition by dimension) as ratio from l where category is not null group by dimension, category)
+select 'diag_frame_count' as metric, count(*)::double as value from d union all select 'diag_match_mean', round(avg(l_quantity), 6) from d union all select 'diag_inlier_mean', round(avg(l_extendedprice), 6) from d union all select 'diag_inlier_ratio_mean', round(avg(l_discount), 6) from d
+union all select 'diag_parallax_median', round(median(l_tax), 6) from d union all select 'diag_score_mean', round(avg(l_linenumber), 6) from d union all select name || '_count', count from n union all select name || '_ratio', round(ratio, 6) from n""")
+def diagnostics_metrics(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").withColumn("failure", F.when(F.col("l_tax") > 0.06, F.concat(F.lit("tax "), F.col("l_linenumber"))))
+    return r6(telemetry.diagnostics_metrics(d, "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", {"method": "l_returnflag", "status": "l_linestatus", "failure": "failure"}), "value")
 
 
 @query()

@@ -24,7 +24,7 @@ def test_telemetry_golden(spark):
 
 def test_drift_golden(spark):
     make = lambda v: telemetry.digest(spark.createDataFrame([("track", x) for x in v], "stage string, duration_s double"))
-    r = telemetry.drift(make([0.1, 0.2]), make([0.2, 0.3]), ("mean",), 0.2, 0.05).first()
+    r = telemetry.drift(make([0.1, 0.2]), make([0.2, 0.3]), ("mean",), {"relative": 0.2, "absolute": 0.05}).first()
     assert (r["relative_status"], r["absolute_status"]) == ("fail", "fail")
 
 
@@ -72,10 +72,10 @@ def test_synchronise_and_position(spark):
 
 def test_loop_samples_golden(spark):
     s = spark.createDataFrame([("good", 12.0, 4.0, 60, 45, 1.0, 5.0, 0.2, True), ("false", 20.0, 19.2, 40, 20, 3.0, 12.0, 0.8, False)], "sample_id string, query_timestamp_s double, candidate_timestamp_s double, match_count int, inlier_count int, mean_reprojection_error double, rotation_error_deg double, translation_error double, expected_match boolean")
-    got = {r["sample_id"]: r for r in loops.score_loops(s, max_translation=0.5).collect()}
+    got = {r["sample_id"]: r for r in loops.score_loops(s, max_reprojection=2.0).collect()}
     assert got["good"]["geometric"] == pytest.approx(0.72) and got["good"]["combined"] == pytest.approx(0.804) and got["good"]["accepted"]
     assert "temporal_separation" in got["false"]["reasons"] and not got["false"]["accepted"]
-    assert loops.confusion(loops.score_loops(s, max_translation=0.5), []).first()["accuracy"] == 1
+    assert loops.confusion(loops.score_loops(s, max_reprojection=2.0), []).first()["accuracy"] == 1
 
 
 def test_event_order_golden(spark):
@@ -127,7 +127,7 @@ def test_pose_products_agree(spark):
 def test_breaker_and_supervisor():
     b = machines.Breaker(failures=2, cooldown=1.0)
     assert [b.step(t, ok) for t, ok in ((0, False), (0.1, True), (0.2, False), (0.5, True), (1.3, True), (1.4, True))] == ["closed", "closed", "open", "open", "half_open", "closed"]
-    s = machines.Supervisor({"feature": ("ingestion",)}, cooldown=1.0, streak=2)
+    s = machines.Supervisor({"feature": ("ingestion",)}, cooldown=1.0, streak=2, settle=1)
     s.update(0, {"ingestion": "tripped", "feature": "healthy"})
     assert s.state == {"ingestion": "tripped", "feature": "degraded"}
     for t in (1.5, 2.0, 2.5):
@@ -135,6 +135,50 @@ def test_breaker_and_supervisor():
     assert s.state["ingestion"] == "healthy"
 
 
+def test_supervisor_holds_escalates_and_queues():
+    s = machines.Supervisor({}, cooldown=1.0)
+    told = [s.update(t, {"a": x}) for t, x in ((0, "tripped"), (1.5, "healthy"), (1.6, "degraded"), (1.7, "healthy"), (1.8, "healthy"), (1.9, "degraded"), (2.0, "healthy"), (2.1, "healthy"))]
+    assert [m[0][2:] if m else None for m in told] == [("healthy", "tripped", "snapshot"), ("tripped", "recovering", "cooldown_elapsed"), None, None, ("recovering", "healthy", "recovered"), ("healthy", "degraded", "snapshot"), None, None]
+    s = machines.Supervisor({"tracking": ("feature",)}, growth=(1, 2))
+    s.update(1.0, {"ingestion": machines.Reading("healthy", ratio=0.9, pressure=1), "feature": machines.Reading("idle", opens=1), "tracking": "healthy", "other": machines.Reading("healthy", errors=2)})
+    assert s.state == {"feature": "tripped", "ingestion": "degraded", "other": "degraded", "tracking": "degraded"}
+    assert s.recovery == [("feature", "circuit_breaker", "tripped"), ("ingestion", "backpressure", "degraded")]
+    s = machines.Supervisor({}, capacity=1)
+    s.update(1.0, {n: machines.Reading("healthy", ratio=0.96) for n in ("feature", "ingestion")})
+    assert [x[0] for x in s.recovery] == ["ingestion"]
+
+
+def test_supervise_reads_counters(spark):
+    rows = [("r", 1.0, "a", "healthy", 0.5, 1), ("r", 2.0, "a", "healthy", None, 1), ("r", 3.0, "a", "healthy", 0.99, 9)]
+    got = machines.supervise(spark.createDataFrame(rows, "run string, tick double, stage string, asked string, ratio double, pressure int"), "run", {}, settle=1).collect()
+    assert [tuple(r)[1:] for r in got] == [(1.0, "a", "healthy", "degraded", "snapshot"), (2.0, "a", "degraded", "healthy", "stabilized"), (3.0, "a", "healthy", "tripped", "snapshot")]
+
+
+def test_thresholds_are_parsed():
+    assert scalars.parse_threshold(2) == {"max_delta": 2.0} and scalars.parse_threshold(None) is None and scalars.parse_threshold({}) is None
+    assert scalars.parse_threshold({"direction": "higher", "tolerance": 0.5, "max_ratio": 1}) == {"min_delta": -0.5, "max_ratio": 1.0}
+    with pytest.raises(ValueError):
+        scalars.parse_threshold({"direction": "up", "tolerance": 1})
+    with pytest.raises(TypeError):
+        scalars.parse_threshold("0.1")
+
+
+def test_keyframes_by_trace(spark):
+    turn = lambda a: np.array([[1, 0, 0, 0], [0, np.cos(a), -np.sin(a), 0], [0, np.sin(a), np.cos(a), 0], [0, 0, 0, 1]])
+    poses = [turn(0), turn(np.radians(4)), turn(np.radians(6)), turn(np.radians(6)), turn(np.radians(6))]
+    poses[3] = poses[3] + np.array([[0, 0, 0, 0.2]] + [[0] * 4] * 3)
+    df = spark.createDataFrame([(1, i, p.ravel().tolist(), 0.2 if i == 4 else 0.9) for i, p in enumerate(poses)], "s long, i long, pose array<double>, match_ratio double")
+    assert [r["keyframe"] for r in trajectory.keyframes(df, "s", "i").orderBy("i").collect()] == [True, False, True, True, True]
+
+
+def test_merge_numbers_across_spans(spark):
+    rows = [("a" if i % 3 else "b", "t", str(i % 5), "{}", float((i * 37) % 101) * 100 if i % 10 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "stage string, event_type string, message string, metadata string, timestamp_s double")
+    got = sorted((r["stage"], r["seq_id"], r["timestamp_s"] if r["timestamp_s"] is not None else -1.0) for r in ordered.merge_events(df.where("message < 3"), df.where("message >= 3")).collect())
+    assert [g[:2] for g in got] == [(s, i) for s in "ab" for i in range(sum(r[0] == s for r in rows))]
+    assert all(a[2] <= b[2] for a, b in zip(got, got[1:]) if a[0] == b[0])
+
+
 def test_propagation_and_readiness(spark):
     st = spark.createDataFrame([("a", "tripped"), ("b", "recovering"), ("c", "healthy"), ("d", "healthy")], "stage string, state string")
     up = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c")], "stage string, needs string")
