@@ -637,11 +637,11 @@ def telemetry_metrics(spark, sf_dir):
 @query("""with d as (select l_returnflag as method, l_linestatus as status, case when l_tax > 0.06 then 'tax ' || l_linenumber end as failure, * from lineitem),
 l as (select 'method' as dimension, method as category from d union all select 'status', status from d union all select 'failure', failure from d),
 n as (select 'diag_' || dimension || '_' || regexp_replace(category, '[^A-Za-z0-9_-]', '_', 'g') as name, count(*)::double as count, count(*) / sum(count(*)) over (partition by dimension) as ratio from l where category is not null group by dimension, category)
-select 'diag_frame_count' as metric, count(*)::double as value from d union all select 'diag_match_mean', round(avg(l_quantity), 6) from d union all select 'diag_inlier_mean', round(avg(l_extendedprice), 6) from d union all select 'diag_inlier_ratio_mean', round(avg(l_discount), 6) from d
+select 'diag_frame_count' as metric, count(*)::double as value from d union all select 'diag_match_mean', round(avg(l_quantity), 6) from d union all select 'diag_inlier_mean', round(avg(l_extendedprice), 6) from d union all select 'diag_inlier_ratio_mean', round(avg(l_discount / 7), 6) from d
 union all select 'diag_parallax_median', round(median(l_tax), 6) from d union all select 'diag_score_mean', round(avg(l_linenumber), 6) from d union all select name || '_count', count from n union all select name || '_ratio', round(ratio, 6) from n""")
 def diagnostics_metrics(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").withColumn("failure", F.when(F.col("l_tax") > 0.06, F.concat(F.lit("tax "), F.col("l_linenumber"))))
-    return r6(telemetry.diagnostics_metrics(d, "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", {"method": "l_returnflag", "status": "l_linestatus", "failure": "failure"}), "value")
+    d = table(spark, sf_dir, "lineitem").withColumn("failure", F.when(F.col("l_tax") > 0.06, F.concat(F.lit("tax "), F.col("l_linenumber")))).withColumn("inlier_ratio", F.col("l_discount") / 7)
+    return r6(telemetry.diagnostics_metrics(d, "l_quantity", "l_extendedprice", "inlier_ratio", "l_tax", "l_linenumber", {"method": "l_returnflag", "status": "l_linestatus", "failure": "failure"}), "value")
 
 
 @query()
