@@ -40,7 +40,7 @@ SKETCH_BITS = 21
 #: Bits of the filter over candidate ids: 2**24, so 2 MB.
 FILTER_BITS = 24
 #: A block of a candidate cluster holds about so many shingles and documents; one of a long posting list, so many groups.
-BLOCK_SHINGLES, BLOCK_DOCS, BLOCK_GROUPS = 200_000, 384, 1_024
+BLOCK_SHINGLES, BLOCK_DOCS, BLOCK_GROUPS = 200_000, 192, 1_024
 #: Posting lists of at most so many groups give pairs, bound by position; longer ones are compared by bitmaps.
 SHORT = 16
 #: Bits of a set's parity bitmap.
