@@ -125,3 +125,9 @@ def diagnostics_metrics(df: DataFrame, matches: str, inliers: str, ratio: str, p
     shares = category_ratios(df.select(*[F.col(c).cast("string").alias(n) for n, c in dims.items()]), list(dims), (failure,) if failure in dims else ())
     shares = shares.select("dimension", artifact_name(F.col("category")).alias("category"), F.col("n").cast("double").alias("count"), "ratio").unpivot(["dimension", "category"], ["count", "ratio"], "m", "value")
     return long.unionByName(shares.select(F.concat_ws("_", F.lit("diag"), "dimension", "category", "m").alias("metric"), "value"))
+
+
+def macro_means(long: DataFrame) -> DataFrame:
+    """The mean of each metric over the sequences that have it, as rows without a sequence."""
+    known = long.where("value is not null and not isnan(value)")
+    return known.groupBy("metric").agg(F.avg("value").alias("value")).select(F.lit(None).cast("string").alias("sequence"), "metric", "value")

@@ -98,6 +98,28 @@ def errors_3d(pairs: DataFrame, keys: list[str], delta: int = 1) -> DataFrame:
     return pairs.groupBy(*keys).applyInPandas(one, f"{kept}, scale double, ate_rmse double, rpe_rmse double")
 
 
+#: Names of a trajectory's error metrics.
+ERROR_NAMES = ("ATE_RMSE", "ATE_MEAN", "ATE_MEDIAN", "RPE_RMSE", "RPE_MEAN", "RPE_MEDIAN")
+
+
+def error_report(pairs: DataFrame) -> DataFrame:
+    """sequence and its six error metrics, of rows (sequence, idx, g, e, delta) with positions of any dimension; one
+    trajectory is a group.  Without a pair at that lag the relative errors are null."""
+
+    def stats(d: np.ndarray) -> list[float | None]:
+        return [float(np.sqrt((d**2).mean())), float(d.mean()), float(np.median(d))] if len(d) else [None] * 3
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        g, e, lag = np.stack(pdf["g"]).astype(float), np.stack(pdf["e"]).astype(float), int(pdf["delta"].iloc[0])
+        r, t, s = align_matrix(e, g)
+        a = (s if s is not None else np.nan) * e @ r.T + t
+        found = stats(np.linalg.norm(g - a, axis=1)) + stats(np.linalg.norm((g[lag:] - g[:-lag]) - (a[lag:] - a[:-lag]), axis=1))
+        return pd.DataFrame([[pdf["sequence"].iloc[0], *found]], columns=["sequence", *ERROR_NAMES])
+
+    return pairs.groupBy("sequence").applyInPandas(one, "sequence string, " + ", ".join(f"{n} double" for n in ERROR_NAMES))
+
+
 def compose_2d(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Prefix product of planar motions (dx, dy, dyaw): headings are running sums, so positions are too."""
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -386,6 +386,14 @@ def _pairs(spark, sf_dir) -> DataFrame:
 ERRORS = ("ate_rmse", "ate_mean", "ate_median", "rpe_rmse", "rpe_mean", "rpe_median")
 
 
+@query(f"with p as {_PAIRS}, {_ALIGN} select seq::varchar as sequence, " + ", ".join(f"round({e}, 6) as {e.upper()}" for e in ERRORS) + " from z")
+def evaluation_errors(spark, sf_dir):
+    """The error metrics of an evaluation run, of trajectories of any dimension."""
+    c = F.col
+    p = _pairs(spark, sf_dir).select(c("seq").cast("string").alias("sequence"), "idx", F.array("gx", "gy").alias("g"), F.array("ex", "ey").alias("e"), F.lit(5).alias("delta"))
+    return r6(trajectory.error_report(p), *trajectory.ERROR_NAMES)
+
+
 @query(f"with p as {_PAIRS}, {_ALIGN} select seq, num_pairs, " + ", ".join(f"round({e}, 6) as {e}" for e in ERRORS) + " from z")
 def ate_rpe_2d(spark, sf_dir):
     return r6(trajectory.error_stats(_pairs(spark, sf_dir), ["seq"], "idx", 5), *ERRORS)

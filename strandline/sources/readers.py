@@ -62,21 +62,27 @@ def frame_diagnostics(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns(filled | {"method": F.coalesce("method", F.lit("")), "status": F.coalesce("status", F.lit("unknown"))})
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def whole_text(spark: SparkSession, path: str) -> str:
+    """A small control file, such as a config."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def metrics(spark: SparkSession, path: str) -> DataFrame:
-    """name, recorded_at, metric, value of metric files or folders."""
+    """name, recorded_at, metric, value of metric files or folders; files without metrics are an error."""
     rows = spark.read.schema("name string, recorded_at string, metrics map<string,double>").json(path, multiLine=True)
-    return rows.select("name", "recorded_at", F.explode("metrics").alias("metric", "value"))
+    held = F.when(F.coalesce(F.size("metrics"), F.lit(0)) < 1, F.raise_error(F.lit("no metrics"))).otherwise(F.col("metrics"))
+    return rows.select("name", "recorded_at", F.explode(held).alias("metric", "value"))
 
 
 def baselines(spark: SparkSession, path: str) -> DataFrame:
     """key, metric, value, config_hash, updated_at; an absent store is empty."""
     schema = "key string, metric string, value double, config_hash string, updated_at string"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema("version int, baselines map<string,struct<metrics:map<string,double>,config_hash:string,updated_at:string>>").json(path, multiLine=True)
     rows = rows.select(F.explode("baselines").alias("key", "b"))
@@ -171,7 +177,7 @@ def run_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """artifact_type, name, digest of a run's files and of its maps (folders below ``maps``); absent folders hold nothing."""
     out = spark.createDataFrame([], "artifact_type string, name string, digest string")
     for below, (kind, ending) in ARTIFACTS.items():
-        if not _exists(spark, f"{folder}/{below}"):
+        if not exists(spark, f"{folder}/{below}"):
             continue
 
         def task(batches, kind=kind, ending=ending):
@@ -181,7 +187,7 @@ def run_artifacts(spark: SparkSession, folder: str) -> DataFrame:
 
         files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ending}").load(f"{folder}/{below}").select("path", "content")
         out = out.unionByName(files.mapInPandas(task, "artifact_type string, name string, digest string"))
-    if not _exists(spark, f"{folder}/maps"):
+    if not exists(spark, f"{folder}/maps"):
         return out
 
     @F.pandas_udf("string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.ordered import replace_key
@@ -37,6 +37,25 @@ def write_report_csv(df: DataFrame, sequence: str, path: str) -> None:
     long_report(df, sequence).select("sequence", "metric", "value").write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small control file, replaced as a whole, on whatever file system the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def put_baseline(spark: SparkSession, path: str, key: str, metrics: dict[str, float], config_hash: str, updated_at: str, metadata: dict | None = None) -> None:
+    """Sets a key of a baseline store, one JSON object; an absent store is made."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    store = json.loads(spark.read.text(path, wholetext=True).first()["value"]) if there else {"version": 1, "baselines": {}}
+    store.setdefault("baselines", {})[key] = {"metrics": metrics, "config_hash": config_hash, "updated_at": updated_at, "metadata": metadata or {}}
+    write_text(spark, path, json.dumps(store, indent=2))
+
+
 def upsert(store: DataFrame, new: DataFrame, path: str, key: str = "key") -> None:
     """Writes the store with the new rows' keys replaced to another folder, so that the store is never read while written."""
     replace_key(store, new, key).write.mode("overwrite").parquet(path)
