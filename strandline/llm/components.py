@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from strandline.llm.storage import Workspace
 
 
+#: Links that one task may settle: about 100 MB of them.
+ONE_TASK = 500_000
+
+
 class Forest:
     """Union-find whose root is the smallest member."""
 
@@ -55,9 +59,11 @@ def components(links: DataFrame, work: Workspace, label: str = "cc") -> DataFram
 
     Empty links give an empty table; loops and repeated links change nothing; rows with a null end are left out.
     Every round contracts within tasks, then lets each node's neighbours meet at the smallest one (a large star and a
-    small star), writes the links to the shared folder and stops when they no longer change.
+    small star), writes the links to the shared folder and stops when they no longer change, or when they are few enough for
+    one task; both ways give the same components.
     """
     kind = "a long, b long"
+    named = lambda df: df.select(F.col("b").alias("node"), F.col("a").alias("component"))
     links = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     now = work.keep(links.mapInPandas(_contract, kind).distinct(), f"{label}-0")
     mark = None
@@ -65,6 +71,9 @@ def components(links: DataFrame, work: Workspace, label: str = "cc") -> DataFram
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if (found[0], found[1]) == mark or not found[0]:
             break
+        if found[0] <= ONE_TASK:  # one task's forest settles so few at once
+            now = work.keep(now.repartition(1).mapInPandas(_contract, kind), f"{label}-last")
+            break
         mark = (found[0], found[1])
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
@@ -75,4 +84,5 @@ def components(links: DataFrame, work: Workspace, label: str = "cc") -> DataFram
         small = small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         now = work.keep(small.mapInPandas(_contract, kind).distinct(), f"{label}-{k}")
         work.drop(f"{label}-{k - 1}")
-    return now.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node").union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    # Settled links are stars around the smallest node, so each other node has one.
+    return named(now).union(named(now.select("a", F.col("a").alias("b")).distinct()))

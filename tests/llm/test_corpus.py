@@ -521,3 +521,16 @@ def test_pipeline_near_duplicates_odd_rows(spark):
     got = corpus_pipeline.near_duplicates(spark, make_docs(spark, rows), SF)
     assert got.columns == corpus_pipeline.COLUMNS
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in got.collect()) == [-1, 1, 3, 4]
+
+
+def test_components_do_not_depend_on_the_task_limit(spark, monkeypatch):
+    from strandline.llm import components as c
+
+    rng = random.Random(3)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    found = []
+    for limit in (c.ONE_TASK, 0):
+        monkeypatch.setattr(c, "ONE_TASK", limit)
+        found.append(sorted(tuple(r) for r in components(df, Workspace(spark, "limit")).collect()))
+    assert found[0] == found[1] and len({n for n, _ in found[0]}) == len(found[0])
