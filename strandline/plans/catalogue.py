@@ -497,13 +497,13 @@ def mutual_nn(spark, sf_dir):
     return r6(similarity.mutual_nearest(pairs), "score")
 
 
-_CENTRES = [[round(((7 * k + 3 * j) % 11 - 5) / 20, 2) for j in range(8)] for k in range(6)]
+_CENTRES = [[round(((7 * k + 3 * j) % 11 - 5) / 20, 2) for j in range(64)] for k in range(6)]
 _CENTRES_SQL = ", ".join(f"({k}, {c}::double[])" for k, c in enumerate(_CENTRES))
-_ASSIGN = f"with w(word, c) as (values {_CENTRES_SQL}), e as (select vec_id as id, label, embedding[1:8]::double[] as v from embeddings), d as (select id, label, word, list_distance(v, c) as distance, row_number() over (partition by id order by list_distance(v, c), word) as r from e, w)"
+_ASSIGN = f"with w(word, c) as (values {_CENTRES_SQL}), e as (select vec_id as id, label, embedding::double[] as v from embeddings), d as (select id, label, word, list_distance(v, c) as distance, row_number() over (partition by id order by list_distance(v, c), word) as r from e, w)"
 
 
 def _assigned(spark, sf_dir) -> DataFrame:
-    v = _vectors(spark, sf_dir).select("id", "label", F.slice(F.col("v").cast("array<double>"), 1, 8).alias("v"))
+    v = _vectors(spark, sf_dir).select("id", "label", F.col("v").cast("array<double>").alias("v"))
     return similarity.assign_centroids(v, _CENTRES)
 
 

@@ -71,7 +71,7 @@ def camera_matrices(spark, sf_dir):
 def map_histograms(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     frames = e.select(c("label").alias("frame_id")).distinct().union(spark.sql("select -1"))
-    d = e.select(c("label").alias("frame_id"), F.slice(c("embedding").cast("array<double>"), 1, 8).alias("v"))
+    d = e.select(c("label").alias("frame_id"), c("embedding").cast("array<double>").alias("v"))
     return r6(maps.build_map(frames, d, _CENTRES).select("frame_id", F.posexplode("hist").alias("word", "share")), "share")
 
 
