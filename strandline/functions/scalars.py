@@ -76,17 +76,24 @@ def euler_degrees(r: Column) -> list[Column]:
     return [F.degrees(x), F.degrees(F.atan2(-r[6], sy)), F.degrees(z)]
 
 
-def robust_loss(kind: str, z: Column) -> tuple[Column, Column]:
-    """rho and its first derivative of a squared, scaled residual."""
+def robust_loss(kind: str, z: Column, scale: float = 1.0) -> tuple[Column, Column, Column]:
+    """rho and its two derivatives, as stored with it, of a squared residual; Tukey's rho levels off at a sixth."""
+    s2, root = scale * scale, F.sqrt(z)
+    near = root <= scale
     if kind == "huber":
-        return F.when(z <= 1, z).otherwise(2 * F.sqrt(z) - 1), F.when(z <= 1, 1.0).otherwise(1 / F.sqrt(z))
-    if kind == "cauchy":
-        return F.log1p(z), 1 / (1 + z)
-    if kind == "tukey":
-        return F.when(z <= 1, (1 - F.pow(1 - z, 3)) / 3).otherwise(1 / 3), F.when(z <= 1, F.pow(1 - z, 2)).otherwise(0.0)
-    if kind == "linear":
-        return z, F.lit(1.0)
-    raise ValueError(f"no loss of that name: {kind}")
+        far = (2 * scale * root - s2, scale / F.greatest(root, F.lit(EPS)), -0.5 * scale / F.greatest(z, F.lit(EPS)))
+        close = (z, F.lit(1.0), F.lit(0.0))
+    elif kind == "tukey":
+        t = 1 - z / s2
+        far, close = (F.lit(s2 / 6), F.lit(0.0), F.lit(0.0)), (s2 / 6 * (1 - t * t * t), t * t, -2 * t / s2)
+    elif kind == "cauchy":
+        d = 1 + z / s2
+        return s2 * F.log(d), 1 / d, -1 / (s2 * d * d)
+    elif kind == "linear":
+        return z, F.lit(1.0), F.lit(0.0)
+    else:
+        raise ValueError(f"no loss of that name: {kind}")
+    return tuple(F.when(near, c).otherwise(f) for c, f in zip(close, far, strict=True))
 
 
 def derived_seed(seed: Column, component: Column) -> Column:
@@ -159,6 +166,16 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def differing_bytes(a: Column, b: Column) -> Column:
+    """Places at which two binaries of one length differ."""
+    return F.size(F.filter(F.sequence(F.lit(1), F.octet_length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
+
+
+def number_map(values: Column, kind: str = "double") -> Column:
+    """A map of texts or numbers as a map of ``kind``; whole numbers drop their fraction; what is no number is an error."""
+    return F.transform_values(values, lambda _, v: v.cast("double").cast(kind))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

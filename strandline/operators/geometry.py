@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -104,27 +105,75 @@ def pose_from_essential(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np
     return best
 
 
-def estimate_pairs(matches: DataFrame, seed: int = 7) -> DataFrame:
-    """matches(pair, ua, va, ub, vb), one image pair a group: the better of an essential matrix and a homography by
-    inlier share times parallax (essential first of equal ones), with inliers, parallax and share before the cameras."""
+def adaptive_limit(a: np.ndarray, b: np.ndarray, base: float = 0.01, least: float = 0.005, most: float = 0.02) -> float:
+    """base, scaled by the median displacement over 25 (half to double), within limits; no pairs: base."""
+    if not len(a):
+        return base
+    scale = np.clip(np.median(np.linalg.norm(b - a, axis=1)) / 25.0, 0.5, 2.0)
+    return float(np.clip(base * scale, least, most))
+
+
+def pose_from_matches(a: np.ndarray, b: np.ndarray, seed: int, limit: float = 0.01, min_matches: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Rotation, direction, inliers and share before both cameras of normalised points; too few matches, or none that agree,
+    are an error."""
+    if len(a) < min_matches:
+        raise ValueError("too few matches")
+    got = robust_essential(a, b, seed, limit * limit)
+    if got is None:
+        raise ValueError("no essential matrix")
+    model, ok = got
+    r, t, share = pose_from_essential(model, a[ok], b[ok])
+    return r, t, ok, share
+
+
+@dataclass(frozen=True)
+class Selection:
+    """How one of two models is chosen, and from how many matches on; the biases weigh the models' scores."""
+
+    min_matches: int = 20
+    essential_bias: float = 1.0
+    homography_bias: float = 0.9
+    min_parallax: float = 1.0
+    base_limit: float = 0.01
+    least_limit: float = 0.005
+    most_limit: float = 0.02
+
+
+def estimate_pairs(matches: DataFrame, seed: int = 7, camera: list[float] | None = None, how: Selection = Selection()) -> DataFrame:
+    """matches(pair, ua, va, ub, vb), one image pair a group: an essential matrix or a homography, whichever has the larger
+    bias times inlier share times parallax (at least min_parallax; essential first of equal ones).
+
+    With a row-major camera matrix the points are pixels, else normalised.  Too few matches, or a model of the two that
+    can't be fitted, leave the pair without a pose: method none, and the reason."""
+    k = None if camera is None else np.array(camera, float).reshape(3, 3)
+
+    def normal(p: np.ndarray) -> np.ndarray:
+        return p if k is None else transfer(np.linalg.inv(k), p)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ua", "va", "ub", "vb"])
         a, b = pdf[["ua", "va"]].to_numpy(float), pdf[["ub", "vb"]].to_numpy(float)
-        pair, found = int(pdf["pair"].iloc[0]), []
-        for method, run in (("essential", robust_essential), ("homography", lambda p, q, s: robust_homography(p, q, s, 0.01))):
-            got = run(a, b, (seed * 1_000_003 + pair) % 2**32)
-            if got is not None:
-                model, ok = got
-                parallax = float(np.median(np.linalg.norm(a[ok] - b[ok], axis=1)))
-                share = pose_from_essential(model, a[ok], b[ok])[2] if method == "essential" else 1.0
-                found.append((ok.mean() * max(parallax, 1e-6), method, int(ok.sum()), float(ok.mean()), parallax, share))
-        if not found:
-            return pd.DataFrame({"pair": [pair], "method": ["none"], "inliers": [0], "inlier_ratio": [0.0], "parallax": [0.0], "cheirality_ratio": [0.0], "score": [0.0]})
-        best = max(found, key=lambda f: f[0])
-        return pd.DataFrame({"pair": [pair], "method": [best[1]], "inliers": [best[2]], "inlier_ratio": [best[3]], "parallax": [best[4]], "cheirality_ratio": [best[5]], "score": [best[0]]})
-
-    return matches.groupBy("pair").applyInPandas(one, "pair long, method string, inliers long, inlier_ratio double, parallax double, cheirality_ratio double, score double")
+        pair = int(pdf["pair"].iloc[0])
+        row = {"pair": pair, "method": "none", "match_count": len(a), "inliers": 0, "inlier_ratio": 0.0, "parallax": 0.0, "cheirality_inliers": 0, "cheirality_ratio": 0.0, "score": 0.0, "failure_reason": None}
+        if len(a) < how.min_matches:
+            return pd.DataFrame([row | {"failure_reason": "too_few_matches"}])
+        draw, apart = (seed * 1_000_003 + pair) % 2**32, np.linalg.norm(b - a, axis=1)
+        limit = adaptive_limit(a, b, how.base_limit, how.least_limit, how.most_limit)
+        plane = robust_homography(a, b, draw, 0.01 if k is None else 3.0)
+        try:
+            _, _, ok, share = pose_from_matches(normal(a), normal(b), draw, limit, how.min_matches)
+        except ValueError:
+            return pd.DataFrame([row | {"failure_reason": "essential_failed"}])
+        if plane is None:
+            return pd.DataFrame([row | {"failure_reason": "homography_failed"}])
+        # A plane's parallax is that of all matches.
+        fits = [("essential", ok, float(np.median(apart[ok])), share, how.essential_bias), ("homography", plane[1], float(np.median(apart)), 1.0, how.homography_bias)]
+        scored = [(bias * float(m.mean()) * max(p, how.min_parallax), name, m, p, s) for name, m, p, s, bias in fits]
+        score, name, m, p, s = max(scored, key=lambda f: f[0])
+        n = int(m.sum())
+        return pd.DataFrame([row | {"method": name, "inliers": n, "inlier_ratio": float(m.mean()), "parallax": p, "cheirality_inliers": round(s * n), "cheirality_ratio": s, "score": score}])
+
+    return matches.groupBy("pair").applyInPandas(one, "pair long, method string, match_count long, inliers long, inlier_ratio double, parallax double, cheirality_inliers long, cheirality_ratio double, score double, failure_reason string")
 
 
 def vanishing_focal(lines_a: np.ndarray, lines_b: np.ndarray, centre: tuple[float, float]) -> float | None:

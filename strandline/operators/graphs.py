@@ -169,8 +169,22 @@ def supervised(states: np.ndarray, edges: list, kind: str, attempts: int = 3) ->
     return states, "failed", attempts, costs
 
 
-def optimise_graphs(vertices: DataFrame, edges: DataFrame, kind: str = "se2") -> DataFrame:
+#: Solvers by name: (states, edges, kind) to states, status, attempts and costs.  Others can be registered.
+SOLVERS: dict[str, Callable] = {"gauss_newton": supervised}
+
+
+def register_solver(name: str, solver: Callable) -> None:
+    """Makes a solver known to ``optimise_graphs``; names are taken once."""
+    if name in SOLVERS:
+        raise ValueError(f"a solver has that name: {name}")
+    SOLVERS[name] = solver
+
+
+def optimise_graphs(vertices: DataFrame, edges: DataFrame, kind: str = "se2", solver: str = "gauss_newton") -> DataFrame:
     """vertices(graph_id, id, state array), edges(graph_id, i, j, meas array, weight): optimised states, costs and status."""
+    if solver not in SOLVERS:
+        raise ValueError(f"no solver of that name: {solver}")
+    run = SOLVERS[solver]
 
     def one(key: tuple, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         v = v.sort_values("id")
@@ -178,7 +192,7 @@ def optimise_graphs(vertices: DataFrame, edges: DataFrame, kind: str = "se2") ->
         rows = [(place[i], place[j], np.asarray(z, float), float(w)) for i, j, z, w in zip(e["i"], e["j"], e["meas"], e["weight"], strict=True) if i in place and j in place]
         if not len(v):
             return pd.DataFrame(columns=["graph_id", "id", "state", "status", "first_cost", "last_cost"])
-        x, status, _, costs = supervised(np.array(v["state"].tolist(), float), rows, kind)
+        x, status, _, costs = run(np.array(v["state"].tolist(), float), rows, kind)
         return pd.DataFrame({"graph_id": key[0], "id": v["id"], "state": x.tolist(), "status": status, "first_cost": costs[0] if costs else None, "last_cost": costs[-1] if costs else None})
 
     return vertices.groupBy("graph_id").cogroup(edges.groupBy("graph_id")).applyInPandas(one, "graph_id long, id long, state array<double>, status string, first_cost double, last_cost double")

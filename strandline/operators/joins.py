@@ -76,3 +76,19 @@ def ratio_test(distances: DataFrame, ratio: float = 0.8) -> DataFrame:
     back = Window.partitionBy("pair", "b").orderBy("distance", "a")
     ranked_ = distances.withColumn("second", F.lead("distance").over(forward)).withColumn("r", F.row_number().over(forward)).withColumn("q", F.row_number().over(back))
     return ranked_.where((F.col("r") == 1) & (F.col("q") == 1) & (F.col("second").isNull() | (F.col("distance") < ratio * F.col("second")))).select("pair", "a", "b", "distance")
+
+
+def positional_pairs(truth: DataFrame, estimate: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The i-th row of each sequence beside the i-th of its estimate; what the longer one has beyond the shorter is left out.
+
+    Columns of the estimate other than the keys get the suffix _est."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    number = lambda df: df.withColumn("idx", F.row_number().over(w) - 1)
+    est = number(estimate)
+    est = est.select(*keys, "idx", *[F.col(c).alias(f"{c}_est") for c in estimate.columns if c not in keys])
+    return number(truth).join(est, [*keys, "idx"])
+
+
+def keyed_lookup(asked: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """Every asked row with the columns of its key's row, and ``found``; rows that aren't found are kept, to be counted and skipped."""
+    return asked.join(store.withColumn("_there", F.lit(True)), key, "left").withColumn("found", F.coalesce("_there", F.lit(False))).drop("_there")

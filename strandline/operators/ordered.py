@@ -71,6 +71,29 @@ def versus_previous(df: DataFrame, keys: list[str], order: str, value: str, most
     return out.withColumn("status", F.when(F.col("previous").isNull(), "baseline").when(rel > most, "regressed").otherwise("pass"))
 
 
+def solver_gate(df: DataFrame, keys: list[str], order: str, cost: str = "cost", iterations: str = "iterations", limits: dict[str, float] | None = None) -> DataFrame:
+    """Each solve against the one before it, whatever that one's status: deltas, ratios (null after 0), the limits
+    (max_cost, max_iterations, max_cost_ratio, max_iteration_ratio) it breaks in this order, and baseline, pass or regressed."""
+    limits = {"max_cost_ratio": 0.25, "max_iteration_ratio": 0.5} if limits is None else limits
+    w = Window.partitionBy(*keys).orderBy(order)
+    out = df
+    for name, column in (("cost", cost), ("iteration", iterations)):
+        last = F.lag(column).over(w)
+        out = out.withColumn(f"{name}_delta", F.col(column) - last).withColumn(f"{name}_ratio", F.try_divide(F.col(f"{name}_delta").cast("double"), F.abs(last)))
+    broken = {"max_cost": F.col(cost), "max_iterations": F.col(iterations), "max_cost_ratio": F.col("cost_ratio"), "max_iteration_ratio": F.col("iteration_ratio")}
+    found = F.array_compact(F.array(*[F.when(c > limits[n], n) for n, c in broken.items() if limits.get(n) is not None], F.lit(None).cast("string")))
+    out = out.withColumn("triggered", found)
+    first = F.col("cost_delta").isNull() & F.col("iteration_delta").isNull()
+    return out.withColumn("status", F.when(F.size("triggered") > 0, "regressed").when(first, "baseline").otherwise("pass"))
+
+
+def first_n(df: DataFrame, keys: list[str], order: list[str], n: int | None) -> DataFrame:
+    """At most the first n rows of each sequence, as a source with a frame limit gives; None is no limit."""
+    if n is None:
+        return df
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
 def throughput(df: DataFrame, keys: list[str], order: str, elapsed_s: Column) -> DataFrame:
     """Rows so far, their share of the key's rows, and rows a second."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

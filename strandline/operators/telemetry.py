@@ -44,6 +44,12 @@ def tracker(df: DataFrame, keys: list[str], value: str, exact: bool = True) -> D
     return df.groupBy(*keys).agg(*moments(value, sample=False), *quantiles(value, exact))
 
 
+def trackers(df: DataFrame, keys: list[str], values: list[str], exact: bool = True) -> DataFrame:
+    """One tracker for each measure, in one pass over the rows."""
+    long = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(keys, values, "measure", "value")
+    return tracker(long, [*keys, "measure"], "value", exact)
+
+
 def flatten_metrics(summary: DataFrame, prefix: str = "telemetry_stage", names: tuple[str, ...] = ("event_count", "total", "mean", "max", "p95")) -> DataFrame:
     """Long (metric, value) rows of per-stage summaries."""
     long = summary.where("stage is not null").select(metric_name(F.col("stage")).alias("s"), *[F.col(n).cast("double").alias(n) for n in names]).unpivot("s", list(names), "m", "value")

@@ -528,7 +528,7 @@ def seed_derivation(spark, sf_dir):
 
 
 @query(f"""with w as (select event_id, duration_s / 3 as a, pow(duration_s / 10, 2) as z from {EV}), m as (select *, a + pi() - floor((a + pi()) / (2 * pi())) * 2 * pi() - pi() as wrapped from w)
-select event_id, round(wrapped, 6) as wrapped, round(case when z <= 1 then z else 2 * sqrt(z) - 1 end, 6) as huber, round(ln(1 + z), 6) as cauchy, round(case when z <= 1 then (1 - pow(1 - z, 3)) / 3 else 1.0 / 3 end, 6) as tukey from m""")
+select event_id, round(wrapped, 6) as wrapped, round(case when z <= 1 then z else 2 * sqrt(z) - 1 end, 6) as huber, round(ln(1 + z), 6) as cauchy, round(case when z <= 1 then (1 - pow(1 - z, 3)) / 6 else 1.0 / 6 end, 6) as tukey from m""")
 def scalar_math(spark, sf_dir):
     z = F.pow(F.col("duration_s") / 10, F.lit(2.0))
     rows = events(spark, sf_dir).select("event_id", scalars.wrap_angle(F.col("duration_s") / 3).alias("wrapped"), *[scalars.robust_loss(k, z)[0].alias(k) for k in ("huber", "cauchy", "tukey")])

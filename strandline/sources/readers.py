@@ -44,10 +44,11 @@ def text_trajectory(spark: SparkSession, path: str, cols: list[int]) -> DataFram
     return rows.select("path", (F.row_number().over(w) - 1).cast("long").alias("idx"), F.array(*[F.element_at("f", c + 1).cast("double") for c in cols]).alias("coords"))
 
 
-def json_items(spark: SparkSession, path: str, key: str, item_schema: str) -> DataFrame:
-    """The rows of the array under ``key`` of whole-file JSON objects; files that hold no such array are an error."""
+def json_items(spark: SparkSession, path: str, key: str, item_schema: str, least: int = 0) -> DataFrame:
+    """The rows of the array under ``key`` of whole-file JSON objects; files without such an array, or with fewer items than
+    ``least`` in it, are an error."""
     whole = spark.read.schema(f"`{key}` array<struct<{item_schema}>>").json(path, multiLine=True, mode="FAILFAST")
-    checked = whole.select(F.when(F.col(key).isNull(), F.raise_error(F.lit(f"no array of that name: {key}"))).otherwise(F.col(key)).alias(key))
+    checked = whole.select(F.when(F.col(key).isNull(), F.raise_error(F.lit(f"no array of that name: {key}"))).when(F.size(key) < least, F.raise_error(F.lit(f"too few items in {key}"))).otherwise(F.col(key)).alias(key))
     return checked.select(F.inline(key))
 
 
@@ -56,8 +57,8 @@ def telemetry_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def frame_diagnostics(spark: SparkSession, path: str) -> DataFrame:
-    """Missing numbers are 0, method empty, status unknown."""
-    rows = json_items(spark, path, "entries", "frame_id long, timestamp double, match_count int, inliers int, method string, inlier_ratio double, median_parallax double, score double, status string, failure_reason string")
+    """Missing numbers are 0, method empty, status unknown; files without frames are an error."""
+    rows = json_items(spark, path, "entries", "frame_id long, timestamp double, match_count int, inliers int, method string, inlier_ratio double, median_parallax double, score double, status string, failure_reason string", least=1)
     filled = {c: F.coalesce(c, F.lit(0)) for c in ("frame_id", "timestamp", "match_count", "inliers", "inlier_ratio", "median_parallax", "score")}
     return rows.withColumns(filled | {"method": F.coalesce("method", F.lit("")), "status": F.coalesce("status", F.lit("unknown"))})
 
@@ -79,6 +80,12 @@ def metrics(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("name", "recorded_at", F.explode(held).alias("metric", "value"))
 
 
+def json_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row a file of JSON objects with the fields asked for; what is no such JSON, or holds no object, is an error."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("report"))
+    return whole.select("path", F.when(F.col("report").isNull(), F.raise_error(F.lit("no JSON object"))).otherwise(F.col("report")).alias("report")).select("path", "report.*")
+
+
 def baselines(spark: SparkSession, path: str) -> DataFrame:
     """key, metric, value, config_hash, updated_at; an absent store is empty."""
     schema = "key string, metric string, value double, config_hash string, updated_at string"
