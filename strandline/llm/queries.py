@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chatformat, decontam, langid, linededup, mixing, ngramjoin, quality, substring, toxicity, vptree
+from strandline.llm import chatformat, convtrie, decontam, divergence, langid, linededup, mixing, ngramjoin, quality, rangejoin, substring, toxicity, vptree
 from strandline.llm.learning import crc_mod
 
 
@@ -64,6 +64,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, shared = F.col("conv_id") - F.col("conv_id") % 100, F.crc32(F.col("conv_id").cast("string")) % 6
+    return convtrie.conversation_trie(_table(spark, sf_dir, "conversations"), base, shared, most=5)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+def op13_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangejoin.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 OP2_SQL = """
 with rows_ as (
   select distinct conv_id, coalesce(turn, 9223372036854775807) as turn, coalesce(role, '') as role, coalesce(text, '') as text
@@ -114,10 +127,53 @@ select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_re
 """
 
 
+OP11_SQL = """
+with own as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos from conversations where conv_id is not null),
+crcs as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i)) as t),
+cs as (select conv_id as c, count(*) as n, conv_id - conv_id % 100 as base,
+  xor(list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda d: ascii(d)::bigint), lambda a, b: xor(a >> 8, any_value(t)[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 6 as h from own, crcs group by conv_id),
+rebuilt as (
+  select c, pos as depth, role, text from cs join own on conv_id = base and pos <= h
+  union all select x.c, least(h, coalesce(b.n, 0)) + pos - h, role, text from cs x join own on conv_id = x.c and pos > h left join (select c, n from cs) b on b.c = x.base),
+chained as (select c, depth, length(text) as chars, string_agg(role || chr(31) || text, chr(30)) over (partition by c order by depth rows unbounded preceding) as key from rebuilt union all select c, 0, 0, '' from cs),
+linked as (select *, lag(key) over (partition by c order by depth) as up, depth = max(depth) over (partition by c) as last from chained),
+nodes as (select depth, key, any_value(up) as up, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(chars) as saved, coalesce(string_agg(c::varchar, ',' order by c) filter (last), '') as ends from linked group by depth, key),
+children as (select depth - 1 as depth, up as key, count(*) as n from nodes where depth > 0 group by all),
+whole as (select a.depth, a.key, sum(n.saved) as saved, count(*) filter (k.n is null) as leaves from nodes n join chained a on a.c = n.conv_id and a.depth <= n.depth left join children k on k.depth = n.depth and k.key = n.key group by 1, 2)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n, 0) as n_children, w.leaves as n_leaves, w.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n join whole w on w.depth = n.depth and w.key = n.key left join children k on k.depth = n.depth and k.key = n.key left join nodes p on p.depth = n.depth - 1 and p.key = n.up
+"""
+
+OP12_SQL = """
+with words_ as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+said as (select r, lang, source, unnest(w) as term from words_),
+kept as (select lang, term, count(*) as lang_n from said group by lang, term having count(distinct r) >= 30),
+langs as (select lang, count(k.term) as terms, coalesce(sum(lang_n), 0) as lang_total from (select distinct lang from words_) left join kept k using (lang) group by lang),
+grps as (select distinct lang, source from words_),
+counts as (select s.lang, s.source, s.term, count(*) as n from said s join kept k on k.lang = s.lang and k.term = s.term group by 1, 2, 3),
+full_ as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as total, k.lang_n, l.lang_total, l.terms
+  from grps g join kept k on k.lang = g.lang join langs l on l.lang = g.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (select lang, source, term, n, 1 + (1000000000 * (n + 5)::hugeint) // (total + 5 * terms) as p, 1 + (1000000000 * (lang_n + 5)::hugeint) // (lang_total + 5 * terms) as q from full_),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+  union all select a.lang, a.source, 'pair', b.source, 0 from grps a join grps b on a.lang = b.lang and a.source <> b.source join langs l on l.lang = a.lang where l.terms = 0),
+terms_ as (select lang, source, 'term' as part, term as item, p - q as value from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms_))
+select lang, source, part, item, value::bigint as value, rank::integer as rank from ranked where part = 'pair' or rank <= 50
+"""
+
+OP13_SQL = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.y from reach r join links l on l.x = r.b),
+n as (select x, count(*) as n from links group by x)
+select e.vec_id, coalesce(any_value(n.n), 0) as n_links, min(r.b) as component_id, e.vec_id = min(r.b) as kept from embeddings e join reach r on r.a = e.vec_id left join n on n.x = e.vec_id group by e.vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_collapse, op3_language_id, op4_decontamination, op5_quality, op6_line_dedup, op7_source_mixing, op8_vantage_search, op9_ngram_join, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_collapse, op3_language_id, op4_decontamination, op5_quality, op6_line_dedup, op7_source_mixing, op8_vantage_search, op9_ngram_join, op10_substring_dedup, op11_conversation_trie, op12_source_divergence, op13_range_join)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others learn, draw or search approximately; tests hold them against brute force and held-out rows."""
-    return {"op2_chat_collapse": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_ngram_join": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op2_chat_collapse": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_ngram_join": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_conversation_trie": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_range_join": OP13_SQL}
