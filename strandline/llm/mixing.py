@@ -1,21 +1,26 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-A source's documents all have the fractional copy number target / size.  Its whole part is taken by each; the rest is a
-probability.  Pairs, of two documents or of one and the pool of smaller ones, exchange mass, measured in words, at random
-but fairly, until one of the two is integral, so the expected copies of each document and the words of the whole source stay as they were.  Buckets of a
-source are rounded apart and hand at most one fractional document each to the next level of a reduction tree; in the
-level where a source is one bucket its last one is drawn.  Random numbers and buckets come from a hash of id and text, so
-reruns and other layouts agree, and rows of one id, or without, are spread over all buckets by their texts.
+A source's documents all have the fractional copy number target / size of the source.  Mass, measured in words, is exchanged at random
+but fairly until copy numbers are integral, so that the expected copies of each document and the words of the whole source stay as they
+were.  Large documents, of at least 1 / ``LARGE`` of their source's words, so at most ``LARGE`` of them, come first, by falling size: each
+is paired with the pool of all that is smaller, to the last document of the source, and takes the copies below or above its fraction
+while the pool's common copy number rises or falls in turn.  The rest is at that common number, of which the whole part is taken by
+each; what is left is rounded in buckets, two by two, each bucket handing at most one fractional document to the next level of a
+reduction tree, whose last one is drawn.  That one is small, so a source's total misses its target by less than 1 / ``LARGE`` of the source,
+whatever the number of buckets.  A large document takes the other of its two numbers where only that leaves the pool between none and
+``most`` copies; where neither does, the one that misses less, unless both are within ``CLOSE`` of the target.
+
+Equal rows of one id are one unit, whose copies are dealt evenly, so however many there are they meet in no task.  Random numbers and
+buckets come from a hash of id and text, so reruns and other layouts agree.
 
 Defined results: null and empty texts have size 0; sources of size 0 have target 0; size 0 takes 0.  A null source is a
-source, and comes last.  Very long texts are counted whole; one longer than its source's target is taken or left as a whole.
-Rows that repeat an id are rounded as documents of their own; equal rows get equal random numbers, and ties of size are
-ordered by them.  Columns other than id, text and source are not read, so clashing names do no harm.  An empty table gives an
-empty result.
+source, and comes last.  Very long texts are counted whole.  Rows that repeat an id with other texts are documents of their own.
+Columns other than id, text and source are not read, so clashing names do no harm.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,6 +34,8 @@ from strandline.llm.storage import Workspace
 
 #: Documents of a first-level bucket, and buckets that meet in the next level.
 BUCKET, FAN_IN = 10_000, 512
+#: Large is a document of this part of its source; miss of a target that may be left to a fair draw; rows that one row is unfolded to at once.
+LARGE, CLOSE, UNFOLD = 4_096, 0.01, 10_000
 
 
 def n_words(text: str | Column) -> Column:
@@ -97,51 +104,92 @@ def pivot(ids: np.ndarray, sizes: np.ndarray, p: np.ndarray, seed: int) -> np.nd
     return out
 
 
-def settle(sizes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Where the drawn rest, one large document, missed the mass, documents that fit into the miss change sides, large first."""
-    out, miss = after.copy(), float((sizes * (after - before)).sum())
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        if miss > 0 and out[i] == 1 and sizes[i] <= miss:
-            out[i], miss = 0.0, miss - sizes[i]
-        elif miss < 0 and out[i] == 0 and sizes[i] <= -miss:
-            out[i], miss = 1.0, miss + sizes[i]
-    return out
+def take_large(sizes: np.ndarray, rows: np.ndarray, draw: np.ndarray, target: float, words: float, most: float) -> tuple[list[int], float]:
+    """Copies of each large document (its size, equal rows and draw), largest first, and the copy number that is left for the rest."""
+    out, near = [], CLOSE * target
+    for s, m, u in zip(sizes.tolist(), rows.tolist(), draw.tolist(), strict=True):
+        share = m * min(most, max(0.0, target / words))
+        low = math.floor(share + 1e-9)
+        rest = words - m * s
+        miss = [max(0.0, n * s - target, target - n * s - most * rest) for n in (low, low + 1)]
+        if share - low <= 1e-9:
+            n = low
+        elif max(miss) <= 1e-6 or min(miss) > 1e-6 and max(miss) <= near:
+            n = low + (u < share - low)
+        else:
+            n = low + (miss[1] < miss[0])
+        out.append(int(n))
+        target, words = max(0.0, target - n * s), rest
+    return out, min(most, target / words) if words > 0 else 0.0
+
+
+def _large(seed: int, most: float):
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        draw = draws(pdf["key"].to_numpy(np.int64), seed + 2_000)
+        order = np.lexsort((draws(pdf["key"].to_numpy(np.int64), seed + 2_500), -pdf["size"].to_numpy()))
+        pdf, draw = pdf.iloc[order], draw[order]
+        total, rest = take_large(pdf["size"].to_numpy(), pdf["n"].to_numpy(), draw, float(pdf["target"].iloc[0]), float(pdf["source_size"].iloc[0]), most)
+        return pdf.assign(total=total, rest=rest)
+
+    return group
 
 
 def _level(seed: int):
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, before = pdf["key"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64), pdf["p"].to_numpy(float)
-        p = pivot(ids, sizes, before, seed)
+        ids, sizes = pdf["key"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64)
+        p = pivot(ids, sizes, pdf["p"].to_numpy(float), seed)
         if pdf["buckets"].iloc[0] <= 1:  # all of the source that is still open
-            p = settle(sizes, before, np.where((p > 0) & (p < 1), draws(ids, seed + 1000) < p, p).astype(float))
+            p = np.where((p > 0) & (p < 1), draws(ids, seed + 1000) < p, p).astype(float)
         return pdf.assign(p=p)
 
     return group
 
 
+def _unfolded(units: DataFrame) -> DataFrame:
+    """One row for each of a unit's n equal rows, with its copies: the total is dealt evenly."""
+    few = units.where(F.col("n") <= UNFOLD).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    many = units.where(F.col("n") > UNFOLD).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / UNFOLD)))).repartition("key", "part")
+    many = many.withColumn("i", F.explode(F.sequence(F.col("part") * UNFOLD, F.least(F.col("part") * UNFOLD + (UNFOLD - 1), F.col("n") - 1)))).drop("part")
+    return few.union(many).withColumn("copies", F.floor(F.col("total") / F.col("n")) + (F.col("i") < F.col("total") % F.col("n")).cast("long"))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.0, most: float = 3.0, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row of ``docs`` (doc_id, source, text)."""
-    work = Workspace(docs.sparkSession, "mixing")
+    work, c = Workspace(docs.sparkSession, "mixing"), F.col
     key = F.xxhash64("doc_id", F.xxhash64("text"))
-    base = work.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"), key.alias("key")), "sizes")
-    per = targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, share, most)
-    per = work.keep(per.withColumn("buckets", F.ceil(F.col("docs") / BUCKET).cast("int")), "targets")
-    rows = base.join(F.broadcast(per) if per.count() <= 10_000 else per, base["source"].eqNullSafe(per["source"])).select("doc_id", "key", base["source"], "size", "source_size", "target", "buckets")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    rows = rows.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
-    now = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.col("buckets")).cast("int"))
-    most_buckets, level, done = per.agg(F.max("buckets")).first()[0] or 1, 0, []
-    fixed = rows.where("size = 0 or p = 0").select("doc_id", "source", "size", "source_size", "target", "whole", F.lit(0.0).alias("p"))
-    now = now.where("size > 0 and p > 0").select("doc_id", "key", "source", "size", "source_size", "target", "whole", "p", "buckets", "bucket")
+    rows = docs.select(c("doc_id").cast("long").alias("doc_id"), c("source").cast("string").alias("source"), n_words("text").alias("size"), key.alias("key"))
+    base = work.keep(rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("n")), "sizes")
+    per = targets(base.groupBy("source").agg(F.sum(c("size") * c("n")).alias("source_size"), F.sum("n").alias("docs")), weights, share, most)
+    per = work.keep(per.withColumn("buckets", F.ceil(c("docs") / BUCKET).cast("int")), "targets")
+    small = per.count() <= 10_000
+    beside = lambda left, right: left.join(F.broadcast(right) if small else right, left["source"].eqNullSafe(right["_source"]), "left").drop("_source")
+    units = beside(base, per.withColumnRenamed("source", "_source"))
+    none = units.where("size = 0").withColumn("total", F.lit(0).cast("long"))
+    units = units.where("size > 0")
+    large = units.where(c("size") * LARGE >= c("source_size"))
+    large = work.keep(large.groupBy("source").applyInPandas(_large(seed, most), f"{_kinds(large)}, total long, rest double"), "large")
+    rest = large.groupBy(c("source").alias("_source")).agg(F.first("rest").alias("rest"))
+    now = beside(units.where(c("size") * LARGE < c("source_size")), rest).withColumn("rest", F.coalesce("rest", F.least(c("target") / c("source_size"), F.lit(float(most)))))
+    # a copy number that is whole but for rounding is whole
+    share_ = F.when(F.abs(c("rest") * c("n") - F.round(c("rest") * c("n"))) < 1e-9, F.round(c("rest") * c("n"))).otherwise(c("rest") * c("n"))
+    now = now.withColumn("share", share_).withColumn("whole", F.floor("share")).withColumn("p", c("share") - c("whole")).drop("share", "rest")
+    now = now.withColumn("bucket", F.pmod(F.xxhash64("key"), c("buckets")).cast("int"))
+    most_buckets, level = per.agg(F.max("buckets")).first()[0] or 1, 0
+    done = [now.where("p = 0")]
+    now = now.where("p > 0")
     while True:
         now = work.keep(now.groupBy("source", "bucket").applyInPandas(_level(seed + level), now.schema), f"level-{level}")
-        done.append(now.where("p = 0 or p = 1").drop("key", "buckets", "bucket"))
+        done.append(now.where("p = 0 or p = 1"))
         if most_buckets <= 1:
             break
-        now = now.where("p > 0 and p < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int")).withColumn("buckets", F.ceil(F.col("buckets") / FAN_IN).cast("int"))
+        now = now.where("p > 0 and p < 1").withColumn("bucket", F.floor(c("bucket") / FAN_IN).cast("int")).withColumn("buckets", F.ceil(c("buckets") / FAN_IN).cast("int"))
         most_buckets, level = -(-most_buckets // FAN_IN), level + 1
-    out = fixed
+    columns = ["doc_id", "key", "source", "size", "source_size", "target", "n", "total"]
+    out = none.select(columns).union(large.select(columns))
     for part in done:
-        out = out.union(part)
-    copies = F.col("whole") + F.col("p").cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        out = out.union(part.withColumn("total", c("whole") + c("p").cast("long")).select(columns))
+    return _unfolded(out).select("doc_id", "source", "size", "source_size", "target", "copies", (c("copies") * c("size")).alias("taken"))
+
+
+def _kinds(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import convtrie, divergence, queries, rangejoin
+from strandline.llm import convtrie, divergence, mixing, queries, rangejoin
 from strandline.llm.storage import Workspace
 
 SF = "/root/testdata/sf0.001"
@@ -265,3 +265,55 @@ def test_pivots_leave_cells_apart_and_name_cores(spark, monkeypatch):
     got = range_rows(rangejoin.near_duplicates(make_vectors(spark, rows)))
     assert all(r[1] == 99 for r in got) and sum(r[3] for r in got) == 8
     assert found["rows"].where("not home").count() == 0 and found["rows"].where("core").count() == 800
+
+
+# --- mixing, on sources with large documents and copies ---------------------------------------------------------------
+
+
+def words(n):
+    return " ".join(["w"] * n)
+
+
+@pytest.mark.parametrize("bucket", [300, 10_000])
+def test_mixing_totals_do_not_depend_on_buckets(spark, monkeypatch, bucket):
+    """One document of 40 % of its source: totals are met, and copies stay fair."""
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    rows = [(0, words(4_000), "a")] + [(i, words(10), "a") for i in range(1, 601)] + [(1_000 + i, words(5), "bc"[i % 2]) for i in range(2_400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    large, taken = [], []
+    for seed in range(7, 15):
+        out = mixing.mix_sources(df, weights=(0.8, 0.5, 0.5), share=0.45, seed=seed).toPandas()
+        per = out.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+        assert (abs(per["taken"] - per["target"]) <= 10).all() and (out["copies"] <= 3).all() and len(out) == len(rows)
+        large.append(int(out[out.doc_id == 0]["copies"].iloc[0]))
+        taken.append(per.loc["a", "target"])
+    assert taken[0] == pytest.approx(22_000 * 0.45 * 0.8 / 1.8) and 0 < sum(large) < len(large)
+
+
+def test_large_documents_are_fair_and_leave_a_pool_that_can_be_met():
+    rng = np.random.default_rng(0)
+    sizes, n = np.array([4_000, 900, 50, 50, 10]), np.array([1, 1, 3, 1, 1])
+    whole, mean, runs = 10_000.0, np.zeros(5), 3_000
+    for _ in range(runs):
+        got, rest = mixing.take_large(sizes, n, rng.random(5), 8_000.0, whole, 3.0)
+        assert 0 <= rest <= 3 and rest * (whole - (sizes * n).sum()) + (sizes * got).sum() == pytest.approx(8_000)
+        mean += np.array(got) / runs
+    assert np.abs(mean - 0.8 * n).max() < 0.06
+    assert mixing.take_large(np.array([950]), np.array([1]), np.array([0.99]), 800.0, 1_000.0, 3.0)[0] == [1]  # leaving it out would miss by far
+    assert mixing.take_large(np.array([1_000]), np.array([1]), np.array([0.1]), 200.0, 1_000.0, 3.0)[0] == [0]
+    assert mixing.take_large(np.array([1_000]), np.array([1]), np.array([0.5]), 3_000.0, 1_000.0, 3.0)[0] == [3]
+
+
+def test_mixing_spreads_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "UNFOLD", 100)
+    monkeypatch.setattr(mixing, "LARGE", 64)
+    rows = [(None, words(7), "a")] * 1_000 + [(5, words(3), "a")] * 250 + [(i, words(2), "b") for i in range(10, 400)] + [(None, None, "a")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix_sources(df).toPandas()
+    per = out.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), n=("size", "count"))
+    assert per["n"].tolist() == [1_253, 390] and (abs(per["taken"] - per["target"]) <= 7).all()
+    copies = out[out["size"] == 7]["copies"]
+    assert len(copies) == 1_000 and copies.max() - copies.min() <= 1
+    again = mixing.mix_sources(df.repartition(2)).toPandas()
+    key = ["doc_id", "size", "copies"]
+    assert sorted(map(tuple, out.fillna(-1)[key].values)) == sorted(map(tuple, again.fillna(-1)[key].values))
