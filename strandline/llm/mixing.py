@@ -53,7 +53,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float
     rows = rows.withColumn("goal", F.least(share * F.sum("source_size").over(every), F.sum("cap").over(every)))
     level = (F.col("goal") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     rows = rows.withColumn("level", level)
-    rows = rows.withColumn("level", F.min(F.when(F.col("level") <= F.col("per") * (1 + 1e-12), F.struct("per", "level"))).over(every)["level"])
+    # of sources that share the least cap per weight, the first has the level; the next one's is already without its cap
+    rows = rows.withColumn("level", -F.min(F.when(F.col("level") <= F.col("per") * (1 + 1e-12), F.struct("per", (-F.col("level")).alias("level")))).over(every)["level"])
     return rows.select("source", "source_size", "docs", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
