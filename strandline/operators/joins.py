@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.scalars import STATE_RANK, ranked
+from strandline.lineage import cut
 
 
 def nearest_in_time(ref: DataFrame, other: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
@@ -55,15 +57,26 @@ def artifact_diff(left: DataFrame, right: DataFrame, keys: list[str], digest: st
     return a.join(b, keys, "full_outer").withColumn("status", status)
 
 
-def propagate(states: DataFrame, upstream: DataFrame, depth: int) -> DataFrame:
+def propagate(states: DataFrame, upstream: DataFrame, depth: int | None = None) -> DataFrame:
     """states(stage, state), upstream(stage, needs): a tripped upstream degrades all but tripped stages, a degraded or
-    recovering one only healthy stages; as many passes as the graph is deep."""
-    now = states.select("stage", "state")
-    for _ in range(depth):
-        bad = upstream.join(now.select(F.col("stage").alias("needs"), F.col("state").alias("s")), "needs").groupBy("stage").agg(F.max(ranked(STATE_RANK, F.col("s"), 0)).alias("worst"))
-        hit = ((F.col("worst") == 3) & (F.col("state") != "tripped")) | (F.col("worst").isin(1, 2) & (F.col("state") == "healthy"))
-        now = now.join(bad, "stage", "left").select("stage", F.when(F.coalesce(hit, F.lit(False)), "degraded").otherwise(F.col("state")).alias("state"))
-    return now
+    recovering one only healthy stages; to the fixed point, or as far as ``depth`` steps.
+
+    Semi-naive: in each round only what changed in the one before reaches further, and a stage changes once, so cycles end too.  Needs
+    that no state is known of are healthy; repeated edges change nothing."""
+    now = cut(states.select("stage", "state"))
+    edges = cut(upstream.select("stage", "needs").where("stage is not null and needs is not null").distinct())
+    changed = now.where("state in ('tripped', 'degraded', 'recovering')").select("stage", F.expr("state = 'tripped'").alias("tripped"))
+    open_ = now.where("coalesce(state, '') not in ('tripped', 'degraded')")
+    for _ in count() if depth is None else range(depth):
+        reached = edges.join(changed.select(F.col("stage").alias("needs"), "tripped"), "needs").groupBy("stage").agg(F.max("tripped").alias("tripped"))
+        hit = F.col("tripped").isNotNull() & (F.col("tripped") | (F.col("state") == "healthy"))
+        told = cut(open_.join(reached, "stage", "left").select("stage", "state", F.coalesce(hit, F.lit(False)).alias("hit")))
+        open_, changed = told.where("not hit").select("stage", "state"), told.where("hit").select("stage", F.lit(False).alias("tripped"))
+        if changed.isEmpty():
+            break
+    rest = open_.select("stage", F.lit(True).alias("_open"))
+    kept = F.coalesce("_open", F.col("state").isin("tripped", "degraded"), F.lit(False))
+    return now.join(rest, "stage", "left").select("stage", F.when(kept, F.col("state")).otherwise("degraded").alias("state"))
 
 
 def unknown_keys(given: DataFrame, allowed: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import artifact_name, metric_name
+from strandline.operators import scans
 
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 
@@ -30,8 +31,19 @@ def moments(column: str, sample: bool = True) -> list[Column]:
 
 
 def digest(df: DataFrame, stage: str = "stage", value: str = "duration_s", exact: bool = True, overall: bool = True) -> DataFrame:
-    """Per stage, and over all (stage null) unless told not to: count, moments with sample variance (0 for one event), quantiles."""
-    return (df.rollup if overall else df.groupBy)(F.col(stage).alias("stage")).agg(*moments(value), *quantiles(value, exact))
+    """Per stage, and over all (stage null) unless told not to: count, moments with sample variance (0 for one event), quantiles.
+
+    Exact quantiles are selected by ranks, so that no task holds a stage; ``exact=False`` takes one pass with fixed-size sketches."""
+    rows = df.select(F.col(stage).alias("stage"), F.col(value).alias("v"))
+    if not exact:
+        return (rows.rollup if overall else rows.groupBy)("stage").agg(*moments("v"), *quantiles("v", False))
+    names = {f"p{round(q * 100)}": q for q in QUANTILES}
+    levels = rows.withColumn("whole", F.lit(False))
+    if overall:
+        levels = levels.withColumn("whole", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("stage", F.when(~F.col("whole"), F.col("stage")))
+    found = scans.exact_quantiles(levels, ["stage", "whole"], "v", names)
+    out = levels.groupBy("stage", "whole").agg(*moments("v"))
+    return scans.same_keys(out, found, ["stage", "whole"], "left").drop("whole")
 
 
 def memory_digest(df: DataFrame, stage: str = "stage", memory: str = "memory_delta") -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.lineage import cut
+from strandline.operators import scans
 from strandline.operators.machines import fold_rows
 
 
@@ -79,23 +80,52 @@ def align_matrix(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return r, md - (scale or 0) * r @ ms, scale
 
 
-def errors_3d(pairs: DataFrame, keys: list[str], delta: int = 1) -> DataFrame:
-    """Errors of (idx, gx, gy, gz, ex, ey, ez) rows; one trajectory is a group."""
-    fields = [pairs.schema[k] for k in keys]
+def alignments(pairs: DataFrame, keys: list[str], truth: list[str], estimate: list[str]) -> DataFrame:
+    """keys, turn (row-major), shift and scale that map each key's estimate onto its truth, in any dimension.
+
+    Cross-covariances are merged from tasks, whose number no sequence limits; only the small matrix of each key is decomposed.  On
+    reflection the last axis turns and the scale keeps its sign; the scale is null where the estimate doesn't move."""
+    d, c = len(truth), F.col
+    cov = [F.coalesce(F.covar_pop(c(g), c(e)), F.lit(0.0)).alias(f"_c{i}_{j}") for i, g in enumerate(truth) for j, e in enumerate(estimate)]
+    var = sum((F.var_pop(e) for e in estimate[1:]), F.var_pop(estimate[0])).alias("_var")
+    means = [F.avg(x).alias(f"_{k}{i}") for k, names in (("g", truth), ("e", estimate)) for i, x in enumerate(names)]
+    moments = pairs.groupBy(*keys).agg(*cov, var, *means)
+    kept = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def solve(batches):
+        for pdf in batches:
+            m = pdf[[f"_c{i}_{j}" for i in range(d) for j in range(d)]].to_numpy(float).reshape(-1, d, d)
+            u, s, vt = np.linalg.svd(m)
+            vt[np.linalg.det(u @ vt) < 0, -1] *= -1
+            r, spread = u @ vt, pdf["_var"].to_numpy(float)
+            moves = spread > 1e-12
+            scale = np.where(moves, s.sum(1), 0) / np.where(moves, spread, 1)
+            shift = pdf[[f"_g{i}" for i in range(d)]].to_numpy(float) - scale[:, None] * np.einsum("nij,nj->ni", r, pdf[[f"_e{i}" for i in range(d)]].to_numpy(float))
+            yield pdf[keys].assign(turn=list(r.reshape(-1, d * d)), shift=list(shift), scale=[float(x) if ok else None for x, ok in zip(scale, moves, strict=True)])
+
+    return moments.mapInPandas(solve, f"{kept}, turn array<double>, shift array<double>, scale double")
+
+
+def aligned_errors(pairs: DataFrame, keys: list[str], order: str, truth: list[str], estimate: list[str], lag: Column | int = 1) -> DataFrame:
+    """keys, scale, ate, rpe of each row, rpe null for the last ``lag``: rows meet the one ``lag`` places on by their number, so
+    that no task holds or sorts a sequence."""
+    d, c = len(truth), F.col
+    fit = alignments(pairs, keys, truth, estimate)
+    rows = scans.numbered(pairs.withColumn("_lag", F.lit(lag) if isinstance(lag, int) else lag), keys, [order], "_place")
+    rows = scans.same_keys(rows, fit, keys)
+    turned = lambda i: sum((c("turn")[d * i + j] * c(e) for j, e in enumerate(estimate[1:], 1)), c("turn")[d * i] * c(estimate[0]))
+    off = [c(g) - (c("scale") * turned(i) + c("shift")[i]) for i, g in enumerate(truth)]
+    rows = rows.select(*keys, "_place", "_lag", "scale", *[o.alias(f"_d{i}") for i, o in enumerate(off)])
+    later = rows.select(*keys, (c("_place") - c("_lag")).alias("_place"), *[c(f"_d{i}").alias(f"_l{i}") for i in range(d)])
+    rows = scans.same_keys(rows, later, [*keys, "_place"], "left")
+    return rows.select(*keys, "scale", _norm([c(f"_d{i}") for i in range(d)]).alias("ate"), _norm([c(f"_l{i}") - c(f"_d{i}") for i in range(d)]).alias("rpe"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        g, e = pdf[["gx", "gy", "gz"]].to_numpy(float), pdf[["ex", "ey", "ez"]].to_numpy(float)
-        r, t, s = align_matrix(e, g)
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        if s is None:
-            return pd.DataFrame(row | {"scale": [None], "ate_rmse": [None], "rpe_rmse": [None]})
-        a = s * e @ r.T + t
-        rel = (g[delta:] - g[:-delta]) - (a[delta:] - a[:-delta])
-        return pd.DataFrame(row | {"scale": [s], "ate_rmse": [np.sqrt(((g - a) ** 2).sum(1).mean())], "rpe_rmse": [np.sqrt((rel**2).sum(1).mean()) if len(rel) else None]})
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return pairs.groupBy(*keys).applyInPandas(one, f"{kept}, scale double, ate_rmse double, rpe_rmse double")
+def errors_3d(pairs: DataFrame, keys: list[str], delta: int = 1) -> DataFrame:
+    """Errors of (idx, gx, gy, gz, ex, ey, ez) rows; null where the estimate doesn't move or no pair is at that lag."""
+    rows = aligned_errors(pairs, keys, "idx", ["gx", "gy", "gz"], ["ex", "ey", "ez"], delta)
+    rms = lambda x: F.sqrt(F.avg(F.col(x) * F.col(x)))
+    return rows.groupBy(*keys).agg(F.first("scale").alias("scale"), rms("ate").alias("ate_rmse"), rms("rpe").alias("rpe_rmse"))
 
 
 #: Names of a trajectory's error metrics.
@@ -103,21 +133,18 @@ ERROR_NAMES = ("ATE_RMSE", "ATE_MEAN", "ATE_MEDIAN", "RPE_RMSE", "RPE_MEAN", "RP
 
 
 def error_report(pairs: DataFrame) -> DataFrame:
-    """sequence and its six error metrics, of rows (sequence, idx, g, e, delta) with positions of any dimension; one
-    trajectory is a group.  Without a pair at that lag the relative errors are null."""
-
-    def stats(d: np.ndarray) -> list[float | None]:
-        return [float(np.sqrt((d**2).mean())), float(d.mean()), float(np.median(d))] if len(d) else [None] * 3
+    """sequence and its six error metrics, of rows (sequence, idx, g, e, delta) with positions of any one dimension.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        g, e, lag = np.stack(pdf["g"]).astype(float), np.stack(pdf["e"]).astype(float), int(pdf["delta"].iloc[0])
-        r, t, s = align_matrix(e, g)
-        a = (s if s is not None else np.nan) * e @ r.T + t
-        found = stats(np.linalg.norm(g - a, axis=1)) + stats(np.linalg.norm((g[lag:] - g[:-lag]) - (a[lag:] - a[:-lag]), axis=1))
-        return pd.DataFrame([[pdf["sequence"].iloc[0], *found]], columns=["sequence", *ERROR_NAMES])
-
-    return pairs.groupBy("sequence").applyInPandas(one, "sequence string, " + ", ".join(f"{n} double" for n in ERROR_NAMES))
+    Without a pair at that lag the relative errors are null, and all are where the estimate doesn't move."""
+    d = pairs.agg(F.max(F.size("g"))).first()[0] or 1
+    names = {k: [f"{k}{i}" for i in range(d)] for k in "ge"}
+    rows = pairs.select("sequence", "idx", "delta", *[F.col(k)[i].cast("double").alias(n) for k, ns in names.items() for i, n in enumerate(ns)])
+    rows = aligned_errors(rows, ["sequence"], "idx", names["g"], names["e"], F.col("delta"))
+    found = cut(rows.select("sequence", "ate", "rpe"))
+    out = found.groupBy("sequence").agg(*[f(x).alias(f"{x}_{n}".upper()) for x in ("ate", "rpe") for n, f in (("rmse", lambda x: F.sqrt(F.avg(F.col(x) * F.col(x)))), ("mean", F.avg))])
+    for x in ("ate", "rpe"):
+        out = scans.same_keys(out, scans.exact_quantiles(found, ["sequence"], x, {f"{x}_median".upper(): 0.5}), ["sequence"], "left")
+    return out.select("sequence", *ERROR_NAMES)
 
 
 def compose_2d(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -130,17 +157,8 @@ def compose_2d(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def compose_matrices(df: DataFrame, key: str, order: str, motion: str = "pose") -> DataFrame:
-    """Prefix products of 4x4 row-major motions, one sequence a group."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        now, out = np.eye(4), []
-        for m in pdf.sort_values(order)[motion]:
-            now = now @ np.asarray(m, float).reshape(4, 4)
-            out.append(now.ravel().tolist())
-        return pdf.sort_values(order)[[key, order]].assign(pose=out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(key, order, motion).groupBy(key).applyInPandas(one, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, pose array<double>")
+    """Prefix products of 4x4 row-major motions, of sequences of any length."""
+    return scans.prefix_products(df, key, order, motion)
 
 
 def keyframes(df: DataFrame, key: str, order: str, far: float = 0.1, turn_deg: float = 5.0, least_match: float = 0.25) -> DataFrame:

@@ -650,9 +650,3 @@ union all select 'diag_parallax_median', round(median(l_tax), 6) from d union al
 def diagnostics_metrics(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").withColumn("failure", F.when(F.col("l_tax") > 0.06, F.concat(F.lit("tax "), F.col("l_linenumber")))).withColumn("inlier_ratio", F.col("l_discount") / 7)
     return r6(telemetry.diagnostics_metrics(d, "l_quantity", "l_extendedprice", "inlier_ratio", "l_tax", "l_linenumber", {"method": "l_returnflag", "status": "l_linestatus", "failure": "failure"}), "value")
-
-
-@query()
-def ate_rpe_3d(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    return trajectory.errors_3d(p.select("seq", "idx", "gx", "gy", (F.col("gx") * 0.1).alias("gz"), "ex", "ey", (F.col("ex") * 0.1 + 1).alias("ez")), ["seq"], 5)
