@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,13 +109,24 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, columns: list[str]
     return last_n(df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns}), keys, [order], n)
 
 
+def averaging(alpha: float) -> tuple[Callable, Callable]:
+    """Start and step of y = alpha x + (1 - alpha) y from y = x at first; null and NaN values leave y as it is."""
+
+    def step(state: list, x: float | None) -> float | None:
+        if x is not None and x == x:
+            state[0] = x if state[0] is None else alpha * x + (1 - alpha) * state[0]
+        return state[0]
+
+    return lambda: [None], step
+
+
 def moving_average(df: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
-    """y = alpha x + (1 - alpha) y from y = x at first; null and NaN values leave y as it is.  Rows stream through a fold."""
+    """The last average of each key (see ``averaging``) and its number of rows.  Rows stream through a fold."""
+    average = averaging(alpha)[1]
 
     def step(state: list, x: float | None) -> tuple:
         state[1] += 1
-        if x is not None and x == x:
-            state[0] = x if state[0] is None else alpha * x + (1 - alpha) * state[0]
+        average(state, x)
         return ()
 
     rows = df.select(key, order, F.col(value).cast("double").alias(value))

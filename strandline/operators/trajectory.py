@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import acos, degrees, dist, isfinite
+from operator import mul
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,22 +165,32 @@ def compose_matrices(df: DataFrame, key: str, order: str, motion: str = "pose")
     return scans.prefix_products(df, key, order, motion)
 
 
-def keyframes(df: DataFrame, key: str, order: str, far: float = 0.1, turn_deg: float = 5.0, least_match: float = 0.25) -> DataFrame:
-    """Greedy choice against the last keyframe of rows (pose, 16 row-major numbers; match_ratio): moved, turned, or matched too
-    little.  The motion between two is inverse(last) times pose; its turn follows from the trace."""
+def keyframe_test(far: float = 0.1, turn_deg: float = 5.0, least_match: float = 0.25) -> tuple[Callable, Callable]:
+    """Start and step of the greedy choice against the last keyframe: moved, turned, or matched too little.  Between rigid poses the
+    distance is that of their places, and the turn follows from the sum of the products of their rotations' cells."""
 
-    def step(last: list, pose: list[float], match: float) -> bool:
-        now = np.asarray(pose, float).reshape(4, 4)
+    def step(last: list, *row: float) -> bool:
+        *now, match = row
         take = not last
         if last:
-            rel = last[0] @ now
-            turn = np.degrees(np.arccos(np.clip((np.trace(rel[:3, :3]) - 1) / 2, -1, 1)))
-            take = np.linalg.norm(rel[:3, 3]) >= far or turn >= turn_deg or match <= least_match
+            trace = sum(map(mul, last[:9], now))
+            turn = degrees(acos(max(-1.0, min(1.0, (trace - 1) / 2))))
+            take = dist(last[9:], now[9:]) >= far or turn >= turn_deg or match <= least_match
         if take:
-            last[:] = [np.linalg.inv(now)]
-        return bool(take)
+            last[:] = now
+        return take
+
+    return list, step
 
-    return fold_rows(df, key, order, ["pose", "match_ratio"], list, step, "keyframe", "boolean")
+
+#: The cells of a row-major pose that make its rotation, then those of its place.
+POSE_CELLS = (0, 1, 2, 4, 5, 6, 8, 9, 10, 3, 7, 11)
+
+
+def keyframes(df: DataFrame, key: str, order: str, far: float = 0.1, turn_deg: float = 5.0, least_match: float = 0.25) -> DataFrame:
+    """keyframe of rows (pose, the 16 row-major numbers of a rigid motion; match_ratio), see ``keyframe_test``."""
+    rows = df.select(key, order, *[F.col("pose")[i].cast("double").alias(f"_c{i}") for i in POSE_CELLS], F.col("match_ratio").cast("double").alias("match_ratio"))
+    return fold_rows(rows, key, order, [*[f"_c{i}" for i in POSE_CELLS], "match_ratio"], *keyframe_test(far, turn_deg, least_match), "keyframe", "boolean")
 
 
 def planar_pose(x: Column, y: Column, yaw: Column) -> Column:
@@ -185,13 +199,18 @@ def planar_pose(x: Column, y: Column, yaw: Column) -> Column:
     return F.array(F.cos(yaw), -F.sin(yaw), zero, x, F.sin(yaw), F.cos(yaw), zero, y, zero, zero, one, zero, zero, zero, zero, one)
 
 
-def clamp_yaw(df: DataFrame, key: str, order: str, most_deg: float = 5.0) -> DataFrame:
-    """Yaw held within a step of the one before; rows that are not finite are skipped."""
+def clamping(most_deg: float = 5.0) -> tuple[Callable, Callable]:
+    """Start and step of a yaw held within a step of the one before; yaws that are null or not finite are skipped."""
 
-    def step(last: list, yaw: float) -> float | None:
-        if not np.isfinite(yaw):
+    def step(last: list, yaw: float | None) -> float | None:
+        if yaw is None or not isfinite(yaw):
             return None
-        last[:] = [yaw if not last else last[0] + float(np.clip((yaw - last[0] + 180) % 360 - 180, -most_deg, most_deg))]
+        last[:] = [yaw if not last else last[0] + max(-most_deg, min(most_deg, (yaw - last[0] + 180) % 360 - 180))]
         return last[0]
 
-    return fold_rows(df, key, order, ["yaw"], list, step, "yaw", "double")
+    return list, step
+
+
+def clamp_yaw(df: DataFrame, key: str, order: str, most_deg: float = 5.0) -> DataFrame:
+    """yaw, held as ``clamping`` says."""
+    return fold_rows(df, key, order, ["yaw"], *clamping(most_deg), "yaw", "double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 
 from strandline.functions.canonical import canonical, stable_hash
 from strandline.functions.scalars import parsed_time
+from strandline.sources.arrays import array_items
 from strandline.sources.sinks import MAP_VERSION
 
 #: The columns of positions in twelve-number poses, and the radius of GPS projection in metres.
@@ -52,13 +54,16 @@ def json_items(spark: SparkSession, path: str, key: str, item_schema: str, least
     return checked.select(F.inline(key))
 
 
-def telemetry_events(spark: SparkSession, path: str) -> DataFrame:
-    return json_items(spark, path, "events", "name string, duration_s double, timestamp string, metadata map<string,string>")
+def telemetry_events(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
+    """``split``: files larger than a task holds, read in parts; then files without events give no rows."""
+    schema = "name string, duration_s double, timestamp string, metadata map<string,string>"
+    return array_items(spark, path, "events", schema) if split else json_items(spark, path, "events", schema)
 
 
-def frame_diagnostics(spark: SparkSession, path: str) -> DataFrame:
-    """Missing numbers are 0, method empty, status unknown; files without frames are an error."""
-    rows = json_items(spark, path, "entries", "frame_id long, timestamp double, match_count int, inliers int, method string, inlier_ratio double, median_parallax double, score double, status string, failure_reason string", least=1)
+def frame_diagnostics(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
+    """Missing numbers are 0, method empty, status unknown; files without frames are an error, unless read in parts (``split``)."""
+    read = array_items if split else partial(json_items, least=1)
+    rows = read(spark, path, "entries", "frame_id long, timestamp double, match_count int, inliers int, method string, inlier_ratio double, median_parallax double, score double, status string, failure_reason string")
     filled = {c: F.coalesce(c, F.lit(0)) for c in ("frame_id", "timestamp", "match_count", "inliers", "inlier_ratio", "median_parallax", "score")}
     return rows.withColumns(filled | {"method": F.coalesce("method", F.lit("")), "status": F.coalesce("status", F.lit("unknown"))})
 
