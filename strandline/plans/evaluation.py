@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
+from threading import Lock
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 
 from strandline.functions.scalars import BOUNDS, threshold_rows
 from strandline.operators import baselines, telemetry, trajectory
+from strandline.plans.measured import Budget, overall, run_measured, statistics
 from strandline.sources import readers, sinks
 
+#: A store of baselines is read and replaced as a whole, by one run of this driver at a time.
+_STORES = Lock()
 SECTIONS = ("run", "evaluation", "pipeline", "baseline")
 #: The numbers of a relocalization report, by their metric's name.
 RELOCALIZATION = ("attempts", "successes", "success_rate", "latency_mean_s", "latency_p50_s", "latency_p95_s", "match_count_mean", "match_count_p50", "match_count_p95", "inlier_ratio_mean", "inlier_ratio_p50", "inlier_ratio_p95", "recovery_success", "recovery_frame_gap")
@@ -204,9 +208,9 @@ def run_evaluation(spark: SparkSession, config: Evaluation) -> dict[str, Any]:
     put("run_metadata.json", {"run_id": config.run_id, "created_at": now, "config_path": config.config_path, "config_hash": config.config_hash, "seed": config.seed})
     found = evaluate(spark, config)
     held = {kind: {(r["sequence"], r["metric"]): r["value"] for r in df.collect()} for kind, df in found.items()}
-    overall = {kind: {m: v for (s, m), v in sorted(rows.items(), key=lambda x: x[0][1]) if s is None} for kind, rows in held.items()}
+    means = {kind: {m: v for (s, m), v in sorted(rows.items(), key=lambda x: x[0][1]) if s is None} for kind, rows in held.items()}
     summary: dict[str, Any] = {"run_id": config.run_id, "dataset": config.dataset, "seed": config.seed, "timestamp": now, "config_path": config.config_path, "config_hash": config.config_hash, "run_dir": config.output_dir}
-    summary |= {"aggregate_metrics": overall["metrics"], "telemetry_metrics": overall.get("telemetry", {}), "relocalization_metrics": overall.get("relocalization", {}), "per_sequence": {}}
+    summary |= {"aggregate_metrics": means["metrics"], "telemetry_metrics": means.get("telemetry", {}), "relocalization_metrics": means.get("relocalization", {}), "per_sequence": {}}
     lines = ["sequence,metric,value"]
     for s in config.sequences:
         metrics = {m: v for (name, m), v in sorted(held["metrics"].items(), key=lambda x: x[0][1]) if name == s.name}
@@ -224,15 +228,32 @@ def run_evaluation(spark: SparkSession, config: Evaluation) -> dict[str, Any]:
         summary[name] = {"key": config.goals[kind].key, "status": "pass" if all(r["status"] == "pass" for r in rows.values()) else "regressed", "per_metric": rows}
         put(f"{name}.json", summary[name])
     for kind, goal in config.goals.items():
-        if config.store and goal.key and goal.write and kind in overall:
-            sinks.put_baseline(spark, config.store, goal.key, overall[kind], config.config_hash, now, {"dataset": config.dataset, "run_id": config.run_id} | ({kind: True} if kind != "metrics" else {}))
+        if config.store and goal.key and goal.write and kind in means:
+            with _STORES:
+                sinks.put_baseline(spark, config.store, goal.key, means[kind], config.config_hash, now, {"dataset": config.dataset, "run_id": config.run_id} | ({kind: True} if kind != "metrics" else {}))
     put("summary.json", summary)
-    put("summary.csv", "\n".join(lines + [f"aggregate,{m},{v}" for m, v in overall["metrics"].items()]) + "\n")
+    put("summary.csv", "\n".join(lines + [f"aggregate,{m},{v}" for m, v in means["metrics"].items()]) + "\n")
     return summary
 
 
+def _benchmark(spark: SparkSession, run: Mapping[str, Any], base: str, weights: Mapping[str, Mapping[str, float]], default: float) -> dict[str, Any]:
+    """Name, status, severity and metrics of one run of a benchmark config."""
+    table = lambda kind: spark.createDataFrame(list(weights[kind].items()), "metric string, weight double")
+    config = load_evaluation(spark, at(run["config_path"], base))
+    summary, name = run_evaluation(spark, config), run.get("name", config.run_id)
+    compared = {kind: summary.get("baseline_comparison" if kind == "metrics" else f"{kind}_baseline_comparison") for kind in ("metrics", "telemetry")}
+    absent = any(config.goals[kind].key and compared[kind] is None for kind in compared)
+    status = "missing_baseline" if run.get("require_baseline", True) and absent else "regressed" if any(c and c["status"] == "regressed" for c in compared.values()) else "pass"
+    rows = {kind: [(name, m, *(r[k] for k in ("status", "delta", "ratio", *BOUNDS))) for m, r in (c or {"per_metric": {}})["per_metric"].items()] for kind, c in compared.items()}
+    frames = {kind: spark.createDataFrame(x, "key string, metric string, status string, delta double, ratio double, " + ", ".join(f"{b} double" for b in BOUNDS)) for kind, x in rows.items()}
+    score = baselines.severity_scores(frames["metrics"], table("metric"), default, frames["telemetry"], table("telemetry")).first()
+    return {"name": name, "status": status, "score": score["score"] if score else 0.0, "config_hash": config.config_hash, "run_dir": config.output_dir, "aggregate_metrics": summary["aggregate_metrics"], "telemetry_metrics": summary["telemetry_metrics"]}
+
+
 def run_benchmarks(spark: SparkSession, path: str) -> list[dict[str, Any]]:
-    """Name, status and severity of each run of a benchmark config; with fail_fast the first that doesn't pass is the last."""
+    """Name, status, severity and seconds of each run of a benchmark config, ``max_workers`` at once; a run may have a
+    ``runtime_budget_s``.  With fail_fast the first that doesn't pass stops the others, which are left out then.  A run that
+    fails has the status error and says why."""
     raw, base = json.loads(readers.whole_text(spark, path)), posixpath.dirname(path)
     if not raw.get("runs"):
         raise ValueError("a benchmark config names its runs")
@@ -241,19 +262,38 @@ def run_benchmarks(spark: SparkSession, path: str) -> list[dict[str, Any]]:
     weights = {kind: {str(k): float(v) for k, v in named.get(f"{kind}_weights", {}).items()} for kind in ("metric", "telemetry")}
     if min([default, *weights["metric"].values(), *weights["telemetry"].values()]) < 0:
         raise ValueError("weights must not be negative")
-    table = lambda kind: spark.createDataFrame(list(weights[kind].items()), "metric string, weight double")
+    runs = {str(i): run for i, run in enumerate(raw["runs"])}
+    limits = {i: Budget(float(run["runtime_budget_s"])) for i, run in runs.items() if run.get("runtime_budget_s") is not None}
+    fail_fast, began = bool(raw.get("fail_fast", True)), datetime.now(timezone.utc).isoformat()
+    found = run_measured(spark, {i: lambda s, run=run: _benchmark(s, run, base, weights, default) for i, run in runs.items()}, limits, int(raw.get("max_workers", 1)), fail_fast, judge=lambda value: value["status"])
+    found = [r for r in found if r["status"] != "cancelled"]
     out = []
-    for run in raw["runs"]:
-        config = load_evaluation(spark, at(run["config_path"], base))
-        summary = run_evaluation(spark, config)
-        compared = {kind: summary.get("baseline_comparison" if kind == "metrics" else f"{kind}_baseline_comparison") for kind in ("metrics", "telemetry")}
-        absent = any(config.goals[kind].key and compared[kind] is None for kind in compared)
-        status = "missing_baseline" if run.get("require_baseline", True) and absent else "regressed" if any(c and c["status"] == "regressed" for c in compared.values()) else "pass"
-        rows = {kind: [(run.get("name", config.run_id), m, *(r[k] for k in ("status", "delta", "ratio", *BOUNDS))) for m, r in (c or {"per_metric": {}})["per_metric"].items()] for kind, c in compared.items()}
-        frames = {kind: spark.createDataFrame(x, "key string, metric string, status string, delta double, ratio double, " + ", ".join(f"{b} double" for b in BOUNDS)) for kind, x in rows.items()}
-        score = baselines.severity_scores(frames["metrics"], table("metric"), default, frames["telemetry"], table("telemetry")).first()
-        out.append({"name": run.get("name", config.run_id), "status": status, "score": score["score"] if score else 0.0})
-        if status != "pass" and raw.get("fail_fast", True):
-            break
-    sinks.write_text(spark, at(raw.get("output_path", "reports/ci_benchmark_summary.json"), base), json.dumps({"runs": out}, indent=2))
+    for r in found:
+        run = runs[r["name"]]
+        known = r["value"] or {"name": run.get("name", run["config_path"]), "score": 0.0}
+        out.append(known | {"status": r["status"], "runtime_s": r["runtime_s"]} | ({"error": r["error"]} if r["error"] else {}))
+    summary = {"status": overall(found), "started_at": began, "finished_at": datetime.now(timezone.utc).isoformat(), "fail_fast": fail_fast, "benchmark_metrics": statistics(found), "runs": out}
+    sinks.write_text(spark, at(raw.get("output_path", "reports/ci_benchmark_summary.json"), base), json.dumps(summary, indent=2))
     return out
+
+
+def govern(spark: SparkSession, runs: Mapping[str, Callable[[SparkSession], Any]], limits: Mapping[str, Budget], store: str, thresholds: Mapping[str, Any] | None = None, require_baseline: bool = True, write: bool = False, at_once: int = 1, fail_fast: bool = True) -> list[dict[str, Any]]:
+    """Runs measured (seconds and rows), held to budgets and against the store's baselines of the same names: error, budget_exceeded,
+    missing_baseline, regressed or pass.  ``write`` puts what was measured of runs without errors into the store afterwards."""
+    results = run_measured(spark, runs, limits, at_once, fail_fast)
+    metrics = {r["name"]: {"runtime_s": r["runtime_s"]} | ({"rows": float(r["rows"])} if r["rows"] is not None else {}) for r in results if r["status"] in ("pass", "budget_exceeded")}
+    known = readers.baselines(spark, store)
+    current = spark.createDataFrame([(n, m, v) for n, values in metrics.items() for m, v in values.items()], "key string, metric string, value double")
+    bounds = spark.createDataFrame(threshold_rows(dict(thresholds or {})), "metric string, " + ", ".join(f"{b} double" for b in BOUNDS))
+    held = {r["key"] for r in known.where(F.col("key").isin(list(runs))).select("key").distinct().collect()}
+    compared = baselines.compare(current, known.where(F.col("key").isin(list(metrics))), bounds)
+    worse = {r["key"] for r in compared.where("status <> 'pass'").select("key").distinct().collect()}
+    for r in results:
+        if r["status"] == "pass":
+            r["status"] = "missing_baseline" if require_baseline and r["name"] not in held else "regressed" if r["name"] in worse & held else "pass"
+        r["metrics"] = metrics.get(r["name"])
+    if write:
+        now = datetime.now(timezone.utc).isoformat()
+        for name, values in metrics.items():
+            sinks.put_baseline(spark, store, name, values, hashlib.sha256(name.encode()).hexdigest(), now)
+    return results

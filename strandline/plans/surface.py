@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from strandline.functions import tables
 from strandline.lineage import shared_folder
 from strandline.operators import trajectory
-from strandline.plans.catalogue import EV, SQL, _points, events, query
+from strandline.plans import measured
+from strandline.plans.catalogue import EV, SQL, _points, events, query, table
 from strandline.sources import arrays
 
 c = F.col
@@ -42,3 +43,13 @@ def sql_moving_average(spark, sf_dir):
     tables.register(spark)
     e = events(spark, sf_dir).select("user_id", "event_id", c("duration_s").cast("double").alias("duration_s"))
     return spark.sql("select user_id, event_id, round(ema, 6) as ema from moving_average(table({e}), key => 'user_id', ordered => 'event_id', value => 'duration_s', alpha => 0.3)", e=e)
+
+
+_COUNTED, _MOST = ("customer", "orders", "lineitem", "events"), 20_000
+
+
+@query(" union all ".join(f"select '{t}' as name, count(*) as rows, case when count(*) > {_MOST} then 'budget_exceeded' else 'pass' end as status from {t}" for t in _COUNTED))
+def measured_runs(spark, sf_dir):
+    """Whole tables read at once, two at a time, each held to a budget of rows."""
+    found = measured.run_measured(spark, {t: lambda s, t=t: table(s, sf_dir, t) for t in _COUNTED}, dict.fromkeys(_COUNTED, measured.Budget(rows=_MOST)), at_once=2, fail_fast=False)
+    return spark.createDataFrame([(r["name"], r["rows"], r["status"]) for r in found], "name string, rows long, status string")

@@ -71,7 +71,21 @@ def test_run_folder_baselines_and_gate(spark, tmp_path, run_dir):
     runs = config(tmp_path, "b.json", runs=[{"name": "first", "config_path": "d.json"}, {"name": "second", "config_path": "e.json"}], severity={"metric_weights": {"ATE_RMSE": 4}}, fail_fast=False, output_path="ci.json")
     got = evaluation.run_benchmarks(spark, runs)
     assert [r["status"] for r in got] == ["regressed", "missing_baseline"] and got[0]["score"] == pytest.approx(4.0) and got[1]["score"] == 0
-    assert json.loads((tmp_path / "ci.json").read_text())["runs"] == got
+    report = json.loads((tmp_path / "ci.json").read_text())
+    assert report["runs"] == got and report["status"] == "regressed" and report["benchmark_metrics"]["run_count"] == 2
+    runs = config(tmp_path, "f.json", runs=[{"name": "absent", "config_path": "none.json"}, {"name": "first", "config_path": "d.json"}, {"config_path": "d.json", "runtime_budget_s": 0.0}], max_workers=2, fail_fast=False, output_path="ci2.json")
+    got = evaluation.run_benchmarks(spark, runs)
+    assert [r["status"] for r in got] == ["error", "regressed", "budget_exceeded"] and got[0]["error"]["message"]
+    runs = config(tmp_path, "g.json", runs=[{"name": "absent", "config_path": "none.json"}, {"name": "first", "config_path": "d.json"}], output_path="ci3.json")
+    assert [r["name"] for r in evaluation.run_benchmarks(spark, runs)] == ["absent"]
+
+
+def test_governed_runs(spark, tmp_path):
+    store, runs = str(tmp_path / "store.json"), {"a": lambda s: s.range(50), "b": lambda s: s.range(9)}
+    gate = lambda **more: [r["status"] for r in evaluation.govern(spark, runs | more.pop("new", {}), more.pop("limits", {}), store, {"runtime_s": 60.0, "rows": 5.0}, fail_fast=False, **more)]
+    assert gate(write=True) == ["missing_baseline", "missing_baseline"]
+    assert gate() == ["pass", "pass"]
+    assert gate(new={"a": lambda s: s.range(80)}, limits={"b": evaluation.Budget(rows=3)}) == ["regressed", "budget_exceeded"]
 
 
 def test_configs_that_say_too_little(spark, tmp_path):
