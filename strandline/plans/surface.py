@@ -11,7 +11,7 @@ from strandline.lineage import shared_folder
 from strandline.operators import trajectory
 from strandline.plans import measured
 from strandline.plans.catalogue import EV, SQL, _points, events, query, table
-from strandline.sources import arrays
+from strandline.sources import arrays, published
 
 c = F.col
 
@@ -53,3 +53,13 @@ def measured_runs(spark, sf_dir):
     """Whole tables read at once, two at a time, each held to a budget of rows."""
     found = measured.run_measured(spark, {t: lambda s, t=t: table(s, sf_dir, t) for t in _COUNTED}, dict.fromkeys(_COUNTED, measured.Budget(rows=_MOST)), at_once=2, fail_fast=False)
     return spark.createDataFrame([(r["name"], r["rows"], r["status"]) for r in found], "name string, rows long, status string")
+
+
+@query("select o_orderkey, o_custkey, round(o_totalprice, 2)::double as o_totalprice, o_orderstatus from orders")
+def published_orders(spark, sf_dir):
+    """All orders, published by status over an earlier version of their keys alone, and read from the version in use."""
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", c("o_totalprice").cast("double").alias("o_totalprice"), "o_orderstatus")
+    published.publish(orders.select("o_orderkey"), path)
+    published.publish(orders, path, by=("o_orderstatus",), seed=7)
+    return published.published(spark, path).withColumn("o_totalprice", F.round("o_totalprice", 2))
