@@ -573,9 +573,31 @@ def pose_graph_se2(spark, sf_dir):
     return graphs.optimise_graphs(v, e.union(loop), "se2")
 
 
-@query()
+def _markers_sql(q: float, m: str) -> str:
+    """A recursive table m: five heights h, places n and goals g for each user, one row on at a time; the middle markers move one after the other."""
+    def moved(i: int) -> str:
+        h, n = (lambda k: f"h{i + k}"), (lambda k: f"n{i + k}")
+        bent = f"{h(0)} + s / ({n(1)} - {n(-1)}) * (({n(0)} - {n(-1)} + s) * ({h(1)} - {h(0)}) / ({n(1)} - {n(0)}) + ({n(1)} - {n(0)} - s) * ({h(0)} - {h(-1)}) / ({n(0)} - {n(-1)}))"
+        line = f"case when s > 0 then {h(0)} + ({h(1)} - {h(0)}) / ({n(1)} - {n(0)}) else {h(0)} - ({h(-1)} - {h(0)}) / ({n(-1)} - {n(0)}) end"
+        sign = f"case when g{i} - n{i} >= 1 and {n(1)} - {n(0)} > 1 then 1.0::double when g{i} - n{i} <= -1 and {n(-1)} - {n(0)} < -1 then -1.0::double else 0.0::double end as s"
+        return f"(select * replace (case when s = 0 then {h(0)} when {h(-1)} < bent and bent < {h(1)} then bent else {line} end as h{i}, n{i} + s as n{i}) from (select *, {bent} as bent from (select * exclude (s, bent), {sign} from {{}})))"
+
+    cell = "case when x < h2 then 1 when x < h3 then 2 when x < h4 then 3 else 4 end"
+    names = ["user_id", "k", *[f"{m}{i}" for m in "hng" for i in range(1, 6)]]
+    taken = f"(select {m}.user_id, e.k, least(h1, x) as h1, h2, h3, h4, greatest(h5, x) as h5, " + ", ".join(f"n{i} + case when {i} > {cell} then 1 else 0 end as n{i}" for i in range(1, 6)) + ", " + ", ".join(f"g{i} + {r}::double as g{i}" for i, r in enumerate((0.0, q / 2, q, (1 + q) / 2, 1.0), 1)) + f", 0.0::double as s, 0.0::double as bent from {m} join e on e.user_id = {m}.user_id and e.k = {m}.k + 1)"
+    for i in (2, 3, 4):
+        taken = moved(i).format(taken)
+    five = ", ".join(f"list_sort(list(x))[{i}] as h{i}" for i in range(1, 6))
+    return f"""{m}({', '.join(names)}) as (select user_id, 5::bigint, {five}, {', '.join(f'{i}.0::double' for i in range(1, 6))}, {', '.join(f'{g}::double' for g in (1, 1 + 2 * q, 1 + 4 * q, 3 + 2 * q, 5))} from e where k <= 5 group by user_id having count(*) = 5
+ union all select {', '.join(names)} from {taken})"""
+
+
+@query(f"""with recursive e as (select user_id, duration_s::double as x, row_number() over (partition by user_id order by event_id) as k from {EV}),
+{_markers_sql(0.5, 'mid')}, {_markers_sql(0.95, 'high')}, a as (select user_id, arg_max(h3, k) as p50 from mid group by user_id), b as (select user_id, arg_max(h3, k) as p95 from high group by user_id),
+f as (select user_id, count(*) as n, quantile_cont(x, 0.5) as few50, quantile_cont(x, 0.95) as few95 from e group by user_id)
+select user_id, n, round(coalesce(p50, few50), 6) as p50, round(coalesce(p95, few95), 6) as p95 from f left join a using (user_id) left join b using (user_id)""")
 def p2_quantile(spark, sf_dir):
-    return machines.marker_quantiles(events(spark, sf_dir), "user_id", "event_id", "duration_s")
+    return r6(machines.marker_quantiles(events(spark, sf_dir), "user_id", "event_id", "duration_s"), "p50", "p95")
 
 
 @query(f"""with recursive e as (select user_id, event_id, ts, coalesce(memory_delta >= 20, false) as ok, row_number() over (partition by user_id order by event_id) as n from {EV}),
