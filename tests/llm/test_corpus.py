@@ -534,3 +534,17 @@ def test_components_do_not_depend_on_the_task_limit(spark, monkeypatch):
         monkeypatch.setattr(c, "ONE_TASK", limit)
         found.append(sorted(tuple(r) for r in components(df, Workspace(spark, "limit")).collect()))
     assert found[0] == found[1] and len({n for n, _ in found[0]}) == len(found[0])
+
+
+def test_ngram_join_lists_a_copy_once_and_passes_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(30)]
+    texts = [" ".join([*common, *(f"w{rng.randrange(6)}" for _ in range(3))]) for _ in range(25)]
+    rows = [(copy * 100 + k, t) for copy in range(8) for k, t in enumerate(texts)]
+    seen, plain = [], ngramjoin.connect
+    monkeypatch.setattr(ngramjoin, "connect", lambda index, *a, **b: (seen.append(index), plain(index, *a, **b))[1])
+    for name, value in (("HEAVY", 2), ("ABOVE_MEAN", 0), ("SHORT", 3), ("PASS_TOKENS", 400)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    got = {r[0]: (r[1], r[2]) for r in ngramjoin.jaccard_components(make_docs(spark, rows).repartition(8)).collect()}
+    assert got == brute_components(rows)
+    assert seen[0].count() == seen[0].distinct().count() > 0
