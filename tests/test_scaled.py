@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import descriptors, joins, recognition, scans, sparse, telemetry, trajectory
+from strandline.operators import blocks, descriptors, joins, recognition, scans, similarity, sparse, telemetry, trajectory
 
 
 def motions(rng, n):
@@ -251,3 +251,36 @@ def test_conjugate_gradients_equal_a_dense_solve(spark, size):
     want = np.linalg.solve(a, b).reshape(n, size)
     assert residuals[-1] <= 1e-11 and all(np.allclose(got[k], want[k], rtol=1e-5, atol=1e-7) for k in range(n))
     assert sparse.conjugate_gradients(blocks.limit(0), right.limit(0), size)[0].count() == 0
+
+
+def test_nearest_by_tiles_and_cells_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HELD", 9)
+    monkeypatch.setattr(blocks, "PASSING", 14)
+    rng = np.random.default_rng(4)
+    v = rng.integers(-2, 3, size=(90, 4)).astype(float)  # many ties
+    v[5] = v[6] = 0
+    labels = [None if i % 11 == 3 else i % 3 for i in range(90)]
+    df = spark.createDataFrame([(i, labels[i], v[i].tolist()) for i in range(90)], "id long, label int, v array<double>").repartition(5)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    unit = np.divide(v, size, where=size > 0, out=np.zeros_like(v))
+    s = np.round(unit @ unit.T, 9)
+    met = lambda i, j: labels[i] is not None and labels[i] == labels[j]
+    to = {i: min(((-s[i, j], j) for j in range(90) if (i + j) % 2 and met(i, j)), default=(0, None))[1] for i in range(90)}
+    want = {(i, to[i]) for i in range(0, 90, 2) if to[i] is not None and to[to[i]] == i}
+    got = similarity.mutual_cosine(df.where("id % 2 = 0"), df.where("id % 2 = 1"), "label").collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 5
+    found = {}
+    for r in similarity.cosine_top_k(df.select("id", "v"), df.where("id % 5 = 0").select("id", "v"), 7, least=0.1).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    for q in range(0, 90, 5):
+        best = [j for j in np.lexsort((np.arange(90), -s[q])) if j != q and s[q, j] >= 0.1][:7]
+        assert [j for _, j in sorted(found.get(q, {}).items())] == best
+
+
+def test_a_tile_of_scores_is_small_and_a_task_keeps_k(monkeypatch):
+    rng = np.random.default_rng(5)
+    best, s = blocks.TopK(np.arange(50), 3), rng.normal(size=(50, 20_000))
+    for at in range(0, 20_000, blocks.TILE):
+        best.offer(s[:, at : at + blocks.TILE].copy(), np.arange(1_000 + at, 1_000 + min(at + blocks.TILE, 20_000)))
+        assert best.n <= 8 * 50 * 3 + 50 * blocks.TILE
+    assert best.table().num_rows == 150 and blocks.TILE <= 1_024
