@@ -1,14 +1,17 @@
-"""Matching of binary descriptors by Hamming distance: multi-index hashing, mutual best, ratio test."""
+"""Matching of binary descriptors by Hamming distance: multi-index hashing within a radius; mutual best with a ratio test."""
 
 from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.lineage import cut
+from strandline.operators import blocks
 
 #: Bits of a substring, and the flips of one that are looked up.
 PIECE, FLIPS = 16, 2
@@ -54,17 +57,27 @@ def within(left: DataFrame, right: DataFrame, radius: int, words: int) -> DataFr
 def match(left: DataFrame, right: DataFrame, radius: int, words: int, ratio: float = 0.8) -> DataFrame:
     """(pair, a, b, distance): mutual best matches of at most ``radius`` bits whose distance is below ``ratio`` times the second best.
 
-    A second best matters up to the best over ``ratio``, so a first search finds all within the radius, and a wider one only
-    looks around those that are somebody's best by then.  Ties of a best go to the smaller number, of either side; without a second the
-    test is passed.  Equal descriptors of one side are one class with a count, so copies are never paired with each other.
-    Rows whose pair or bits are null match nothing."""
+    Ties of a best go to the smaller number, of either side; without a second the test is passed.  All pairs are compared, as
+    products of matrices of bits in cells of bounded size: where most descriptors are near each other, as full ones are, an
+    index of pieces would bring together each pair many times.  Only each cell's two bests of a row are shuffled.  Equal
+    descriptors of one side are one class with a count, so copies are never paired with each other.  Rows whose pair or bits are
+    null match nothing."""
     fold = lambda df, n: cut(df.where("pair is not null and bits is not null").groupBy("pair", "bits").agg(F.min(n).alias(n), F.count("*").alias("n")))
     a, b = fold(left, "a"), fold(right, "b")
-    near = cut(within(a, b, radius, words))
-    first = lambda own, other: F.row_number().over(Window.partitionBy("pair", own).orderBy("distance", other))
-    best = near.withColumn("i", first("a", "b")).withColumn("j", first("b", "a")).where("i = 1 and j = 1").select("pair", "a", "b", "distance")
-    best = cut(best.join(b.select("pair", "b", "n"), ["pair", "b"]))
-    around = within(a.join(best.select("pair", "a"), ["pair", "a"], "left_semi"), b, int(radius / ratio), words)
-    second = around.join(best.select("pair", "a", F.col("b").alias("own")), ["pair", "a"]).where("b <> own").groupBy("pair", "a").agg(F.min("distance").alias("second"))
-    out = best.join(second, ["pair", "a"], "left").withColumn("second", F.when(F.col("n") > 1, F.col("distance")).otherwise(F.col("second")))
+
+    def read(column: pa.Array) -> np.ndarray:
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.unpackbits(flat.view(np.uint8).reshape(len(column), 8 * words), axis=1).astype(np.float32)
+
+    def nearness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return 2 * (x @ y.T) - x.sum(1)[:, None] - y.sum(1)[None, :]
+
+    named = lambda df, n: df.select("pair", F.col(n).cast("long").alias("id"), F.col("bits").alias("v"))
+    found = blocks.paired(named(a, "a"), named(b, "b"), "pair", nearness, read, 2)
+    one, two = F.when(F.col("side") == 0, F.col("id")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("id"))
+    near = found.select("pair", one.alias("a"), two.alias("b"), (-F.col("score")).cast("int").alias("distance")).distinct()
+    first = lambda own, other: Window.partitionBy("pair", own).orderBy("distance", other)
+    near = near.withColumn("i", F.row_number().over(first("a", "b"))).withColumn("second", F.lead("distance").over(first("a", "b"))).withColumn("j", F.row_number().over(first("b", "a")))
+    best = near.where((F.col("i") == 1) & (F.col("j") == 1) & (F.col("distance") <= radius)).join(b.select("pair", "b", "n"), ["pair", "b"])
+    out = best.withColumn("second", F.when(F.col("n") > 1, F.col("distance")).otherwise(F.col("second")))
     return out.where(F.col("second").isNull() | (F.col("distance") < ratio * F.col("second"))).select("pair", "a", "b", "distance")
