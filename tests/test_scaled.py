@@ -284,3 +284,23 @@ def test_a_tile_of_scores_is_small_and_a_task_keeps_k(monkeypatch):
         best.offer(s[:, at : at + blocks.TILE].copy(), np.arange(1_000 + at, 1_000 + min(at + blocks.TILE, 20_000)))
         assert best.n <= 8 * 50 * 3 + 50 * blocks.TILE
     assert best.table().num_rows == 150 and blocks.TILE <= 1_024
+
+
+def test_recognition_shuffles_no_pairs_of_a_common_word(spark):
+    texts = [(i, " ".join(["all"] * (1 + i % 3) + [f"w{i % 7}", f"x{i % 11}", f"lone{i}"])) for i in range(60)] + [(70, ""), (71, "apart"), (72, None)]
+    bags = recognition.bags(spark.createDataFrame(texts, "id long, text string").where("text is not null").repartition(3))
+    found = recognition.nearest_bags(bags, bags.where("id % 10 = 0"), 4, block=3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    words = {i: t.split(" ") if t else [] for i, t in texts}
+    names = sorted({w for x in words.values() for w in x})
+    n = np.array([[x.count(w) for w in names] for i, x in words.items() if i < 60], float)
+    unit = n / np.linalg.norm(n, axis=1, keepdims=True)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["score"])
+    assert set(got) == set(range(0, 60, 10))
+    for q in got:
+        s = np.round(unit @ unit[q], 9)
+        want = [j for j in np.lexsort((np.arange(60), -s)) if j != q][:4]
+        assert [j for _, (j, _) in sorted(got[q].items())] == want and got[q][1][1] == pytest.approx(s[want[0]])
