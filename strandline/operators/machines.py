@@ -27,7 +27,7 @@ def fold_rows(df: DataFrame, key: str, order: str, fields: list[str], start: Cal
         for pdf in batches:
             out = []
             for k, *values in zip(pdf[key], *(pdf[f"_{i}"] for i in range(len(fields))), strict=True):
-                if not _same(k, now):
+                if not same(k, now):
                     now, state = k, start()
                 out.append(step(state, *values))
             pdf = pdf[[key, order]].assign(**{name: out})
@@ -49,7 +49,7 @@ def fold_groups(df: DataFrame, key: str, order: list[str], fields: list[str], st
         for pdf in batches:
             out = []
             for k, *values in zip(pdf[key], *(pdf[f"_{i}"] for i in range(len(fields))), strict=True):
-                if state is None or not _same(k, now):
+                if state is None or not same(k, now):
                     if state is not None:
                         out += [(now, *row) for row in finish(state)]
                     now, state = k, start()
@@ -61,7 +61,7 @@ def fold_groups(df: DataFrame, key: str, order: list[str], fields: list[str], st
     return rows.mapInPandas(task, f"`{key}` {kind}, {schema}")
 
 
-def _same(a, b) -> bool:
+def same(a, b) -> bool:
     """Equal keys; null, which pandas may hold as NaN, is one key."""
     return a is b or a == b or a != a and b != b
 

@@ -31,9 +31,10 @@ def json_array_scan(spark, sf_dir):
 
 @query(SQL["keyframe_select"])
 def sql_keyframes(spark, sf_dir):
-    tables.register(spark)
+    """Lines of orders as trajectories, by a table function that takes them in batches."""
     p = _points(spark, sf_dir).select("seq", "idx", trajectory.planar_pose(c("x"), c("y"), c("y") / 50).alias("pose"), (c("x") / 50).alias("match_ratio"))
-    return spark.sql("select * from keyframes(table({p}), key => 'seq', ordered => 'idx', far => 10)", p=p)
+    p = tables.batched(p, "keyframes", "seq", "idx")
+    return spark.sql("select * from keyframes_batches(table({p}) partition by share order by (seq, idx), far => 10)", p=p)
 
 
 @query(f"""with recursive o as (select user_id, event_id, duration_s as x, row_number() over (partition by user_id order by event_id) as i from {EV}),
