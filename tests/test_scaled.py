@@ -304,3 +304,24 @@ def test_recognition_shuffles_no_pairs_of_a_common_word(spark):
         s = np.round(unit @ unit[q], 9)
         want = [j for j in np.lexsort((np.arange(60), -s)) if j != q][:4]
         assert [j for _, (j, _) in sorted(got[q].items())] == want and got[q][1][1] == pytest.approx(s[want[0]])
+
+
+@pytest.mark.parametrize(("size", "runs", "most"), [(1, 5, 1), (2, 5, 1), (1, 20, 60)])
+def test_systems_dealt_to_parts_equal_a_dense_solve(spark, size, runs, most):
+    """Chains of 10 states, as they are (solved without a step over all parts) or cut by parts that they are coupled across."""
+    rng = np.random.default_rng(size)
+    n = 50
+    a, b, rows, off = np.zeros((n * size, n * size)), np.zeros(n * size), [], []
+    for f, states in enumerate([(k,) for k in range(n)] + [(k, k + 1) for k in range(n - 1) if k % 10 < 9]):
+        jac, r = rng.normal(size=(size, size * len(states))) + np.tile(3 * np.eye(size), len(states)), rng.normal(size=size)
+        at = np.concatenate([np.arange(size) + s * size for s in states])
+        a[np.ix_(at, at)] += jac.T @ jac
+        b[at] -= jac.T @ r
+        rows += [(f, s, s * runs // n, q, col, float(jac[q, k * size + col]), 1.0) for k, s in enumerate(states) for q in range(size) for col in range(size)]
+        off += [(f, q, float(r[q])) for q in range(size)]
+    blocks, right = sparse.normal_equations(spark.createDataFrame(rows, "factor long, state long, part long, row int, col int, value double, weight double"), spark.createDataFrame(off, "factor long, row int, value double"), size)
+    x, residuals = sparse.conjugate_gradients(blocks, right, size, 1e-11)
+    got = {r["i"]: r["x"] for r in x.collect()}
+    want = np.linalg.solve(a, b).reshape(n, size)
+    assert residuals[-1] <= 1e-11 and len(residuals) <= most and all(np.allclose(got[k], want[k], rtol=1e-5, atol=1e-7) for k in range(n))
+    assert sparse.conjugate_gradients(blocks.limit(0), right.limit(0), size)[0].count() == 0
