@@ -325,3 +325,28 @@ def test_systems_dealt_to_parts_equal_a_dense_solve(spark, size, runs, most):
     want = np.linalg.solve(a, b).reshape(n, size)
     assert residuals[-1] <= 1e-11 and len(residuals) <= most and all(np.allclose(got[k], want[k], rtol=1e-5, atol=1e-7) for k in range(n))
     assert sparse.conjugate_gradients(blocks.limit(0), right.limit(0), size)[0].count() == 0
+
+
+def test_descriptors_meet_only_where_their_bits_allow_it(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HELD", 40)
+    monkeypatch.setattr(blocks, "PASSING", 90)
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 257, 600)
+    sizes[:150] = 256 - sizes[:150] % 3  # full ones are all near each other
+    rows = []
+    for k, n in enumerate(sizes.tolist()):
+        bits = np.zeros(256, np.uint8)
+        bits[rng.choice(256, n, replace=False)] = 1
+        if k % 3 == 2:
+            bits = rows[k - 1][2].copy()
+            bits[rng.choice(256, k % 7, replace=False)] ^= 1
+        rows.append(("p" if k % 5 else "q", k, bits))
+    a, b = [r for r in rows if r[1] % 2 == 0], [r for r in rows if r[1] % 2]
+    long = lambda x: [int(v) for v in np.packbits(x).view(np.int64)]
+    frame = lambda rows, n: spark.createDataFrame([(p, i, long(x)) for p, i, x in rows], f"pair string, {n} long, bits array<long>").repartition(4)
+    got = descriptors.match(frame(a, "a"), frame(b, "b"), 24, 4)
+    plain = lambda rows: [(p, i, [int(v) for v in np.packbits(x).view(np.uint64)]) for p, i, x in rows]
+    want = brute_matches(plain(a), plain(b), 24, 0.8)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 50
+    found = descriptors._nearest(frame(a, "id"), frame(b, "id").withColumn("n", F.lit(1)), 4, 30, 2, False)
+    assert found.agg(F.max("distance")).first()[0] <= 30  # no more than the ratio test needs is kept
