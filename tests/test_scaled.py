@@ -350,3 +350,31 @@ def test_descriptors_meet_only_where_their_bits_allow_it(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == want and len(want) > 50
     found = descriptors._nearest(frame(a, "id"), frame(b, "id").withColumn("n", F.lit(1)), 4, 30, 2, False)
     assert found.agg(F.max("distance")).first()[0] <= 30  # no more than the ratio test needs is kept
+
+
+def test_sketches_bound_scores_and_leave_out_only_what_is_below_the_best(spark):
+    rng = np.random.default_rng(3)
+    p = 1 / np.arange(1, 401)
+    texts, n = [], 900
+    for i in range(n):
+        kind = "abc"[i % 3]
+        at = rng.choice(400, rng.integers(1, 120), p=p / p.sum())
+        texts.append([f"{kind}{w}" for w in at] + (texts[i - 3][:60] if i % 7 == 6 else []))
+    bags = recognition.bags(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string").repartition(3))
+    rows = bags.orderBy("id").collect()
+    sizes = np.array([len(r["words"]) for r in rows])
+    words, weights = np.concatenate([r["words"] for r in rows]).astype(np.int64), np.concatenate([r["weights"] for r in rows])
+    index = recognition.Postings(np.arange(n), sizes, words, weights)
+    names = np.unique(words)
+    unit = np.zeros((n, len(names)))
+    unit[np.repeat(np.arange(n), sizes), np.searchsorted(names, words)] = weights
+    s = unit @ unit.T
+    for sketch in (index.first, index.second):
+        assert (sketch @ sketch.T + index.room >= s).all()
+    got = {}
+    for r in recognition.nearest_bags(bags, bags.where("id % 5 = 0"), 4, block=60).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    for q in range(0, n, 5):
+        t = np.round(s[q], 9)
+        want = [j for j in np.lexsort((np.arange(n), -t)) if j != q and t[j] > 0][:4]
+        assert [j for _, j, _ in sorted(got[q])] == want and [x for _, _, x in sorted(got[q])] == pytest.approx([t[j] for j in want], abs=1e-8)
